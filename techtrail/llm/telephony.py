@@ -13,7 +13,6 @@ are independent, so repeated rows, ties and other columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -21,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from techtrail.llm.common import small_batches, text_or_empty
 
@@ -141,13 +141,6 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keep.columns, media], names=[*keep.schema.names, "media"])
 
 
-def store_mulaw(df: DataFrame) -> DataFrame:
-    """Replace the binary column payload by media: a WAV file of mu-law codes at 8 kHz."""
-    kept = [x for x in df.columns if x != "payload"]
-    schema = df.select(*kept, F.col("payload").alias("media")).schema
-    return df.select(*kept, "payload").mapInArrow(_store, schema)
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "media"):
         files = [read_wav(x or b"") for x in batch.column("media").to_pylist()]
@@ -173,6 +166,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "payload", "feature", "pcm"])
 
 
+def _fields(df: DataFrame, **kinds) -> StructType:
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in kinds.items())])
+
+
+def store_mulaw(df: DataFrame) -> DataFrame:
+    """Replace the binary column payload by media: a WAV file of mu-law codes at 8 kHz."""
+    return df.mapInArrow(_store, _fields(df.drop("payload"), media=BinaryType()))
+
+
 def read_telephony(df: DataFrame) -> DataFrame:
     """Read the WAV files in media: adds payload, feature and pcm.
 
@@ -180,10 +182,12 @@ def read_telephony(df: DataFrame) -> DataFrame:
     ADPCM blocks of 576 bytes; pcm is a WAV file of the expanded codes as
     16-bit PCM at twice the rate.
     """
-    schema = df.select("*", F.col("media").alias("payload"), F.lit("").cast("string").alias("feature"), F.col("media").alias("pcm")).schema
-    for field in schema.fields[-3:]:
-        field.nullable = True
-    return df.mapInArrow(_read, schema)
+    return df.mapInArrow(_read, _fields(df, payload=BinaryType(), feature=StringType(), pcm=BinaryType()))
+
+
+def store_and_read(df: DataFrame) -> DataFrame:
+    """read_telephony(store_mulaw(df)) in one pass of the Python workers."""
+    return df.mapInArrow(lambda batches: _read(_store(batches)), _fields(df.drop("payload"), media=BinaryType(), payload=BinaryType(), feature=StringType(), pcm=BinaryType()))
 
 
 def text_payload(documents: DataFrame) -> DataFrame:
@@ -196,8 +200,8 @@ def text_payload(documents: DataFrame) -> DataFrame:
 
 def op1_telephony_media(spark, sf_dir):
     """Texts of documents as mu-law audio: digests of what is stored and read back."""
-    stored = store_mulaw(text_payload(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return read_telephony(stored).select(
+    payloads = text_payload(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return store_and_read(payloads).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from techtrail.llm import telephony
+from techtrail.llm import telephony, word_bpe
 
 QUERIES = {
     "op1_telephony_media": telephony.op1_telephony_media,
+    "op10_word_bpe": word_bpe.op10_word_bpe,
 }
 ORACLE: dict[str, str] = {}
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from techtrail.llm import telephony, word_bpe
+from techtrail.llm import packing, sentence_spans, simhash, telephony, word_bpe
 
 QUERIES = {
     "op1_telephony_media": telephony.op1_telephony_media,
+    "op2_sentence_spans": sentence_spans.op2_sentence_spans,
+    "op3_simhash_pivots": simhash.op3_simhash_pivots,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_word_bpe": word_bpe.op10_word_bpe,
 }
 ORACLE: dict[str, str] = {}

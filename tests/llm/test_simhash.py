@@ -6,7 +6,7 @@ from techtrail.llm import graph, simhash
 
 
 def brute_fingerprint(text):
-    words = text.lower().split()
+    words = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
     if not words:
         return 0
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from techtrail.llm import packing, secrets, sentence_spans, simhash, telephony, toxicity, word_bpe
+from techtrail.llm import html_main_text, language_ppm, packing, secrets, sentence_spans, simhash, telephony, toxicity, word_bpe
 
 QUERIES = {
     "op1_telephony_media": telephony.op1_telephony_media,
     "op2_sentence_spans": sentence_spans.op2_sentence_spans,
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
+    "op5_language_ppm": language_ppm.op5_language_ppm,
+    "op6_html_tree_scoring": html_main_text.op6_html_tree_scoring,
     "op7_toxicity_trees": toxicity.op7_toxicity_trees,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_secret_novelty": secrets.op9_secret_novelty,

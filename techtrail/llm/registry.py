@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from techtrail.llm import html_main_text, language_ppm, packing, secrets, sentence_spans, simhash, telephony, toxicity, word_bpe
+from techtrail.llm import html_main_text, language_ppm, packing, quality_rules, secrets, sentence_spans, simhash, telephony, toxicity, word_bpe
 
 QUERIES = {
     "op1_telephony_media": telephony.op1_telephony_media,
     "op2_sentence_spans": sentence_spans.op2_sentence_spans,
     "op3_simhash_pivots": simhash.op3_simhash_pivots,
+    "op4_adaptive_quality": quality_rules.op4_adaptive_quality,
     "op5_language_ppm": language_ppm.op5_language_ppm,
     "op6_html_tree_scoring": html_main_text.op6_html_tree_scoring,
     "op7_toxicity_trees": toxicity.op7_toxicity_trees,
@@ -15,7 +16,9 @@ QUERIES = {
     "op9_secret_novelty": secrets.op9_secret_novelty,
     "op10_word_bpe": word_bpe.op10_word_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_adaptive_quality": quality_rules.ORACLE_SQL,
+}
 
 
 def queries() -> dict:

@@ -1 +1,83 @@
-"""Placeholder."""
+"""From raw documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents:
+
+1. toxicity: documents that the model rejects go;
+2. near-duplicates: of each SimHash component the document of smallest doc_id stays;
+3. substring dedup: sentences of repeated spans are cut from texts, the rows stay;
+4. secrets: spans are replaced by a mark, the rows stay;
+5. packing: sequences of at most 2048 tokens.
+
+n_chars follows the text where a stage changes it. Rows that share a doc_id and a text are one document to stages 1 to 3.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from techtrail.llm import packing, secrets, sentence_spans, simhash, toxicity
+from techtrail.llm.common import stash
+
+#: SQL for run()'s rows: none, since no stage can be said in SQL; each is tested against a plain version.
+ORACLE_SQL = None
+
+
+def _recount(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """n_chars of the present text, where there is such a column."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*(f"`{x}`" for x in columns))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under 0.5."""
+    _, model, lexicon = toxicity.score_all(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = model.score(toxicity.with_features(docs, lexicon), out="toxicity score")
+    return scored.where(F.col("`toxicity score`") < 0.5).select(*(f"`{x}`" for x in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of smallest doc_id, once if its row is repeated. Null ids name no document and stay."""
+    found = simhash.near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other id"), F.col("digest").alias("other digest")).distinct()
+    kept = docs.join(gone, (docs["doc_id"] == gone["other id"]) & (F.xxhash64(docs["text"]) == gone["other digest"]), "left_anti")
+    again = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("other id")))
+    if again.isEmpty():  # the usual case: ids are unique, and no row is moved to find out
+        return kept
+    one = kept.join(again, kept["doc_id"] == again["other id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == again["other id"], "left_anti").unionByName(one)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the sentences of spans that another document has already."""
+    return _recount(sentence_spans.remove_repeats(docs), docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in place of each secret."""
+    return _recount(secrets.redact(docs, secrets.identifier_dictionary(docs)), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's sequence and place."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each over what its predecessor kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stash(docs)
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from techtrail.llm import html_main_text, language_ppm, packing, quality_rules, secrets, sentence_spans, simhash, telephony, toxicity, word_bpe
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_secret_novelty": secrets.op9_secret_novelty,
     "op10_word_bpe": word_bpe.op10_word_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op4_adaptive_quality": quality_rules.ORACLE_SQL,

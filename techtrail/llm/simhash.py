@@ -68,15 +68,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (long) for df (doc_id, text)."""
+    """doc_id, digest (64-bit hash of the text), fingerprint (long) for df (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             made = [fingerprint(x or "", shingle, seed) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(made, pa.int64())], names=["doc_id", "digest", "fingerprint"])
 
-    kept = df.select("doc_id", text_or_empty().alias("text"))
-    return kept.mapInArrow(run, kept.select("doc_id", F.lit(None).cast("long").alias("fingerprint")).schema)
+    kept = df.select("doc_id", F.xxhash64("text").alias("digest"), text_or_empty().alias("text"))
+    return kept.mapInArrow(run, kept.select("doc_id", "digest", F.lit(None).cast("long").alias("fingerprint")).schema)
 
 
 def _bits(value: Column, blocks: list[tuple[int, int]], chosen: tuple[int, ...]) -> Column:
@@ -184,14 +184,14 @@ def near_edges(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fingerprint (long), component_id for documents (doc_id, text)."""
+    """doc_id, digest, fingerprint (long), component_id for documents (doc_id, text)."""
     marked = stash(fingerprints(documents, shingle, seed))
     distinct = stash(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     component = connected_components(near_edges(distinct))
     linked = distinct.join(component.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = linked.join(smallest, "component").select("fingerprint", "component_id")
-    return marked.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return marked.join(ids, "fingerprint").select("doc_id", "digest", "fingerprint", "component_id")
 
 
 def op3_simhash_pivots(spark, sf_dir):

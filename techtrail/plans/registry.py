@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from techtrail.plans import histories
+
+MODULES = [histories]
 
 
 def queries() -> dict:

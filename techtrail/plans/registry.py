@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from techtrail.plans import histories
+from techtrail.plans import histories, scans
 
-MODULES = [histories]
+MODULES = [histories, scans]
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from techtrail.plans import histories, scans
+from techtrail.plans import histories, scans, tables
 
-MODULES = [histories, scans]
+MODULES = [histories, scans, tables]
 
 
 def queries() -> dict:

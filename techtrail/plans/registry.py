@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from techtrail.plans import histories, scans, tables
+from techtrail.plans import histories, measures, scans, tables
 
-MODULES = [histories, scans, tables]
+MODULES = [histories, scans, tables, measures]
 
 
 def queries() -> dict:

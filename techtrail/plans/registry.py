@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from techtrail.plans import histories, measures, scans, tables
+from techtrail.plans import histories, measures, scans, tables, together
 
-MODULES = [histories, scans, tables, measures]
+MODULES = [histories, scans, tables, measures, together]
 
 
 def queries() -> dict:

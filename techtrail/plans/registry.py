@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from techtrail.plans import histories, measures, scans, tables, together
+from techtrail.plans import files, histories, measures, scans, tables, together
 
-MODULES = [histories, scans, tables, measures, together]
+MODULES = [histories, scans, tables, measures, together, files]
 
 
 def queries() -> dict:

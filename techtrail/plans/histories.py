@@ -332,6 +332,18 @@ def never_removed(spark, sf_dir):
     return patterns.retention(trans(spark, sf_dir))
 
 
+@book.query("removed", f"WITH {LIFE_SQL} SELECT label, count(*) FILTER (n_out > 0) AS removed, count(*) FILTER (n_out = 0) AS kept_always FROM life GROUP BY label HAVING count(*) FILTER (n_out > 0) > 0")
+def removed(spark, sf_dir):
+    """Labels that some project removed; those that none did are left out."""
+    found = patterns.retention(trans(spark, sf_dir)).where("removed > 0")
+    return found.select("label", "removed", F.col("never_removed").alias("kept_always"))
+
+
+@book.query("in_last", f"WITH {LIFE_SQL} SELECT user_id, label FROM life WHERE in_last")
+def in_last(spark, sf_dir):
+    return patterns.life(trans(spark, sf_dir)).where("in_last").select("user_id", "label")
+
+
 @book.query("support_buckets", f"WITH {CASES_SQL} SELECT line_count, count(*) AS patterns, max(x) AS max_x, line_count = 2 AS exactly_two, line_count > 2 AS over_two, line_count BETWEEN 3 AND 10 AS three_to_ten FROM subst GROUP BY line_count")
 def support_buckets(spark, sf_dir):
     return patterns.support_buckets(substitution(spark, sf_dir))

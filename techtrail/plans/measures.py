@@ -46,6 +46,13 @@ def count_nonzero(spark, sf_dir):
     return a.coverage(a.usage(b.history(spark, sf_dir).where("part = 1"), "user_id"), universe)
 
 
+@book.query("count_zero", f"{HIST} SELECT count(*) FILTER (n > 0) AS with_label, count(*) FILTER (n = 0) AS without FROM (SELECT c_custkey, count(DISTINCT h.label) AS n FROM customer LEFT JOIN hist h ON c_custkey = user_id GROUP BY c_custkey)")
+def count_zero(spark, sf_dir):
+    projects = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    used = b.history(spark, sf_dir).select("user_id").distinct().withColumn("used", F.lit(True))
+    return projects.join(used, "user_id", "left").agg(F.count_if("used").alias("with_label"), F.count_if(F.col("used").isNull()).alias("without"))
+
+
 @book.query("any_in_group", f"{TYPED} SELECT user_id, bool_or(model = 'Relational') AS uses FROM typed GROUP BY user_id")
 def any_in_group(spark, sf_dir):
     return a.uses_model(typed(spark, sf_dir), "Relational", "user_id")

@@ -134,8 +134,8 @@ def scan_scoped(spark, sf_dir):
     return scan.scan_scoped(b.lines(spark, sf_dir), patterns).distinct()
 
 
-@book.query("class_pattern", "SELECT DISTINCT lang || '/' || doc_id || '.' || lang AS path, '(\\s|[.,(]|^)' || doc_id || '(\\s|[.,(]|$)' AS pattern FROM documents WHERE text IS NOT NULL")
-def class_pattern(spark, sf_dir):
+@book.query("make_class_pattern", "SELECT DISTINCT lang || '/' || doc_id || '.' || lang AS path, '(\\s|[.,(]|^)' || doc_id || '(\\s|[.,(]|$)' AS pattern FROM documents WHERE text IS NOT NULL")
+def make_class_pattern(spark, sf_dir):
     return b.files(spark, sf_dir).select("path", scan.class_pattern(F.col("path")).alias("pattern")).distinct()
 
 

@@ -115,6 +115,14 @@ def drop_columns(spark, sf_dir):
     return found.select(*c.label_columns(found, ["user_id"]))
 
 
+@book.query("select_range", f"WITH {WIDE_SQL} SELECT user_id, purchase, signup FROM wide")
+def select_range(spark, sf_dir):
+    """Label columns by name from one on to another; a place in the table means nothing."""
+    found = wide(spark, sf_dir)
+    names = c.label_columns(found, ["user_id"])
+    return found.select("user_id", *names[names.index("purchase") : names.index("signup") + 1])
+
+
 @book.query("combine_multimodel", f"WITH {WIDE_SQL} SELECT user_id, error, purchase, signup, click + view AS seen FROM wide")
 def combine_multimodel(spark, sf_dir):
     return c.combine(wide(spark, sf_dir), ["click", "view"], "seen")

@@ -60,7 +60,7 @@ NAMES = ["log_words", "abuse", "abuse_density", "abuse_kinds", "near_second", "s
 
 def reads_as_abuse(word: bytes) -> bool:
     """Whether an obfuscated word is a lexicon word when signs are read as letters; * and # stand for any letter."""
-    text = word.decode("utf-8", "replace")
+    text = word.decode("utf-8", "replace").rstrip("!|+*#")  # signs after a word are no letters of it
     plain = text.translate(LEET).replace("-", "").replace(".", "").replace("_", "")
     if "*" not in plain and "#" not in plain:
         return plain in ABUSE

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from techtrail.llm.common import small_batches, text_or_empty
 
 ORDER = 3
-#: Sample texts for each language: those of least hash. Languages that are told apart at most: the most frequent.
-TEXTS, LANGUAGES = 400, 16
+#: Sample texts for each language at most, those of least hash in each of so many buckets of ids. Languages that are told apart at most: the most frequent.
+TEXTS, BUCKETS, LANGUAGES = 448, 64, 16
 UNIT = 65536
 
 
@@ -38,14 +38,13 @@ def held_out() -> Column:
 
 def sample_texts(documents: DataFrame, texts: int = TEXTS, languages: int = LANGUAGES) -> DataFrame:
     """lang, text: sample texts of the languages to learn."""
-    known = documents.where("lang is not null and text is not null").where(~held_out())
+    known = documents.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    # texts are chosen by hash and id alone, so that no text is moved to choose it
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    spread = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(64))).orderBy(*order)
-    inside = known.select("lang", "doc_id").where("doc_id is not null").withColumn("place", F.row_number().over(spread)).where(F.col("place") <= texts)
-    chosen = inside.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= texts)
-    chosen = F.broadcast(chosen.join(F.broadcast(top), "lang").select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")))  # texts x languages rows at most
+    # chosen by hash and id alone, so that no text is moved to choose it, and within buckets, so that no language is one task's work
+    bucket = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BUCKETS))
+    order = Window.partitionBy("lang", bucket).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts // BUCKETS)
+    chosen = F.broadcast(chosen.join(F.broadcast(top), "lang").select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")).distinct())  # texts x languages rows at most
     return known.join(chosen, (known["doc_id"] == chosen["chosen id"]) & (known["lang"] == chosen["chosen lang"])).select(known["lang"], known["text"])
 
 

@@ -4,7 +4,8 @@
 piece a sequence and an offset. The plan is made from the number of pieces of
 each length alone, a table of at most ``capacity`` rows however large the input:
 
-* large lengths, sorted, are cut into groups of equally many pieces, and each is rounded up to its group's largest;
+* large lengths, sorted, are cut into groups of equally many pieces, and each is rounded up to its group's largest
+  (several thresholds of "large" are tried, and the best plan kept);
 * the few sizes that remain are packed by the linear programme over configurations (columns are generated by a
   knapsack), rounded down to whole numbers;
 * configurations get actual lengths in place of rounded ones, which never need more room;
@@ -36,8 +37,11 @@ from techtrail.llm.common import small_batches, stash, text_or_empty
 from techtrail.llm.word_bpe import byte_letters
 
 CAPACITY = 2048
-#: Groups of equally many large pieces; large is over this part of the capacity.
-GROUPS, LARGE = 80, 1 / 8
+#: Groups of equally many large pieces.
+GROUPS = 80
+#: What counts as large, in parts of the capacity: plans are made for each until one is this close to the least
+#: number of sequences that the sum of lengths allows; the one with the fewest sequences is taken.
+LARGE, CLOSE = (1 / 2, 2 / 5, 1 / 4, 1 / 8), 1.0005
 #: Chunks of text that a worker keeps the ids of.
 KEPT = 400_000
 #: Pieces of one length are numbered in so many buckets.
@@ -170,8 +174,21 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
     return made
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: float = LARGE) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in one sequence, number of such sequences)] for a histogram of lengths."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: tuple[float, ...] = LARGE) -> list[tuple[tuple[int, ...], int]]:
+    """[(lengths in one sequence, number of such sequences)] for a histogram of lengths, the best of those for the given thresholds."""
+    bound = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    best: list[tuple[tuple[int, ...], int]] = []
+    for part in large:
+        made = plan_above(histogram, capacity, groups, part)
+        if not best or sum(n for _, n in made) < sum(n for _, n in best):
+            best = made
+        if sum(n for _, n in best) <= CLOSE * bound:
+            break
+    return best
+
+
+def plan_above(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[tuple[int, ...], int]]:
+    """A plan in which lengths over this part of the capacity are packed by linear grouping, and the others by best fit into what room is left."""
     left = {int(k): int(v) for k, v in histogram.items() if v > 0}
     done: list[tuple[tuple[int, ...], int]] = []
     if capacity in left:

@@ -93,6 +93,26 @@ def test_plans_are_whole_and_close_to_the_bound(seed):
     assert sequences <= bound * 1.02 + 2
 
 
+@pytest.mark.parametrize("large", packing.LARGE)
+def test_grouped_plans_are_whole_for_each_threshold(large):
+    rng = np.random.default_rng(9)
+    histogram = Counter(rng.integers(1, 2048, 5000).tolist() + [700] * 900 + [683] * 600)
+    plan = packing.plan_above(histogram, 2048, packing.GROUPS, large)
+    placed = Counter()
+    for x, times in plan:
+        assert sum(x) <= 2048
+        for length in x:
+            placed[length] += times
+    assert placed == histogram
+
+
+def test_configurations_beat_best_fit_where_it_is_weak():
+    histogram = {1000: 3000, 700: 3000, 348: 3000, 500: 3000, 450: 3000, 1098: 3000}
+    best = sum(n for _, n in packing.plan(histogram))
+    assert best <= sum(n for _, n in packing.plan_above(histogram, 2048, packing.GROUPS, 1 / 2))
+    assert best <= 1.01 * sum(k * v for k, v in histogram.items()) / 2048 + 1
+
+
 def test_packing_is_gapless(spark):
     rows = [(i, "word " * k) for i, k in enumerate([0, 1, 5, 700, 2047, 2048, 3000, 9000, 5, 5])] + [(3, "word " * 700), (None, "x"), (11, None)]
     packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()

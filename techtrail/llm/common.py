@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-#: Words of the contracts: runs of anything but space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="techtrail-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from techtrail.sources.shared import new_path
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -34,7 +17,7 @@ def stash(df: DataFrame) -> DataFrame:
     Cuts the lineage, and keeps results that are read twice; a lost executor
     costs nothing, since the files are not its own.
     """
-    path = f"{shared_folder(df.sparkSession)}/techtrail-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "stash")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,8 +29,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from techtrail.llm.common import small_batches, stash
 
 RUN = 3
-WORDS = 20
-LONG_WORDS = 40
+WORDS = 12
+LONG_WORDS = 30
 #: Stands for a null doc_id.
 LAST_ID = (1 << 63) - 1
 

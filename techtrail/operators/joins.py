@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.operators.ordering import number_rows
 
 
 def outer_indicator(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -94,12 +95,8 @@ def merge_stores(a: DataFrame, b: DataFrame, natural: list[str], ident: str = "i
     """(merged rows, map of b's ids): rows with the same natural key are one and keep a's id; new ones get ids after a's largest, in order of b's."""
     matched = b.select(F.col(ident).alias("old_id"), *natural).join(a.select(F.col(ident).alias("a_id"), *natural), natural, "left")
     most = a.agg(F.coalesce(F.max(ident), F.lit(0)).alias("most"))
-    # new rows are numbered by range: within buckets of ids, after the sizes of the buckets before
-    new = matched.where("a_id is null").withColumn("bucket", F.expr("old_id div 4096"))
-    sizes = new.groupBy("bucket").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("old_id"))
-    fresh = new.withColumn("place", place).join(before, "bucket").crossJoin(F.broadcast(most)).select(*natural, "old_id", (F.col("most") + F.col("before") + F.col("place")).alias("new_id"))  # most is one row
+    new = number_rows(matched.where("a_id is null").select("old_id", *natural), ["old_id"], "place")
+    fresh = new.crossJoin(F.broadcast(most)).select(*natural, "old_id", (F.col("most") + F.col("place") + 1).alias("new_id"))  # most is one row
     ids = matched.where("a_id is not null").select("old_id", F.col("a_id").alias("new_id")).unionByName(fresh.select("old_id", "new_id"))
     return a.select(F.col(ident), *natural).unionByName(fresh.select(F.col("new_id").alias(ident), *natural)), ids
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.operators.ordering import number_rows
 
 
 def transitions(hist: DataFrame, project: str = "user_id") -> DataFrame:
@@ -58,7 +59,7 @@ def item_dictionary(labels: DataFrame) -> DataFrame:
 
 def sequence_index(projects: DataFrame, order: list[str]) -> DataFrame:
     """Adds line: 0, 1, ... in the given order of the projects (one row each)."""
-    return projects.withColumn("line", F.row_number().over(Window.orderBy(*order)) - 1)
+    return number_rows(projects, order, "line")
 
 
 def decode_lines(patterns: DataFrame, index: DataFrame, project: str) -> DataFrame:

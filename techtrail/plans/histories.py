@@ -143,7 +143,7 @@ def item_dictionary(spark, sf_dir):
     return sequences.item_dictionary(events(spark, sf_dir).select(F.col("event_type").alias("label")))
 
 
-@book.query("sequence_project_index", "SELECT user_id, (row_number() OVER (ORDER BY user_id) - 1)::INTEGER AS line FROM (SELECT DISTINCT user_id FROM events)")
+@book.query("sequence_project_index", "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS line FROM (SELECT DISTINCT user_id FROM events)")
 def sequence_project_index(spark, sf_dir):
     return sequences.sequence_index(events(spark, sf_dir).select("user_id").distinct(), ["user_id"])
 

@@ -51,6 +51,7 @@ CUT_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead footer footers colophon comment comments commentlist disqus replies respond reply cookie cookies consent gdpr notice notices notification notifications alert disclaimer popup modal overlay subscribe subscription newsletter signup login share sharing sharebar social related recommended recommendations widget widgets toolbar pager pagination skip outbrain taboola form search copyright".split()
 )
 COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus", "commentlist", "ad", "ads", "advert", "advertisement", "promo", "sponsored", "related", "teaser"}
+READERS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
 GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text", "blog", "hentry"}
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -60,7 +61,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children, self.names, self.cut = tag, parent, [], frozenset(), False
-        self.holds, self.points, self.size, self.linked = False, 0.0, 0, 0
+        self.holds, self.points, self.size, self.linked = 0, 0.0, 0, 0  # holds: 1 an article, 2 a main element
         if attributes:
             self.read(attributes)
 
@@ -125,9 +126,9 @@ def parse(html: str) -> Node:
             continue
         node = Node(tag, here, attributes)
         here.children.append(node)
-        if tag in ("article", "main"):
+        if tag == "main" or tag == "article" and not node.names & COMMENT_WORDS:
             for x in _line(here):
-                x.holds = True
+                x.holds = max(x.holds, 2 if tag == "main" else 1)
         if tag not in VOID:  # a slash at the end of a tag means nothing
             here = node
     return root
@@ -148,6 +149,8 @@ def is_cut(node: Node) -> bool:
         return not (node.holds and tag == "form")
     if tag in ("article", "main"):
         return tag == "article" and bool(node.names & COMMENT_WORDS) and not node.names & {"content", "body"}
+    if node.names & READERS and node.holds < 2 and tag in ("div", "section", "ul", "ol", "li", "dl", "table"):
+        return True
     if tag == "header":
         return not any(x.tag in ("article", "main") for x in _line(node.parent))
     return bool(node.names & CUT_WORDS) and not node.holds and tag not in HEADINGS | {"p", "a", "span", "b", "i", "em", "strong"} | ({"header"} if node.names & GOOD_WORDS else set()) or tag in ("p", "span", "a") and bool(node.names & (COMMENT_WORDS | {"advertising", "copyright", "notice", "cookie"}))
@@ -215,7 +218,9 @@ def chosen(root: Node) -> list[Node]:
     best = max(containers, key=score)
     around = [x for x in _line(best) if x.tag in ("article", "main")]
     if around:
-        return [around[0] if around[0].tag == "article" else around[-1]]
+        root = around[0] if around[0].tag == "article" else around[-1]
+        beside = root.parent.children if root.parent is not None and root.parent.tag == "main" else [root]
+        return [x for x in beside if x is root or not isinstance(x, str) and x.tag == "h1"]
     if best.parent is None:
         return [best]
     least, kept = max(10.0, score(best) / 5), []

@@ -150,6 +150,8 @@ PAGES = [
     ("<article><section><p>First part, quite long, with some commas, here.</p></section><section><p>x</p></section></article>", "First part, quite long, with some commas, here.\n\nx"),
     ("<body><div class='cookie-notice'><p>We use cookies, and more cookies, and so on and on.</p></div><div><p>The article itself, in one plain paragraph, without a class.</p></div>", "The article itself, in one plain paragraph, without a class."),
     ("<nav><ul><li><a href=a>One</a></ul></nav>", ""),
+    ("<main><h1>Title</h1><article><p>The text of it, with a comma, and so on.</p></article><section class='comments'><article><p>I, for one, think, and say, a lot, indeed, all of the time.</p></article></section></main>", "Title\n\nThe text of it, with a comma, and so on."),
+    ("<article><p>The text of it, with a comma, and so on.</p></article><ol id='commentlist'><li><article class='comment'><p>Nice, nice, nice, nice, nice, nice, nice, nice, nice.</p></article></ol>", "The text of it, with a comma, and so on."),
 ]
 
 

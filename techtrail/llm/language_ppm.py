@@ -126,7 +126,6 @@ class Tables:
         for context, row in rows.items():
             self.find[(..., *(self.symbol[list(context)]))] = row
         self.find = self.find.ravel()
-        self.starts = [rows.get(b"", 0)]
         self.rows = rows
 
     def costs(self, data: bytes) -> np.ndarray:

@@ -18,7 +18,6 @@ don't matter.
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import itertools
 import json

@@ -8,7 +8,7 @@ from techtrail.operators import joins, models
 from techtrail.plans import bindings as b
 from techtrail.plans.book import Book
 from techtrail.plans.histories import MODELS_SQL, catalogue
-from techtrail.plans.tables import EVENT_TYPES, META_SQL, WIDE_SQL, meta, wide
+from techtrail.plans.tables import META_SQL, WIDE_SQL, meta, wide
 
 book = Book()
 HIST = f"WITH {b.HISTORY_SQL}"

@@ -86,6 +86,7 @@ def substitution_cases(trans: DataFrame, project: str = "user_id", adjacent: boo
     Rows meet by project and slice alone.
     """
     own = Window.partitionBy(project, "label")
+    ordered = own.orderBy("part")
     seen = trans.select(
         project,
         "part",
@@ -93,21 +94,16 @@ def substitution_cases(trans: DataFrame, project: str = "user_id", adjacent: boo
         "op",
         F.min(F.when(F.col("op") != "OUT", F.col("part"))).over(own).alias("first_part"),
         F.max(F.when(F.col("op") != "OUT", F.col("part"))).over(own).alias("last_part"),
-        F.max(F.when(F.col("op") == "IN", F.col("part"))).over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("entered"),
-        F.lead("op").over(own.orderBy("part")).alias("next_op"),
-        F.lead("part").over(own.orderBy("part")).alias("next_part"),
+        F.max(F.when(F.col("op") == "IN", F.col("part"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("entered"),
+        F.lag("op").over(ordered).alias("op_before"),
+        ((F.lead("op").over(ordered) == "KEEP") & (F.lead("part").over(ordered) == F.col("part") + 1)).alias("kept_next"),
     )
-    gone = seen.where("op = 'OUT'").select(project, "part", F.col("label").alias("x"), F.col("first_part").alias("x_first"))
+    gone = seen.where("op = 'OUT'").select(project, "part", F.col("label").alias("x"), F.col("first_part").alias("x_first"), (F.col("op_before") == "KEEP").alias("x_was_kept"))
     there = seen.where("op <> 'OUT'").withColumnRenamed("label", "y")
-    stays = F.expr("next_op = 'KEEP' and next_part = part + 1") if adjacent else F.expr("last_part > part")
-    s1 = gone.join(there.where("op = 'IN'").where(stays), [project, "part"]).select(F.lit("S1").alias("pattern"), project, "x", "y")
-    both = gone.join(there, [project, "part"])
-    if adjacent:  # y entered one slice before x left; x was there the slice before that
-        x_before = trans.where("op <> 'OUT'").select(project, F.col("label").alias("x"), (F.col("part") + 2).alias("part"))
-        s2 = both.where("entered = part - 1").join(x_before, [project, "x", "part"], "left_semi")
-    else:
-        s2 = both.where("entered > x_first")
-    return s1.unionByName(s2.select(F.lit("S2").alias("pattern"), project, "x", "y")).distinct()
+    stays = F.col("kept_next") if adjacent else F.col("last_part") > F.col("part")
+    came = (F.col("entered") == F.col("part") - 1) & F.col("x_was_kept") if adjacent else F.col("entered") > F.col("x_first")
+    held = F.array_compact(F.array(F.when((F.col("op") == "IN") & stays, "S1"), F.when(came, "S2")))
+    return gone.join(there, [project, "part"]).select(F.explode(held).alias("pattern"), project, "x", "y").distinct()
 
 
 def substitutions(trans: DataFrame, project: str = "user_id", adjacent: bool = False) -> DataFrame:

@@ -6,8 +6,11 @@ that a span covers which is not the first of its hash are removed.
 A text is cut into sentences after . ! ? and white space, and at line breaks. Runs are: from each sentence on, and back from each sentence, the
 shortest with ``run`` sentences and ``words`` words (so each sentence of a repeated passage that has as many is
 covered, those at its ends too), and runs of fewer sentences that have ``long_words`` words.
+A passage may also begin and end inside sentences. Of the ``EDGE`` words from each word on, those of least hash among ``WINDOW`` in a row are
+hashed too, wherever sentences end, so that any two equal passages of EDGE + WINDOW - 1 = 51 words have one in common. Such a run's words are
+removed without the rest of their sentences; of a repeated passage at most WINDOW - 1 words are left at each end.
 Hashes are 96 bits of a run's words, white space not counted. The first span of a hash is that in the document of smallest doc_id, there
-the earliest.
+the earliest; a run of EDGE words that overlaps the first of its hash is no repeat.
 
 Defined results: null and empty texts stay as they are; a text from which nothing is removed stays
 as it is, byte for byte; rows that share a doc_id count as one place (repeated rows keep equal
@@ -31,10 +34,16 @@ from techtrail.llm.common import small_batches, stash
 RUN = 3
 WORDS = 12
 LONG_WORDS = 30
+#: Words of a run that may begin inside a sentence, and of how many such runs in a row one at least is hashed.
+EDGE, WINDOW = 30, 22
+#: Stands for a sentence's number where a span is EDGE words, from word "begin" of the text on.
+IN_WORDS = -1
 #: Stands for a null doc_id.
 LAST_ID = (1 << 63) - 1
 
 BREAK = re.compile(r"[.!?]+\s+|\n\s*")
+#: A word with the white space around it that no other word has.
+WORD = re.compile(r"^\s*\S+\s*|\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
@@ -76,24 +85,80 @@ def spans(counts: list[int], run: int = RUN, words: int = WORDS, long_words: int
     return sorted(found)
 
 
+class _Numbers(dict):
+    """A hash of each word, kept until there are many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        self[word] = number = xxhash.xxh3_64_intdigest(word.encode())
+        return number
+
+
+def _over(values: np.ndarray, pick: np.ufunc, size: int) -> np.ndarray:
+    """pick (minimum or maximum) of each ``size`` values in a row."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def word_runs(words: list[str], numbers: dict[str, int] | None = None, edge: int = EDGE, window: int = WINDOW) -> list[int]:
+    """Where the runs of ``edge`` words begin that are least of some ``window`` in a row; none in texts that have no window."""
+    n = len(words) - edge + 1
+    if n < window:
+        return []
+    numbers = _Numbers() if numbers is None else numbers
+    sums = np.fromiter((numbers[x] for x in words), np.uint64, len(words))
+    have = 1
+    while have < edge:  # sums of each `have` words, weighted by place
+        step = min(have, edge - have)
+        sums = (sums[:-step] ^ (sums[:-step] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + sums[step:]
+        have += step
+    sums ^= sums >> np.uint64(31)
+    sums *= np.uint64(0xBF58476D1CE4E5B9)
+    sums ^= sums >> np.uint64(32)
+    least = _over(sums, np.minimum, window)
+    # a run is least of a window when the greatest of its windows' minima is itself
+    ends = np.zeros(window - 1, np.uint64)
+    return np.flatnonzero(_over(np.concatenate([ends, least, ends]), np.maximum, window) == sums).tolist()
+
+
 def _hashed(run: int, words: int, long_words: int):
-    """Rows (high, low, id, digest, begin, end, again); again: the document has had this hash before."""
+    """Rows (high, low, id, digest, number, begin, end, again); again: the document has had this hash before, which is then left out. A document's first row, without a hash, names it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers()
         for batch in small_batches(batches, "text", 1 << 20):
-            high, low, ids, digests, begins, ends, again = [], [], [], [], [], [], []
-            for doc, mark, text in zip(*(batch.column(x).to_pylist() for x in ("id", "digest", "text")), strict=True):
+            high, low, begins, ends, again, sizes = [], [], [], [], [], []
+
+            def add(digest: int, begin: int, end: int, seen: bool) -> None:
+                high.append(0 if seen else digest >> 64), low.append(0 if seen else digest & 0xFFFFFFFF)  # noqa: B023
+                begins.append(begin), ends.append(end), again.append(seen)  # noqa: B023
+
+            for text in batch.column("text").to_pylist():
+                size = len(begins)
+                add(0, 0, 0, True)
                 split = [x.split() for x in sentences(text or "")]
                 plain = [" ".join(x) for x in split]
                 seen = set()
                 for begin, end in spans([len(x) for x in split], run, words, long_words):
                     digest = xxhash.xxh3_128_intdigest(" ".join(plain[begin:end]).encode())
-                    high.append(digest >> 64), low.append(digest & 0xFFFFFFFF), ids.append(doc), digests.append(mark)
-                    begins.append(begin), ends.append(end), again.append(digest in seen)
+                    add(digest, begin, end, digest in seen)
                     seen.add(digest)
-            columns = [pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint32).view(np.int32)), pa.array(ids, pa.int64()), pa.array(digests, pa.int64())]
+                flat, places = [w for x in split for w in x], {}
+                for begin in word_runs(flat, numbers):
+                    digest = xxhash.xxh3_128_intdigest(" ".join(flat[begin : begin + EDGE]).encode(), 1)
+                    place = places.setdefault(digest, begin)
+                    if begin == place or begin >= place + EDGE:
+                        add(digest, begin, IN_WORDS, begin != place)
+                sizes.append(len(begins) - size)
+            columns = [pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint32).view(np.int32))]
+            columns += [pa.array(np.repeat(batch.column(x).to_numpy(zero_copy_only=False), sizes), pa.int64()) for x in ("id", "digest", "number")]
             columns += [pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "id", "digest", "begin", "end", "again"])
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "id", "digest", "number", "begin", "end", "again"])
 
     return rows
 
@@ -104,12 +169,15 @@ def _owner() -> list[Column]:
 
 
 def repeated_spans(documents: DataFrame, run: int = RUN, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """id, digest, begin, end of the spans that are not the first of their hash (sentences counted from 0)."""
-    texts = documents.where("text is not null").select(*_owner(), "text")
-    hashed = stash(texts.mapInArrow(_hashed(run, words, long_words), "high long, low int, id long, digest long, begin int, end int, again boolean"))
-    firsts = hashed.where("not again").groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("high", "low", "first")
-    elsewhere = hashed.where("not again").join(firsts, ["high", "low"]).where("id > first").select("id", "digest", "begin", "end")
-    return elsewhere.unionByName(hashed.where("again").select("id", "digest", "begin", "end"))
+    """id, digest, begin, end of the spans that are not the first of their hash (sentences counted from 0; where end is IN_WORDS, begin counts words)."""
+    texts = documents.where("text is not null").select(*_owner(), F.monotonically_increasing_id().alias("number"), "text")
+    hashed = stash(texts.mapInArrow(_hashed(run, words, long_words), "high long, low int, id long, digest long, number long, begin int, end int, again boolean"))
+    firsts = hashed.where("not again").groupBy("high", "low").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    # of all hashes only a document's number is moved; the few that repeat find its id and digest by it
+    repeated = hashed.where("not again").select("high", "low", "number", "begin", "end").join(firsts, ["high", "low"]).select("number", "first", "begin", "end")
+    owners = hashed.where("again and begin = 0 and end = 0").select("number", "id", "digest")
+    elsewhere = repeated.join(owners, "number").where("id > first").select("id", "digest", "begin", "end")
+    return elsewhere.unionByName(hashed.where("again and end <> 0").select("id", "digest", "begin", "end"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,20 +185,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, removed, counts = [], [], []
         for text, covered in zip(batch.column("text").to_pylist(), batch.column("repeated spans").to_pylist(), strict=True):
             parts = sentences(text or "")
-            gone = bytearray(len(parts))
+            gone, words = bytearray(len(parts)), set()
             for x in covered or ():
-                gone[x["begin"] : x["end"]] = b"\1" * (min(x["end"], len(parts)) - min(x["begin"], len(parts)))
+                if x["end"] == IN_WORDS:
+                    words.update(range(x["begin"], x["begin"] + EDGE))
+                else:
+                    gone[x["begin"] : x["end"]] = b"\1" * (min(x["end"], len(parts)) - min(x["begin"], len(parts)))
+            kept, at = [], 0
+            for i, x in enumerate(parts if words else ()):
+                pieces = WORD.findall(x)
+                left = [w for k, w in enumerate(pieces, at) if k not in words]
+                at += len(pieces)
+                if len(left) < len(pieces):
+                    gone[i] |= 2
+                    x = "".join(left)
+                kept.append(x)
             counts.append(len(parts))
-            removed.append(sum(gone))
-            texts.append("".join(x for x, y in zip(parts, gone, strict=True) if not y).strip() if any(gone) else text)
-        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-        kept[batch.schema.get_field_index("text")] = pa.array(texts, pa.string())
+            removed.append(sum(map(bool, gone)))
+            texts.append("".join(x for x, y in zip(kept or parts, gone, strict=True) if not y & 1).strip() if any(gone) else text)
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        columns[batch.schema.get_field_index("text")] = pa.array(texts, pa.string())
         names = [*batch.schema.names[:-1], "sentences", "sentences removed"]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], names=names)
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], names=names)
 
 
 def remove_repeats(documents: DataFrame, run: int = RUN, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """documents with repeated sentences removed from text; columns "sentences" and "sentences removed" are added, or replaced."""
+    """documents with repeated sentences removed from text; columns "sentences" and "sentences removed" (whole or in part) are added, or replaced."""
     spans_of = repeated_spans(documents, run, words, long_words).groupBy(F.struct("id", "digest").alias("span owner")).agg(F.collect_set(F.struct("begin", "end")).alias("repeated spans"))
     kept = documents.drop("sentences", "sentences removed", "span owner", "repeated spans")
     joined = kept.join(spans_of, F.struct(*_owner()) == F.col("span owner"), "left").drop("span owner")

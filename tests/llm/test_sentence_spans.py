@@ -56,3 +56,35 @@ def test_equal_ids_null_ids_and_no_rows(spark):
     found = s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1, r["text"]) for r in found) == sorted([(1, long), (1, long), (-1, ""), (-1, "short one."), (2, "clean text here.")])
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_that_begin_and_end_inside_sentences(spark):
+    rng = random.Random(7)
+    own = lambda k, n: " ".join(f"d{k}x{i}" for i in range(n))
+    rows, shared = [], []
+    for k, lengths in enumerate([(17, 17, 17), (14, 14, 14, 14), (26, 25), (51,), (60, 60)]):
+        passage = [f"p{k}w{i}" for i in range(sum(lengths))]
+        for at in range(1, len(lengths)):
+            passage[sum(lengths[:at]) + rng.randint(-5, 0)] += "."
+        shared.append(" ".join(passage))
+        rows += [(10 * k + i, f"{own(10 * k + i, 30)}. {own(10 * k + i, 9)} {shared[-1]} {own(10 * k + i, 8)}. {own(10 * k + i, 5)}!") for i in range(2)]
+    texts = {r["doc_id"]: r for r in s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs = lambda text: {tuple(w[i : i + 51]) for w in [text.split()] for i in range(len(w) - 50)}
+    for k in range(len(shared)):
+        first, second = texts[10 * k], texts[10 * k + 1]
+        assert first["text"] == dict(rows)[10 * k] and second["sentences removed"] > 0
+        assert not runs(first["text"]) & runs(second["text"])
+        assert [w for w in dict(rows)[10 * k + 1].split() if w.startswith("d")] == [w for w in second["text"].split() if w.startswith("d")]
+
+
+def test_equal_passages_have_a_run_in_common_wherever_they_stand():
+    rng = random.Random(8)
+    for _ in range(200):
+        passage = [f"w{rng.randint(0, 50)}" for _ in range(s.EDGE + s.WINDOW - 1)]
+        found = []
+        for _ in range(2):
+            text = [[str(rng.random()) for _ in range(rng.randint(0, 40))] for _ in range(2)]
+            words = [*text[0], *passage, *text[1]]
+            found.append({tuple(words[i : i + s.EDGE]) for i in s.word_runs(words)})
+        assert found[0] & found[1]
+    assert s.word_runs(["a"] * 50) == [] and s.word_runs(["a"] * 51) == list(range(22))

@@ -2,7 +2,7 @@
 
 Patterns give the base spans. The method adds more: near a word such as "secret" or
 "credential", each long string of letters, digits and + / _ = - is a candidate. Its novelty is the number of bytes that it adds
-to what zstandard makes of the text around it, where the compressor is primed with a
+to what zstandard makes of the text around it (without the candidates in it, which may be copies), where the compressor is primed with a
 dictionary of code words and of the identifiers that stand in such surroundings anywhere in the corpus. Names and paths add few bytes;
 strings of at least ``novel`` added bytes a character are reported.
 
@@ -91,12 +91,33 @@ def added_bytes(compressor: zstandard.ZstdCompressor, before: str, text: str, af
     return len(compressor.compress((before + text + after).encode())) - around
 
 
+def without(text: str, begin: int, end: int, spans: list[tuple[int, int]], secret: str) -> str:
+    """text[begin:end] without the spans (sorted) and without the places of a secret, those that reach over its ends too."""
+    at = text.find(secret, max(0, begin - len(secret)), end + len(secret))
+    gone = [(a, b) for a, b in spans if a < end and begin < b]
+    while at >= 0:
+        gone.append((at, at + len(secret)))
+        at = text.find(secret, at + 1, end + len(secret))
+    parts = []
+    for a, b in sorted(gone):
+        parts.append(text[begin : max(begin, min(a, end))])
+        begin = max(begin, b)
+    return "".join([*parts, text[begin:end]])
+
+
 def novel_spans(text: str, compressor: zstandard.ZstdCompressor, taken: list[tuple[int, int, int]], novel: float = NOVEL) -> list[tuple[int, int, int]]:
-    found = []
-    for a, b in candidates(text):
+    """(start, kind, end) of the candidates that add enough to their surroundings, in which no candidate stands: a copy nearby takes nothing away."""
+    found, sought = [], list(candidates(text))
+    for i, (a, b) in enumerate(sought):
         if any(start < b and a < end for start, _, end in taken):
             continue
-        if added_bytes(compressor, text[max(0, a - NEAR) : a], text[a:b], text[b : b + NEAR]) >= novel * (b - a):
+        first = last = i
+        while first and sought[first - 1][1] > a - NEAR:
+            first -= 1
+        while last + 1 < len(sought) and sought[last + 1][0] < b + NEAR:
+            last += 1
+        near, secret = sought[first : last + 1], text[a:b]
+        if added_bytes(compressor, without(text, max(0, a - NEAR), a, near, secret), secret, without(text, b, min(len(text), b + NEAR), near, secret)) >= novel * (b - a):
             found.append((a, 3, b))
     return found
 

@@ -50,6 +50,19 @@ def test_novel_strings_are_reported_and_names_are_not():
     assert secrets.novel_spans(f"credential {'ab12' * 12}", compressor, []) == []
 
 
+def test_secrets_that_stand_twice_are_reported_twice():
+    compressor, rng = secrets.primed(" ".join(secrets.CODE_WORDS).encode()), random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for gap in ("\n", "\nold credential ", " " + "the same again, " * 5, " " + "x " * 40):
+        for size in (20, 40):
+            key = "".join(rng.choice(letters) for _ in range(size - 2)) + "a1"
+            text = f"the credential {key}{gap}{key} is used"
+            found = [text[a:b] for a, _, b in secrets.novel_spans(text, compressor, [])]
+            assert found == [key] * (2 if len(gap) < 70 else len(found)) and found
+    assert secrets.without("ab K1 cd K1 ef K", 0, 14, [(3, 5)], "K1") == "ab  cd  ef"
+    assert secrets.without("K1 ab K1", 1, 7, [], "K1") == " ab "
+
+
 def test_query_digests(spark, tmp_path):
     frame = spark.createDataFrame([(i, x) for i, x in enumerate([*CASES, None])], "doc_id long, text string")
     frame.write.parquet(f"{tmp_path}/documents.parquet")

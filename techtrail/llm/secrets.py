@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,19 +128,37 @@ def primed(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=data, write_checksum=False, write_content_size=False)
 
 
+def identifiers(text: str) -> set[str]:
+    """The identifiers near sensitive words, without what is part of a candidate."""
+    found: set[str] = set()
+    sought = list(candidates(text))
+    k = 0
+    for begin, end in windows(text):
+        while k < len(sought) and sought[k][0] < end:
+            a, b = sought[k]
+            if begin < a:
+                found.update(IDENTIFIER.findall(text, begin, a))
+            begin = max(begin, min(b, end))
+            if b > end:
+                break  # it may reach into the next window
+            k += 1
+        found.update(IDENTIFIER.findall(text, begin, end))
+    return found
+
+
 def identifier_dictionary(df: DataFrame, size: int = IDENTIFIERS) -> bytes:
-    """The most frequent identifiers near sensitive words in all texts (at most ``size``), the most frequent last."""
+    """The identifiers near sensitive words in most different texts (at most ``size``), the most frequent last."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            counts: dict[str, int] = {}
-            for text in batch.column("text").to_pylist():
-                for begin, end in windows(text or ""):
-                    for word in IDENTIFIER.findall(text, begin, end):
-                        counts[word] = counts.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-
-    counted = df.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            found: set[tuple[str, int]] = set()
+            for text in set(batch.column("text").to_pylist()):
+                if text and (near := identifiers(text)):
+                    digest = xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+                    found.update((word, digest) for word in near)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["word", "digest"])
+
+    counted = df.select("text").mapInArrow(words, "word string, digest long").distinct().groupBy("word").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
     found = sorted(((r["n"], r["word"]) for r in top))
     return " ".join([*CODE_WORDS, *(word for _, word in found)]).encode()

@@ -50,6 +50,18 @@ def test_novel_strings_are_reported_and_names_are_not():
     assert secrets.novel_spans(f"credential {'ab12' * 12}", compressor, []) == []
 
 
+def test_copies_of_a_secret_do_not_fill_the_dictionary(spark):
+    key = "kQzWxYvB7nMtRpLs9dGhJf3cVbNqTz5wKm2XyPaE"
+    text = f"the credential value {key} is used"
+    one = [(text,), ("another credential value here",)]
+    made = [secrets.identifier_dictionary(spark.createDataFrame(one * n, "text string").repartition(3)) for n in (1, 50)]
+    assert made[0] == made[1] and made[0].endswith(b" credential value")
+    assert not any(x.encode() in made[0] for x in secrets.IDENTIFIER.findall(key))
+    assert secrets.novel_spans(text, secrets.primed(made[1]), []) == [(21, 3, 21 + len(key))]
+    wide = f"secret {'ab' * 60}1 {'x' * 90} token end"
+    assert "token" in secrets.identifiers(wide) and not any("abab" in x for x in secrets.identifiers(wide))
+
+
 def test_secrets_that_stand_twice_are_reported_twice():
     compressor, rng = secrets.primed(" ".join(secrets.CODE_WORDS).encode()), random.Random(9)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -32,6 +32,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: What may stand before the body, and does not open it.
+BEFORE_BODY = set("head base basefont bgsound link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An open element of these is closed by the start of one of those, unless one of the last stands between.
 IMPLIED = {
@@ -81,14 +83,25 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; texts are its strings, with character references decoded."""
     root = here = Node("html", None)
-    at, end = 0, len(html)
+    at, end, opened = 0, len(html), False
+    def implied() -> Node:
+        """Where the next content goes: into a body, which text and elements open that can't stand before it."""
+        nonlocal opened
+        if opened or here is not root and here.tag != "head":
+            return here
+        opened = True
+        root.children.append(body := Node("body", root))
+        return body
+
     while at < end:
         m = TOKEN.search(html, at)
+        if m is None or m.start() > at:
+            text = html[at : m.start() if m else end]
+            if not text.isspace():
+                here = implied()
+            here.children.append(unescape(text))
         if m is None:
-            here.children.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            here.children.append(unescape(html[at : m.start()]))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -105,6 +118,10 @@ def parse(html: str) -> Node:
         attributes = m[3] or m[6] or ""
         if tag == "html" or tag == "body" and any(x.tag == "body" for x in _line(here)):
             continue
+        if tag == "body":
+            opened = True
+        elif tag not in BEFORE_BODY:
+            here = implied()
         if tag in CLOSES_P:
             node = here
             while node is not root and node.tag not in ("p", "td", "th", "li", "div", "article", "section", "body", "button", "table"):

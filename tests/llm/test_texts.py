@@ -180,6 +180,13 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize("start", ["", "<!DOCTYPE html><title>t</title>", "<html><head><meta charset=utf-8><title>t</title></head>\n", "<head><title>t</title>\n", "<html><body>"])
+def test_a_body_that_is_left_out(start):
+    long = "Long text, with commas, and more words than a notice has, to be sure."
+    assert html_main_text.main_text(f"{start}<h1>T</h1><p>{long}</p><p>{long}</p>") == f"T\n\n{long}\n\n{long}"
+    assert html_main_text.main_text(f"{start}<p>{long}</p><p>{long}</p><p>{long}</p><div><p>Short one, in a div.</p></div>").count(long) == 3
+
+
 @pytest.mark.parametrize(("html", "text"), PAGES)
 def test_main_text(html, text):
     assert html_main_text.main_text(html) == text

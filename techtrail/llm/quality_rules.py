@@ -9,17 +9,21 @@ joined to the texts, and a text outside any of them is rejected.
 Counts are whole numbers and quartiles are edges of buckets, so results are exact and the same however the input is cut.
 
 Defined results: a null text has no words and fails; null languages and sources are groups like others; rows are measured one
-by one, so repeated rows have equal results; an empty table gives an empty result.
+by one, so repeated rows have equal results; an empty table gives an empty result. Long texts are measured whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from techtrail.llm.common import stash, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]"
+#: Bits of a window's number that are its place in the text; the others are of its hash.
+PLACE_BITS = 24
 #: Texts that a group needs for a sketch of its own.
 LEAST_TEXTS = 50
 #: Quartile distances beyond the quartile at which a text is rejected.
@@ -51,16 +55,21 @@ def measure(df: DataFrame) -> DataFrame:
         (size - F.length(F.regexp_replace("text", r"\p{Lu}", ""))).cast("long").alias("n_capitals"),
         (size - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclamations"),
     )
-    # A window of three words as one number: 40 bits of its hash, and the place of its first word. Sorted, equal windows are neighbours.
+    # A window of three words as one number: 40 bits of its hash, and the place of its first word. Sorted, equal windows are neighbours,
+    # unless another window of the same 40 bits stands between them.
     windows = F.when(
-        F.col("n_words") >= 3,
-        F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_words") - 2), lambda i: F.xxhash64(F.slice("words", i.cast("int"), F.lit(3))).bitwiseAND(F.lit(~((1 << 24) - 1))).bitwiseOR(i)),
+        F.col("n_words").between(3, 1 << PLACE_BITS),
+        F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_words") - 2), lambda i: F.xxhash64(F.slice("words", i.cast("int"), F.lit(3))).bitwiseAND(F.lit(~((1 << PLACE_BITS) - 1))).bitwiseOR(i)),
     ).otherwise(F.array().cast("array<bigint>"))
     placed = counted.select("*", F.sort_array(windows).alias("windows"))
-    same = lambda a, b: (F.shiftright(a, 24) == F.shiftright(b, 24)) & (F.slice("words", _place(a), F.lit(3)) == F.slice("words", _place(b), F.lit(3)))
-    pairs = F.zip_with("windows", F.slice("windows", 2, F.greatest(F.size("windows"), F.lit(1))), lambda a, b: F.when(b.isNotNull() & same(a, b), F.array(_place(a), _place(b))))
-    repeated = placed.select("*", F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))).alias("found"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("found", lambda i: F.array(i, i + 1, i + 2)))))
+    met = _neighbours("windows", lambda a, b: F.when(F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS), F.when(_window(_place(a)) == _window(_place(b)), F.array(_place(a), _place(b))).otherwise(F.array(F.lit(0)))))
+    found = placed.select("*", F.flatten(F.filter(met, lambda x: x.isNotNull())).alias("found"))
+    # Where different windows share their bits (0 marks it), and in texts with more places than there are bits, the windows' own texts are sorted.
+    texts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.struct(F.array_join(_window(i), " ").alias("window"), i.alias("place")))
+    exact = _neighbours(F.sort_array(texts), lambda a, b: F.when(a["window"] == b["window"], F.array(a["place"], b["place"])))
+    unsure = F.array_contains("found", 0) | (F.col("n_words") > 1 << PLACE_BITS)
+    repeated = found.select("*", F.array_distinct(F.when(unsure, F.flatten(F.filter(exact, lambda x: x.isNotNull()))).otherwise(F.col("found"))).alias("repeated"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("repeated", lambda i: F.array(i, i + 1, i + 2)))))
     base = repeated.withColumn("n_repeat_words", covered.cast("long"))
     words, lines = F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     chars = F.greatest("word_chars", F.lit(1))
@@ -85,7 +94,17 @@ def measure(df: DataFrame) -> DataFrame:
 
 
 def _place(window: Column) -> Column:
-    return window.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    return window.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+
+
+def _window(place: Column) -> Column:
+    return F.slice("words", place, F.lit(3))
+
+
+def _neighbours(sorted_windows: Column | str, pair: Callable[[Column, Column], Column]) -> Column:
+    """pair of each two windows that stand side by side; null where there is no next one."""
+    rest = F.slice(sorted_windows, 2, F.greatest(F.size(sorted_windows), F.lit(1)))
+    return F.zip_with(sorted_windows, rest, lambda a, b: F.when(b.isNotNull(), pair(a, b)))
 
 
 def bucket(x: Column) -> Column:

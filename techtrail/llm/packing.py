@@ -17,6 +17,7 @@ length is numbered by one task, and looked up in the plan.
 Defined results: a null text is an empty one, whose only id is the end id;
 repeated rows are packed like any others; an empty table gives an empty
 result; other columns are left out. Which of several pieces of equal length stands where is not defined.
+A text of any length is tokenised whole, long runs of white space or of one letter too.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ GROUPS = 80
 LARGE, CLOSE = (1 / 2, 2 / 5, 1 / 4, 1 / 8), 1.0005
 #: Chunks of text that a worker keeps the ids of.
 KEPT = 400_000
-#: Pieces of one length are numbered in so many buckets.
-BUCKETS = 256
+#: Pieces of one length are numbered in so many buckets at least, and in more where a bucket would have more pieces than that.
+BUCKETS, IN_BUCKET = 256, 1 << 15
 
 # A space that is not the start of a word's own token.
 LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -65,9 +66,21 @@ class ByteBpe(dict):
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if not any(token == x["content"] for x in spec["added_tokens"])}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.path = path
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation(), tokenizer.no_padding()
+        return tokenizer
 
     def encode(self, text: str) -> bytes:
-        ids = self.encoding.encode(text, allowed_special="all")
+        try:
+            ids = self.encoding.encode(text, allowed_special="all")
+        except ValueError:  # the faster library's search has no room for some hundred thousand blanks in a row
+            ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
@@ -272,9 +285,9 @@ def runs(planned: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def numbered(pieces: DataFrame) -> DataFrame:
+def numbered(pieces: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Adds number: 0, 1, ... within each length, counted in buckets of a hash."""
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = dealt.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
@@ -284,8 +297,9 @@ def numbered(pieces: DataFrame) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length and more); they are read more than once, so pass a written table."""
-    counted = pieces.groupBy("length").count().collect()  # a row for each length: at most capacity rows
-    table = pieces.sparkSession.sparkContext.broadcast(runs(plan({r["length"]: r["count"] for r in counted}, capacity)))
+    counted = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length: at most capacity rows
+    table = pieces.sparkSession.sparkContext.broadcast(runs(plan(counted, capacity)))
+    buckets = max(BUCKETS, max(counted.values(), default=0) // IN_BUCKET)
     kept_columns = pieces.columns
     columns = [*kept_columns, "sequence_id", "offset"]
 
@@ -303,7 +317,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=columns)
 
     schema = pieces.select("*", *(F.lit(None).cast("long").alias(x) for x in columns[-2:])).schema
-    return numbered(pieces).select(*pieces.columns, "number").mapInArrow(place, schema)
+    return numbered(pieces, buckets).select(*pieces.columns, "number").mapInArrow(place, schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

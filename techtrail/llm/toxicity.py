@@ -9,7 +9,7 @@ they see it as it does on new texts; isotonic regression maps their probabilitie
 
 Defined results: a null text is an empty one and is scored like any other; without labels of both kinds every score is the
 labels' mean (0 if there are none); repeated rows have equal scores; an empty table gives an empty
-result. Labels, language, source and id are no input of a score.
+result. Labels, language, source and id are no input of a score. Long texts are read whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ TERMS, TERM_TEXTS, TERM_ODDS = 4000, 3, 2.5
 #: Bytes of a word's beginnings that can be terms.
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, STEP = 20, 4, 0.3
+#: Bytes of the words whose weights a worker keeps (500,000 words, some 60 MB, at most).
+SHORT = 40
 
 # Words of abuse in four languages, and words of the second person.
 LEXICON = """idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass loser losers scum scumbag trash garbage worthless
@@ -77,16 +79,18 @@ def terms(word: bytes) -> list[bytes]:
 
 
 class Weights(dict):
-    """The largest weight of a word's terms, 0 if it has none; filled as words are asked for."""
+    """The largest weight of a word's terms, 0 if it has none; filled as words are asked for, with those of up to SHORT bytes."""
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
         self.lexicon = lexicon
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = weight = max(self.lexicon.get(x, 0.0) for x in terms(word))
+        weight = max(self.lexicon.get(x, 0.0) for x in terms(word))
+        if len(word) <= SHORT:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = weight
         return weight
 
 
@@ -199,8 +203,9 @@ def fit(marked: DataFrame, known: DataFrame) -> ToxicityModel:
     boosting = GBTClassifier(featuresCol="toxicity vector", labelCol="label", predictionCol="toxicity guess", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7)
     boosting.setProbabilityCol("toxicity odds").setRawPredictionCol("toxicity raw")
     trees = boosting.fit(sample.where("not calibrates"))
-    odds = trees.transform(sample.where("calibrates")).select("label", vector_to_array("toxicity odds")[1].alias("toxicity odds"))
-    calibration = IsotonicRegression(featuresCol="toxicity odds", labelCol="label", predictionCol="toxicity score").fit(odds)
+    # most rows share a few odds, by which the regression deals them: they are one row for each of the odds, of their number's weight
+    odds = trees.transform(sample.where("calibrates")).groupBy(vector_to_array("toxicity odds")[1].alias("toxicity odds")).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows"))
+    calibration = IsotonicRegression(featuresCol="toxicity odds", labelCol="label", weightCol="rows", predictionCol="toxicity score").fit(odds)
     return ToxicityModel(trees, calibration)
 
 

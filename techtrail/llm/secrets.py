@@ -8,7 +8,7 @@ strings of at least ``novel`` added bytes a character are reported.
 
 Defined results: a null text is an empty one, without spans; rows are independent, so repeated
 rows have equal results; an empty table gives an empty result. Positions are code points, ends
-exclusive.
+exclusive. Long texts and long strings are read whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -35,7 +35,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|AKIA", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
+STRING_END = re.compile(r"[A-Za-z0-9+/_=-]*\Z")
+#: Characters of a candidate at least.
+CANDIDATE = 16
 IDENTIFIER = re.compile(r"[A-Za-z_]{3,32}")
 #: Code points on either side of a sensitive word where candidates are sought, and around a candidate that are compressed with it.
 NEAR = 96
@@ -68,14 +71,17 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Whole strings that begin or end near a sensitive word and have both letters and digits."""
     done = 0
     for begin, end in windows(text):
-        while begin > done and CANDIDATE.match(text[begin - 1] * 16):
-            begin -= 1
-        for m in CANDIDATE.finditer(text, max(begin, done)):
-            if m.start() >= end:
-                break
-            done = m.end()
-            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
-                yield m.span()
+        begin, size = max(begin, done), 64
+        while begin > done and STRING.match(text, begin - 1):  # the string that the window cuts begins before it
+            low = max(done, begin - size)
+            begin, size = low + STRING_END.search(text[low:begin]).start(), 2 * size
+        while begin < end and (m := STRING.search(text, begin, end)):
+            a, begin = m.start(), m.end()
+            if begin == end:
+                begin = STRING.match(text, a).end()
+            done = begin
+            if begin - a >= CANDIDATE and re.search("[0-9]", found := text[a:begin]) and re.search("[A-Za-z]", found):
+                yield a, begin
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -109,8 +115,11 @@ def without(text: str, begin: int, end: int, spans: list[tuple[int, int]], secre
 def novel_spans(text: str, compressor: zstandard.ZstdCompressor, taken: list[tuple[int, int, int]], novel: float = NOVEL) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates that add enough to their surroundings, in which no candidate stands: a copy nearby takes nothing away."""
     found, sought = [], list(candidates(text))
+    k = reached = 0
     for i, (a, b) in enumerate(sought):
-        if any(start < b and a < end for start, _, end in taken):
+        while k < len(taken) and taken[k][0] < b:
+            reached, k = max(reached, taken[k][2]), k + 1
+        if reached > a:
             continue
         first = last = i
         while first and sought[first - 1][1] > a - NEAR:
@@ -128,20 +137,26 @@ def primed(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, dict_data=data, write_checksum=False, write_content_size=False)
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """(begin, end), sorted, of what may be secret: candidates, and the base patterns' values (an assigned one without its name)."""
+    found = [*candidates(text), *(m.span(2) for m in ASSIGN.finditer(text)), *(m.span() for x in (ACCESS, HEX) for m in x.finditer(text))]
+    return sorted(found)
+
+
 def identifiers(text: str) -> set[str]:
-    """The identifiers near sensitive words, without what is part of a candidate."""
+    """The identifiers near sensitive words, without what is part of a candidate or of a base pattern's value."""
     found: set[str] = set()
-    sought = list(candidates(text))
-    k = 0
-    for begin, end in windows(text):
-        while k < len(sought) and sought[k][0] < end:
-            a, b = sought[k]
+    near = list(windows(text))
+    secret = values(text) if near else []
+    k = gone = 0
+    for begin, end in near:
+        begin = max(begin, min(gone, end))
+        while k < len(secret) and secret[k][0] < end:
+            a, b = secret[k]
             if begin < a:
                 found.update(IDENTIFIER.findall(text, begin, a))
-            begin = max(begin, min(b, end))
-            if b > end:
-                break  # it may reach into the next window
-            k += 1
+            gone, k = max(gone, b), k + 1
+            begin = max(begin, min(gone, end))
         found.update(IDENTIFIER.findall(text, begin, end))
     return found
 

@@ -13,8 +13,9 @@ Hashes are 96 bits of a run's words, white space not counted. The first span of
 the earliest; a run of EDGE words that overlaps the first of its hash is no repeat.
 
 Defined results: null and empty texts stay as they are; a text from which nothing is removed stays
-as it is, byte for byte; rows that share a doc_id count as one place (repeated rows keep equal
-texts); a null doc_id counts as the largest; other columns are kept.
+as it is, byte for byte; rows that share a doc_id and a text are one document (repeated rows keep equal
+texts), of different texts with one doc_id that of smaller digest is first; a null doc_id counts as the largest; other columns are kept; long texts
+are read whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -36,12 +37,14 @@ WORDS = 12
 LONG_WORDS = 30
 #: Words of a run that may begin inside a sentence, and of how many such runs in a row one at least is hashed.
 EDGE, WINDOW = 30, 22
+#: Hashes that a task takes together, and of which it sends each different one once.
+PORTION = 1 << 20
 #: Stands for a sentence's number where a span is EDGE words, from word "begin" of the text on.
 IN_WORDS = -1
 #: Stands for a null doc_id.
 LAST_ID = (1 << 63) - 1
 
-BREAK = re.compile(r"[.!?]+\s+|\n\s*")
+BREAK = re.compile(r"(?<![.!?])[.!?]+\s+|\n\s*")
 #: A word with the white space around it that no other word has.
 WORD = re.compile(r"^\s*\S+\s*|\S+\s*")
 
@@ -126,22 +129,78 @@ def word_runs(words: list[str], numbers: dict[str, int] | None = None, edge: int
     return np.flatnonzero(_over(np.concatenate([ends, least, ends]), np.maximum, window) == sums).tolist()
 
 
+def _owner() -> list[Column]:
+    """What tells documents apart: rows that share an id and a text are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("digest")]
+
+
+HASHED = "high long, low int, number long, id long, begin int, end int, kind int"
+#: Kinds of rows: a span whose hash is sought elsewhere; a span known to be repeated; a document's number, with its digest in place of a hash.
+SOUGHT, REPEATED, DOCUMENT = range(3)
+
+
+def _first_ones(rows: dict[str, np.ndarray], rank: np.ndarray) -> np.ndarray:
+    """kind of each row (high, low, number, document): SOUGHT for those of the hash's least document, by rank, REPEATED for others."""
+    order = np.lexsort((rank[rows["document"]], rows["low"], rows["high"]))
+    high, low, place = rows["high"][order], rows["low"][order], rank[rows["document"]][order]
+    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
+    first = place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    kind = np.empty(len(order), np.int32)
+    kind[order] = np.where(place == first, SOUGHT, REPEATED)
+    return kind
+
+
+def _portion(parts: list[dict[str, np.ndarray]], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of HASHED for the spans of some documents (owners: id, digest, number). A hash that several of them have is sought once for all."""
+    rows = {x: np.concatenate([part[x] for part in parts]) for x in parts[0]}
+    ids, digests, numbers = np.concatenate(owners, axis=1)
+    order = np.lexsort((digests, ids))
+    same = (ids[order][1:] == ids[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.append(0, ~same))
+    once = np.zeros(len(order), bool)  # of rows that are one document one is enough
+    once[np.unique(rank, return_index=True)[1]] = True
+    rows = {x: y[once[rows["document"]]] for x, y in rows.items()}
+    kind = np.where(rows["again"], REPEATED, SOUGHT).astype(np.int32)
+    fresh = np.flatnonzero(~rows["again"])
+    if len(fresh):
+        kind[fresh] = _first_ones({x: rows[x][fresh] for x in ("high", "low", "document")}, rank)
+    number = numbers[rows["document"]]
+    high = np.where(kind == SOUGHT, rows["high"], number * 0x5851F42D4C957F2D + rows["begin"])  # what is known needs no partner: anywhere will do
+    used = np.unique(rows["document"])
+    n, zero = len(kind), lambda size: np.zeros(size, np.int32)
+    columns = [
+        np.concatenate([high, digests[used]]),
+        np.concatenate([np.where(kind == SOUGHT, rows["low"], 0), zero(len(used))]).astype(np.int32),
+        np.concatenate([number, numbers[used]]),
+        np.concatenate([np.zeros(n, np.int64), ids[used]]),
+        np.concatenate([rows["begin"], zero(len(used))]),
+        np.concatenate([rows["end"], zero(len(used))]),
+        np.concatenate([kind, np.full(len(used), DOCUMENT, np.int32)]),
+    ]
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in HASHED.split(", ")])
+    for at in range(0, table.num_rows, 1 << 16):
+        yield table.slice(at, 1 << 16)
+
+
 def _hashed(run: int, words: int, long_words: int):
-    """Rows (high, low, id, digest, number, begin, end, again); again: the document has had this hash before, which is then left out. A document's first row, without a hash, names it."""
+    """Rows of HASHED for rows (id, digest, number, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
+        parts: list[dict[str, np.ndarray]] = []
+        owners: list[np.ndarray] = []
+        held = documents = 0
         for batch in small_batches(batches, "text", 1 << 20):
             high, low, begins, ends, again, sizes = [], [], [], [], [], []
 
             def add(digest: int, begin: int, end: int, seen: bool) -> None:
-                high.append(0 if seen else digest >> 64), low.append(0 if seen else digest & 0xFFFFFFFF)  # noqa: B023
+                high.append(digest >> 64), low.append(digest & 0xFFFFFFFF)  # noqa: B023
                 begins.append(begin), ends.append(end), again.append(seen)  # noqa: B023
 
             for text in batch.column("text").to_pylist():
                 size = len(begins)
-                add(0, 0, 0, True)
-                split = [x.split() for x in sentences(text or "")]
+                split = [x.split() for x in sentences(text)]
                 plain = [" ".join(x) for x in split]
                 seen = set()
                 for begin, end in spans([len(x) for x in split], run, words, long_words):
@@ -155,29 +214,36 @@ def _hashed(run: int, words: int, long_words: int):
                     if begin == place or begin >= place + EDGE:
                         add(digest, begin, IN_WORDS, begin != place)
                 sizes.append(len(begins) - size)
-            columns = [pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint32).view(np.int32))]
-            columns += [pa.array(np.repeat(batch.column(x).to_numpy(zero_copy_only=False), sizes), pa.int64()) for x in ("id", "digest", "number")]
-            columns += [pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(again, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "id", "digest", "number", "begin", "end", "again"])
+            made = {"high": np.array(high, np.uint64).view(np.int64), "low": np.array(low, np.uint32).view(np.int32), "again": np.array(again, bool)}
+            made |= {"begin": np.array(begins, np.int32), "end": np.array(ends, np.int32), "document": np.repeat(np.arange(documents, documents + len(sizes)), sizes)}
+            parts.append(made)
+            owners.append(np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("id", "digest", "number")]))
+            held, documents = held + len(begins), documents + len(sizes)
+            if held >= PORTION:
+                yield from _portion(parts, owners)
+                parts, owners, held, documents = [], [], 0, 0
+        if parts:
+            yield from _portion(parts, owners)
 
     return rows
 
 
-def _owner() -> list[Column]:
-    """What tells documents apart: rows that share an id and a text are one document."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("digest")]
-
-
 def repeated_spans(documents: DataFrame, run: int = RUN, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """id, digest, begin, end of the spans that are not the first of their hash (sentences counted from 0; where end is IN_WORDS, begin counts words)."""
+    """id, digest, begin, end of the spans that are not the first of their hash (sentences counted from 0; where end is IN_WORDS, begin counts words).
+
+    All hashes are moved once, after those that meet in one portion of a task are one; so no hash has more rows than there are portions.
+    Of a document only a number is moved with them, which the rows that turn out to be repeated find its id and text's digest by. Numbers
+    are places in the partitions of documents, so pass a written table: one that is made again for a lost task must be made in the same order.
+    """
     texts = documents.where("text is not null").select(*_owner(), F.monotonically_increasing_id().alias("number"), "text")
-    hashed = stash(texts.mapInArrow(_hashed(run, words, long_words), "high long, low int, id long, digest long, number long, begin int, end int, again boolean"))
-    firsts = hashed.where("not again").groupBy("high", "low").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
-    # of all hashes only a document's number is moved; the few that repeat find its id and digest by it
-    repeated = hashed.where("not again").select("high", "low", "number", "begin", "end").join(firsts, ["high", "low"]).select("number", "first", "begin", "end")
-    owners = hashed.where("again and begin = 0 and end = 0").select("number", "id", "digest")
-    elsewhere = repeated.join(owners, "number").where("id > first").select("id", "digest", "begin", "end")
-    return elsewhere.unionByName(hashed.where("again and end <> 0").select("id", "digest", "begin", "end"))
+    hashed = texts.mapInArrow(_hashed(run, words, long_words), HASHED)
+    met = F.count("*").over(Window.partitionBy("high", "low", "kind"))
+    found = stash(hashed.withColumn("met", met).where((F.col("kind") != SOUGHT) | (F.col("met") > 1)).drop("met"))
+    owners = found.where(F.col("kind") == DOCUMENT).select("number", "id", F.col("high").alias("digest"))
+    spans_found = found.where(F.col("kind") != DOCUMENT).drop("id").join(owners, "number")
+    first = F.min(F.struct("id", "digest")).over(Window.partitionBy("high", "low", "kind"))
+    placed = spans_found.withColumn("first", first)
+    return placed.where((F.col("kind") == REPEATED) | (F.struct("id", "digest") > F.col("first"))).select("id", "digest", "begin", "end")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +278,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, run: int = RUN, words: int = WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """documents with repeated sentences removed from text; columns "sentences" and "sentences removed" (whole or in part) are added, or replaced."""
     spans_of = repeated_spans(documents, run, words, long_words).groupBy(F.struct("id", "digest").alias("span owner")).agg(F.collect_set(F.struct("begin", "end")).alias("repeated spans"))
+    spans_of = stash(spans_of)  # as a table it lets the join split the rows of a document that is repeated very often
     kept = documents.drop("sentences", "sentences removed", "span owner", "repeated spans")
     joined = kept.join(spans_of, F.struct(*_owner()) == F.col("span owner"), "left").drop("span owner")
     schema = StructType([*(StructField(x.name, x.dataType) for x in kept.schema.fields), StructField("sentences", IntegerType()), StructField("sentences removed", IntegerType())])

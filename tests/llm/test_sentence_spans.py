@@ -58,6 +58,31 @@ def test_equal_ids_null_ids_and_no_rows(spark):
     assert s.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_small_portions_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    passages = [" ".join(f"p{k}w{i}" for i in range(60)) + ". " for k in range(3)]
+    rows = [(i % 40 if i % 9 else None, "".join(rng.choice(passages) if rng.random() < 0.5 else f"own{i} words here. " for _ in range(4))) for i in range(80)]
+    frame = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string").repartition(3).cache()
+    found = []
+    for portion in (1, 40, s.PORTION):
+        monkeypatch.setattr(s, "PORTION", portion)
+        found.append(sorted((r["doc_id"] or -1, r["text"]) for r in s.remove_repeats(frame).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 100
+
+
+def test_null_ids_are_told_apart_by_their_texts(spark):
+    passage = " ".join(f"x{i}" for i in range(60)) + "."
+    rows = [(None, f"{passage} Own text {i}.") for i in range(3)]
+    found = s.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(passage in r["text"] for r in found) == 1 and all("Own text" in r["text"] for r in found)
+
+
+def test_long_runs_of_stops_take_linear_time():
+    for text in ("." * 200_000 + " a", ". " * 200_000, "word. " * 100_000, "a!?" * 100_000):
+        parts = s.sentences(text)
+        assert "".join(parts) == text and len(s.spans([len(x.split()) for x in parts])) <= len(parts)
+
+
 def test_passages_that_begin_and_end_inside_sentences(spark):
     rng = random.Random(7)
     own = lambda k, n: " ".join(f"d{k}x{i}" for i in range(n))

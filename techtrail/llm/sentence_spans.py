@@ -9,7 +9,7 @@ covered, those at its ends too), and runs of fewer sentences that have ``long_wo
 A passage may also begin and end inside sentences. Of the ``EDGE`` words from each word on, those of least hash among ``WINDOW`` in a row are
 hashed too, wherever sentences end, so that any two equal passages of EDGE + WINDOW - 1 = 51 words have one in common. Such a run's words are
 removed without the rest of their sentences; of a repeated passage at most WINDOW - 1 words are left at each end.
-Hashes are 96 bits of a run's words, white space not counted. The first span of a hash is that in the document of smallest doc_id, there
+Hashes are 96 bits of a run's words, white space not counted, made of running sums of the words' hashes. The first span of a hash is that in the document of smallest doc_id, there
 the earliest; a run of EDGE words that overlaps the first of its hash is no repeat.
 
 Defined results: null and empty texts stay as they are; a text from which nothing is removed stays
@@ -20,6 +20,7 @@ are read whole, in time in proportion to their length.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -92,9 +93,11 @@ class _Numbers(dict):
     """A hash of each word, kept until there are many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 17:
-            self.clear()
-        self[word] = number = xxhash.xxh3_64_intdigest(word.encode())
+        number = xxhash.xxh3_64_intdigest(word.encode())
+        if len(word) <= 40:
+            if len(self) > 1 << 18:
+                self.clear()
+            self[word] = number
         return number
 
 
@@ -108,25 +111,55 @@ def _over(values: np.ndarray, pick: np.ufunc, size: int) -> np.ndarray:
     return values
 
 
-def word_runs(words: list[str], numbers: dict[str, int] | None = None, edge: int = EDGE, window: int = WINDOW) -> list[int]:
-    """Where the runs of ``edge`` words begin that are least of some ``window`` in a row; none in texts that have no window."""
-    n = len(words) - edge + 1
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Ranges:
+    """Hashes of any stretch of a text's words: differences of running sums of the words' hashes, each times a power of its place."""
+
+    #: Odd numbers whose powers weigh places, for the upper 64 bits and for the lower 32.
+    BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+    powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __init__(self, words: list[str], numbers: dict[str, int] | None = None):
+        numbers = _Numbers() if numbers is None else numbers
+        n = len(words)
+        if not self.powers or len(self.powers[0][0]) <= n:
+            size = 2 * n + 1024
+            up = [np.cumprod(np.append(np.uint64(1), np.full(size, base, np.uint64))) for x in self.BASES for base in (x, pow(x, -1, 1 << 64))]
+            Ranges.powers = [(up[0], up[1]), (up[2], up[3])]
+        own = np.fromiter(map(numbers.__getitem__, words), np.uint64, n)
+        other = _mixed(own + np.uint64(1))
+        self.sums = [np.append(np.uint64(0), np.cumsum(x * power[:n])) for x, (power, _) in zip((own, other), self.powers, strict=True)]
+        self.size = n
+
+    def high(self, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return self._hash(0, begin, end, seed)
+
+    def low(self, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return (self._hash(1, begin, end, seed) >> np.uint64(32)).astype(np.uint32)
+
+    def _hash(self, k: int, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        sums = self.sums[k]
+        return _mixed((sums[end] - sums[begin]) * self.powers[k][1][begin] + (end - begin).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed))
+
+
+def word_runs(ranges: Ranges, ends: np.ndarray, edge: int = EDGE, window: int = WINDOW) -> np.ndarray:
+    """Where the runs of ``edge`` words begin that are least of some ``window`` in a row in their text; ends: where each text's words end."""
+    n = ranges.size - edge + 1
     if n < window:
-        return []
-    numbers = _Numbers() if numbers is None else numbers
-    sums = np.fromiter((numbers[x] for x in words), np.uint64, len(words))
-    have = 1
-    while have < edge:  # sums of each `have` words, weighted by place
-        step = min(have, edge - have)
-        sums = (sums[:-step] ^ (sums[:-step] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + sums[step:]
-        have += step
-    sums ^= sums >> np.uint64(31)
-    sums *= np.uint64(0xBF58476D1CE4E5B9)
-    sums ^= sums >> np.uint64(32)
+        return np.zeros(0, np.int64)
+    begins = np.arange(n)
+    sums = ranges.high(begins, begins + edge, 1)
     least = _over(sums, np.minimum, window)
+    end = np.repeat(ends, np.diff(ends, prepend=0))[: len(least)]
+    least[begins[: len(least)] + window - 1 + edge > end] = 0  # windows that reach into the next text
     # a run is least of a window when the greatest of its windows' minima is itself
-    ends = np.zeros(window - 1, np.uint64)
-    return np.flatnonzero(_over(np.concatenate([ends, least, ends]), np.maximum, window) == sums).tolist()
+    outside = np.zeros(window - 1, np.uint64)
+    return np.flatnonzero(_over(np.concatenate([outside, least, outside]), np.maximum, window) == sums)
 
 
 def _owner() -> list[Column]:
@@ -139,20 +172,25 @@ HASHED = "high long, low int, number long, id long, begin int, end int, kind int
 SOUGHT, REPEATED, DOCUMENT = range(3)
 
 
-def _first_ones(rows: dict[str, np.ndarray], rank: np.ndarray) -> np.ndarray:
-    """kind of each row (high, low, number, document): SOUGHT for those of the hash's least document, by rank, REPEATED for others."""
-    order = np.lexsort((rank[rows["document"]], rows["low"], rows["high"]))
-    high, low, place = rows["high"][order], rows["low"][order], rank[rows["document"]][order]
-    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))
-    first = place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-    kind = np.empty(len(order), np.int32)
-    kind[order] = np.where(place == first, SOUGHT, REPEATED)
-    return kind
+def _kinds(rows: dict[str, np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """kind of each row (high, low, begin, end) of the document in a place, and which rows count.
+
+    SOUGHT is, of a hash, the least document's first row; others are REPEATED. A run of words that overlaps its document's first one does not count.
+    """
+    order = np.lexsort((rows["begin"], place, rows["low"], rows["high"]))
+    high, low, at, begin = rows["high"][order], rows["low"][order], place[order], rows["begin"][order]
+    new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(order)]
+    own = new | np.append(True, at[1:] != at[:-1])[: len(order)]
+    number = np.arange(len(order))
+    first, own_first = (np.maximum.accumulate(np.where(x, number, 0)) for x in (new, own))
+    kind, counts = np.empty(len(order), np.int32), np.empty(len(order), bool)
+    kind[order] = np.where(own & (at == at[first]), SOUGHT, REPEATED)
+    counts[order] = own | (rows["end"][order] != IN_WORDS) | (begin >= begin[own_first] + EDGE)
+    return kind, counts
 
 
 def _portion(parts: list[dict[str, np.ndarray]], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of HASHED for the spans of some documents (owners: id, digest, number). A hash that several of them have is sought once for all."""
-    rows = {x: np.concatenate([part[x] for part in parts]) for x in parts[0]}
     ids, digests, numbers = np.concatenate(owners, axis=1)
     order = np.lexsort((digests, ids))
     same = (ids[order][1:] == ids[order][:-1]) & (digests[order][1:] == digests[order][:-1])
@@ -160,29 +198,59 @@ def _portion(parts: list[dict[str, np.ndarray]], owners: list[np.ndarray]) -> It
     rank[order] = np.cumsum(np.append(0, ~same))
     once = np.zeros(len(order), bool)  # of rows that are one document one is enough
     once[np.unique(rank, return_index=True)[1]] = True
+    rows = {x: np.concatenate([part[x] for part in parts]) for x in parts[0]}
     rows = {x: y[once[rows["document"]]] for x, y in rows.items()}
-    kind = np.where(rows["again"], REPEATED, SOUGHT).astype(np.int32)
-    fresh = np.flatnonzero(~rows["again"])
-    if len(fresh):
-        kind[fresh] = _first_ones({x: rows[x][fresh] for x in ("high", "low", "document")}, rank)
+    kind, counts = _kinds(rows, rank[rows["document"]])
+    rows, kind = {x: y[counts] for x, y in rows.items()}, kind[counts]
     number = numbers[rows["document"]]
     high = np.where(kind == SOUGHT, rows["high"], number * 0x5851F42D4C957F2D + rows["begin"])  # what is known needs no partner: anywhere will do
     used = np.unique(rows["document"])
-    n, zero = len(kind), lambda size: np.zeros(size, np.int32)
+    n, none = len(kind), np.zeros(len(used), np.int32)
     columns = [
-        np.concatenate([high, digests[used]]),
-        np.concatenate([np.where(kind == SOUGHT, rows["low"], 0), zero(len(used))]).astype(np.int32),
-        np.concatenate([number, numbers[used]]),
-        np.concatenate([np.zeros(n, np.int64), ids[used]]),
-        np.concatenate([rows["begin"], zero(len(used))]),
-        np.concatenate([rows["end"], zero(len(used))]),
-        np.concatenate([kind, np.full(len(used), DOCUMENT, np.int32)]),
+        np.append(high, digests[used]),
+        np.append(np.where(kind == SOUGHT, rows["low"], np.int32(0)), none),
+        np.append(number, numbers[used]),
+        np.append(np.zeros(n, np.int64), ids[used]),
+        np.append(rows["begin"], none),
+        np.append(rows["end"], none),
+        np.append(kind, np.full(len(used), DOCUMENT, np.int32)),
     ]
     table = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in HASHED.split(", ")])
     for at in range(0, table.num_rows, 1 << 16):
         yield table.slice(at, 1 << 16)
 
 
+def _spans_of(texts: list[str], numbers: dict[str, int], run: int, words: int, long_words: int) -> dict[str, np.ndarray]:
+    """high, low, document (its place in the list), begin and end of the spans of some texts."""
+    flat: list[str] = []
+    sizes: list[int] = []  # words of each sentence
+    whole: list[tuple[int, int]] = []
+    ends, begins, each = [], [], []
+    for text in texts:
+        split = [x.split() for x in sentences(text)]
+        counts = [len(x) for x in split]
+        begins.append(len(sizes))
+        sizes += counts
+        flat += itertools.chain.from_iterable(split)
+        ends.append(len(flat))
+        found = spans(counts, run, words, long_words)
+        each.append(len(found))
+        whole += found
+    ranges, total = Ranges(flat, numbers), np.append(0, np.cumsum(sizes, dtype=np.int64))
+    of_sentences = np.array(whole, np.int64).reshape(-1, 2)
+    first = np.repeat(np.array(begins, np.int64), each)
+    a, b = total[of_sentences[:, 0] + first], total[of_sentences[:, 1] + first]
+    c = word_runs(ranges, np.array(ends))
+    document = np.searchsorted(ends, c, side="right")
+    return {
+        "high": np.append(ranges.high(a, b), ranges.high(c, c + EDGE, 1)).view(np.int64),
+        "low": np.append(ranges.low(a, b), ranges.low(c, c + EDGE, 1)).view(np.int32),
+        "document": np.append(np.repeat(np.arange(len(texts)), each), document),
+        "begin": np.append(of_sentences[:, 0], c - np.append(0, ends)[document]).astype(np.int32),
+        "end": np.append(of_sentences[:, 1], np.full(len(c), IN_WORDS)).astype(np.int32),
+    }
+
+
 def _hashed(run: int, words: int, long_words: int):
     """Rows of HASHED for rows (id, digest, number, text)."""
 
@@ -192,33 +260,11 @@ def _hashed(run: int, words: int, long_words: int):
         owners: list[np.ndarray] = []
         held = documents = 0
         for batch in small_batches(batches, "text", 1 << 20):
-            high, low, begins, ends, again, sizes = [], [], [], [], [], []
-
-            def add(digest: int, begin: int, end: int, seen: bool) -> None:
-                high.append(digest >> 64), low.append(digest & 0xFFFFFFFF)  # noqa: B023
-                begins.append(begin), ends.append(end), again.append(seen)  # noqa: B023
-
-            for text in batch.column("text").to_pylist():
-                size = len(begins)
-                split = [x.split() for x in sentences(text)]
-                plain = [" ".join(x) for x in split]
-                seen = set()
-                for begin, end in spans([len(x) for x in split], run, words, long_words):
-                    digest = xxhash.xxh3_128_intdigest(" ".join(plain[begin:end]).encode())
-                    add(digest, begin, end, digest in seen)
-                    seen.add(digest)
-                flat, places = [w for x in split for w in x], {}
-                for begin in word_runs(flat, numbers):
-                    digest = xxhash.xxh3_128_intdigest(" ".join(flat[begin : begin + EDGE]).encode(), 1)
-                    place = places.setdefault(digest, begin)
-                    if begin == place or begin >= place + EDGE:
-                        add(digest, begin, IN_WORDS, begin != place)
-                sizes.append(len(begins) - size)
-            made = {"high": np.array(high, np.uint64).view(np.int64), "low": np.array(low, np.uint32).view(np.int32), "again": np.array(again, bool)}
-            made |= {"begin": np.array(begins, np.int32), "end": np.array(ends, np.int32), "document": np.repeat(np.arange(documents, documents + len(sizes)), sizes)}
+            made = _spans_of(batch.column("text").to_pylist(), numbers, run, words, long_words)
+            made["document"] += documents
             parts.append(made)
             owners.append(np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in ("id", "digest", "number")]))
-            held, documents = held + len(begins), documents + len(sizes)
+            held, documents = held + len(made["high"]), documents + batch.num_rows
             if held >= PORTION:
                 yield from _portion(parts, owners)
                 parts, owners, held, documents = [], [], 0, 0

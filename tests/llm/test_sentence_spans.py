@@ -110,6 +110,31 @@ def test_equal_passages_have_a_run_in_common_wherever_they_stand():
         for _ in range(2):
             text = [[str(rng.random()) for _ in range(rng.randint(0, 40))] for _ in range(2)]
             words = [*text[0], *passage, *text[1]]
-            found.append({tuple(words[i : i + s.EDGE]) for i in s.word_runs(words)})
+            found.append({tuple(words[i : i + s.EDGE]) for i in runs(words)})
         assert found[0] & found[1]
-    assert s.word_runs(["a"] * 50) == [] and s.word_runs(["a"] * 51) == list(range(22))
+    assert runs(["a"] * 50) == [] and runs(["a"] * 51) == list(range(22))
+
+
+def runs(*texts):
+    return s.word_runs(s.Ranges([w for x in texts for w in x]), s.np.cumsum([len(x) for x in texts])).tolist()
+
+
+def test_runs_of_one_text_do_not_depend_on_others():
+    rng = random.Random(11)
+    texts = [[str(rng.random()) for _ in range(n)] for n in (0, 20, 51, 52, 400, 30, 90, 50, 1)]
+    at, wanted = 0, []
+    for x in texts:
+        wanted += [at + i for i in runs(x)]
+        at += len(x)
+    assert runs(*texts) == wanted and len(wanted) > 20
+
+
+def test_hashes_of_stretches_tell_words_apart():
+    rng = random.Random(12)
+    words = [rng.choice("abcd") for _ in range(3000)]
+    ranges, found = s.Ranges(words), {}
+    for size in (1, 2, 5, 16, 31):
+        begins = s.np.arange(len(words) - size)
+        for i, key in zip(begins, zip(ranges.high(begins, begins + size).tolist(), ranges.low(begins, begins + size).tolist(), strict=True), strict=True):
+            assert found.setdefault(key, words[i : i + size]) == words[i : i + size]
+    assert len(found) == len({tuple(x) for x in found.values()})

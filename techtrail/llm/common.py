@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,14 +12,30 @@ from pyspark.sql import functions as F
 from techtrail.sources.shared import new_path
 
 
+_listening: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stashed() -> Iterator[list[str]]:
+    """A list of the paths that are stashed inside, in their order, for those who know when they are no longer read."""
+    _listening.append(made := [])
+    try:
+        yield made
+    finally:
+        _listening.pop()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
     Cuts the lineage, and keeps results that are read twice; a lost executor
-    costs nothing, since the files are not its own.
+    costs nothing, since the files are not its own. Results are read from the files when
+    they are asked for, so whoever uses a result up may delete them (``stashed`` names them); otherwise they stay.
     """
     path = new_path(df.sparkSession, "stash")
     df.write.parquet(path)
+    for made in _listening:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

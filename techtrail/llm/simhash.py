@@ -16,7 +16,7 @@ not all pairs. Equal fingerprints are one node throughout.
 
 Defined results: a null or empty text, and one of white space alone, has fingerprint zero and is linked like any other; a null
 doc_id never names a component unless it has no other; repeated rows
-have equal results; an empty table gives an empty result; other columns are left out.
+have equal results; an empty table gives an empty result; other columns are left out; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -189,7 +189,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SE
     distinct = stash(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     component = connected_components(near_edges(distinct))
     linked = distinct.join(component.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    smallest = stash(linked.groupBy("component").agg(F.min("first_id").alias("component_id")))  # a table: the rows of a very large component can be split then
     ids = linked.join(smallest, "component").select("fingerprint", "component_id")
     return marked.join(ids, "fingerprint").select("doc_id", "digest", "fingerprint", "component_id")
 

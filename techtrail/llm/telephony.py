@@ -8,7 +8,7 @@ as resampled 16-bit PCM.
 
 Defined results: a null payload is an empty one; a WAV file that can't be
 parsed gives nulls. Equal payloads give equal files and features. Rows
-are independent, so repeated rows, ties and other columns don't matter.
+are independent, so repeated rows, ties and other columns don't matter. Long payloads are stored and measured whole.
 """
 
 from __future__ import annotations

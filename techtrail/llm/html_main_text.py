@@ -1,18 +1,23 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. What can't be article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) is cut
-off by tag, role and class names. Each paragraph then passes points for its length and commas to its ancestors, all to the parent, half to the next,
-less further up; a container's points are discounted by the share of its text that is in links. The best container is kept, and
-siblings of it that score well or are plain paragraphs or headings; if the container is within an article or main element, all of that is.
+A page becomes a tree. Every block's own text passes points, for its length and commas, less the share of it that is in links, to its ancestors: all to the
+container around it, half to the next one, less further up. Elements that are seldom article (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments), by tag, role and class names, weigh the points of all that is in them down; nothing is cut for its name alone. A
+container's points are discounted by the share of its text that is in links; an article or main element, or a class name such as "content", is worth a quarter
+more. The best container is kept, with siblings that score well, are plain paragraphs or headings, or belong to the same article element. In what is kept, an
+element that is weighed down goes if less than a quarter of the weighed points is its own. Scripts, styles, controls and
+hidden elements are never read.
 
 Defined results: null, empty and unparsable html give an empty text; unclosed and misplaced tags are closed where the next block, item or ancestor
-says so; ties between containers go to the first; rows are independent, so repeated rows have equal results; an empty
-table gives an empty result.
+says so; a tag without an end ends the page, and after an attribute without an end quotes are plain characters; ties between containers
+go to the first; rows are independent, so repeated rows have equal results; an empty table gives an empty result. Pages of any length are read whole, in time in
+proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,7 +27,10 @@ from pyspark.sql import functions as F
 
 from techtrail.llm.common import small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.DOTALL)
+START = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+TAG_NAME = re.compile(r"[^\s/>]*")
+COMMENT_END = re.compile(r"--!?>")
+TAG_PART = re.compile(r"""=\s*["']|>""")
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -34,36 +42,59 @@ BLOCK = set(
 )
 #: What may stand before the body, and does not open it.
 BEFORE_BODY = set("head base basefont bgsound link meta noframes noscript script style template title".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+INLINE = {"a", "b", "em", "i", "p", "span", "strong"}
+#: Elements without text of their own.
+UNSEEN = set("audio button canvas datalist embed head iframe input map math meter noscript object option output progress script select style svg template textarea title video".split())
+#: What an element's start closes, by the first such element that is open; and where the search for it ends.
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: An open element of these is closed by the start of one of those, unless one of the last stands between.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"table", "tr"}),
-    "th": ({"td", "th"}, {"table", "tr"}),
-    "option": ({"option"}, {"select"}),
+CLOSED_BY = {"li": "item", "dt": "term", "dd": "term", "tr": "row", "td": "cell", "th": "cell", "option": "option", **dict.fromkeys(CLOSES_P - {"li", "dt", "dd"}, "paragraph")}
+OPENS = {"p": {"paragraph"}, "li": {"item"}, "dt": {"term"}, "dd": {"term"}, "tr": {"row"}, "td": {"row", "cell"}, "th": {"row", "cell"}, "option": {"option"}}
+BOUNDS = {
+    **dict.fromkeys("article body button div li section".split(), {"paragraph"}),
+    **dict.fromkeys(("td", "th"), {"paragraph"}),
+    **dict.fromkeys(("ul", "ol", "menu"), {"item"}),
+    "dl": {"term"},
+    "table": {"paragraph", "row", "cell"},
+    "tr": {"cell"},
+    "select": {"option"},
 }
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd"}
-CUT_TAGS = set("nav footer aside form button select textarea input iframe object embed svg canvas audio video dialog menu head script style noscript template title search fieldset math map datalist output progress meter".split())
-CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
-CUT_WORDS = set(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead footer footers colophon comment comments commentlist disqus replies respond reply cookie cookies consent gdpr notice notices notification notifications alert disclaimer popup modal overlay subscribe subscription newsletter signup login share sharing sharebar social related recommended recommendations widget widgets toolbar pager pagination skip outbrain taboola form search copyright".split()
+
+# Tags, roles and words of class names and ids that are seldom article.
+LOW_TAGS = {"aside", "dialog", "fieldset", "footer", "form", "header", "menu", "nav", "search"}
+LOW_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "note"}
+LOW_WORDS = set(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars rail menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs header masthead footer footers colophon cookie cookies consent gdpr notice notices notification notifications alert disclaimer popup modal overlay subscribe subscription newsletter signup login share sharing sharebar social related recommended recommendations widget widgets toolbar pager pagination skip outbrain taboola form search copyright".split()
 )
-COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus", "commentlist", "ad", "ads", "advert", "advertisement", "promo", "sponsored", "related", "teaser"}
-READERS = {"comment", "comments", "commentlist", "disqus", "respond", "replies"}
-GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text", "blog", "hentry"}
+#: Those that count for a paragraph or a piece of one too.
+LOW_INLINE_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "cookie", "copyright", "notice", "promo", "related", "sponsored", "teaser"}
+READER_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "blog", "hentry"}
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
+#: What points are worth in such elements, and in reader comments.
+LOW, READER = 0.1, 0.02
+#: What points are worth more in elements that are mostly article.
+GOOD = 1.25
+#: Part of the kept points that an element which is weighed down must have to stay.
+STAYS = 0.25
+#: Points and part of the best's score that a sibling has at least.
+SIBLING, SIBLING_PART = 10.0, 0.2
+#: Ancestors that a block's points are passed to.
+LEVELS = 10
+
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "cut", "holds", "points", "size", "linked")
+    __slots__ = tuple("tag parent children names role unseen open holds inside in_link home share weight strings own own_linked size linked mass points".split())
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.children, self.names, self.cut = tag, parent, [], frozenset(), False
-        self.holds, self.points, self.size, self.linked = 0, 0.0, 0, 0  # holds: 1 an article, 2 a main element
+        self.tag, self.parent, self.children, self.names, self.role, self.unseen = tag, parent, [], frozenset(), "", tag in UNSEEN
+        self.open: dict[str, Node] = parent.open if parent else {}  # what a later start may close, by kind
+        self.holds = 0  # 1 an article, 2 a main element
+        if tag in OPENS or tag in BOUNDS:
+            self.open = {k: x for k, x in self.open.items() if k not in BOUNDS.get(tag, ())}
+            for kind in OPENS.get(tag, ()):
+                self.open.setdefault(kind, self)
         if attributes:
             self.read(attributes)
 
@@ -72,18 +103,40 @@ class Node:
         for name, value in NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
-                self.cut |= value.strip().lower() in CUT_ROLES
+                self.role = value.strip().lower()
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
-                self.cut = True
+                self.unseen = True
             elif name in ("class", "id"):
                 words.update(x.lower() for x in WORDS.findall(value))
         self.names = frozenset(words)
 
 
+class _Reader:
+    """Where in a page the next tag ends; what was sought in vain is not sought again."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > of a tag, -1 if there is none."""
+        if at > self.last:
+            return -1
+        begin = at
+        while self.quotes:
+            m = TAG_PART.search(self.html, at)
+            if m and m[0] == ">":
+                return m.start()
+            at = self.html.find(m[0][-1], m.end()) + 1 if m else 0
+            self.quotes = at > 0
+        return self.html.find(">", begin)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; texts are its strings, with character references decoded."""
     root = here = Node("html", None)
+    reader, counts = _Reader(html), Counter()
     at, end, opened = 0, len(html), False
+
     def implied() -> Node:
         """Where the next content goes: into a body, which text and elements open that can't stand before it."""
         nonlocal opened
@@ -91,10 +144,20 @@ def parse(html: str) -> Node:
             return here
         opened = True
         root.children.append(body := Node("body", root))
+        counts["body"] += 1
         return body
 
+    def closed(node: Node) -> Node:
+        """The parent of an open element, after it and all within it are closed."""
+        x = here
+        while x is not node:
+            counts[x.tag] -= 1
+            x = x.parent
+        counts[x.tag] -= 1
+        return x.parent
+
     while at < end:
-        m = TOKEN.search(html, at)
+        m = START.search(html, at)
         if m is None or m.start() > at:
             text = html[at : m.start() if m else end]
             if not text.isspace():
@@ -103,152 +166,124 @@ def parse(html: str) -> Node:
         if m is None:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m[0] == "<!--":
+            close = COMMENT_END.search(html, at - 2)
+            at = close.end() if close else end
+            continue
+        if m[0] in ("<!", "<?"):
+            at = html.find(">", at) + 1 or end
             continue
-        if m[1] or m[4]:  # an end tag closes up to the element of its name, if one is open
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        name = TAG_NAME.match(html, at - 1)
+        tag, stop = name[0].lower(), reader.tag_end(name.end())
+        if stop < 0:
+            break
+        attributes, at = html[name.end() : stop], stop + 1
+        if m[0][1] == "/":  # an end tag closes up to the element of its name, if one is open
+            if counts[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = closed(node)
             elif tag == "br":
                 here.children.append(" ")
             continue
-        attributes = m[3] or m[6] or ""
-        if tag == "html" or tag == "body" and any(x.tag == "body" for x in _line(here)):
+        if tag == "html" or tag == "body" and opened:
             continue
         if tag == "body":
             opened = True
         elif tag not in BEFORE_BODY:
             here = implied()
-        if tag in CLOSES_P:
-            node = here
-            while node is not root and node.tag not in ("p", "td", "th", "li", "div", "article", "section", "body", "button", "table"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in IMPLIED:
-            ends, bounds = IMPLIED[tag]
-            node, close = here, None
-            while node is not root and node.tag not in bounds:
-                if node.tag in ends:
-                    close = node
-                node = node.parent
-            if close is not None:
-                here = close.parent
+        if tag in CLOSES_P and (node := here.open.get("paragraph")):
+            here = closed(node)
+        if tag in CLOSED_BY and (node := here.open.get(CLOSED_BY[tag])):
+            here = closed(node)
         if tag in RAW:
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             at = close.end() if close else end
             continue
         node = Node(tag, here, attributes)
         here.children.append(node)
-        if tag == "main" or tag == "article" and not node.names & COMMENT_WORDS:
-            for x in _line(here):
-                x.holds = max(x.holds, 2 if tag == "main" else 1)
         if tag not in VOID:  # a slash at the end of a tag means nothing
             here = node
+            counts[tag] += 1
     return root
 
 
-def _line(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def is_cut(node: Node) -> bool:
-    """Whether an element can't be article."""
-    tag = node.tag
+def share_of(node: Node) -> float:
+    """What points in an element are worth."""
+    tag, names = node.tag, node.names
     if tag in ("html", "body"):
-        return False
-    if node.cut or tag in CUT_TAGS:
-        return not (node.holds and tag == "form")
-    if tag in ("article", "main"):
-        return tag == "article" and bool(node.names & COMMENT_WORDS) and not node.names & {"content", "body"}
-    if node.names & READERS and node.holds < 2 and tag in ("div", "section", "ul", "ol", "li", "dl", "table"):
-        return True
-    if tag == "header":
-        return not any(x.tag in ("article", "main") for x in _line(node.parent))
-    return bool(node.names & CUT_WORDS) and not node.holds and tag not in HEADINGS | {"p", "a", "span", "b", "i", "em", "strong"} | ({"header"} if node.names & GOOD_WORDS else set()) or tag in ("p", "span", "a") and bool(node.names & (COMMENT_WORDS | {"advertising", "copyright", "notice", "cookie"}))
-
-
-def measure(root: Node) -> list[Node]:
-    """Cuts off what is not article, fills in sizes and points, and gives the containers in page order."""
-    containers: list[Node] = []
+        return 1.0
+    if names & READER_WORDS and (tag not in INLINE | HEADINGS | {"main"}) and node.holds < 2 and not (tag == "article" and names & {"content", "body"}):
+        return READER
+    if node.role in LOW_ROLES or tag in LOW_TAGS and not (tag == "header" and node.parent.inside):
+        return LOW
+    if tag in INLINE:
+        return LOW if names & LOW_INLINE_WORDS else 1.0
+    if tag in HEADINGS or tag in ("article", "main") or node.holds:
+        return 1.0
+    low = names & LOW_WORDS
+    if names & GOOD_WORDS:
+        low -= {"header"}
+    return LOW if low else 1.0
+
+
+def weighed(root: Node) -> list[Node]:
+    """Fills in sizes, weights and points of all elements, and gives them in page order."""
     order: list[Node] = []
     stack = [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [x for x in node.children if isinstance(x, str) or not is_cut(x)]
-        if node.tag == "header":  # within an article: its headings are the article's
-            node.children = [x for x in node.children if not isinstance(x, str)]
+        node.children = [x for x in node.children if isinstance(x, str) or not x.unseen]
+        node.strings, node.own, node.own_linked, node.size, node.linked, node.mass, node.points = [], 0, 0, 0, 0, 0.0, 0.0
         stack += [x for x in reversed(node.children) if not isinstance(x, str)]
     for node in reversed(order):
-        for x in node.children:
-            if isinstance(x, str):
-                node.size += len("".join(x.split()))
-            else:
-                node.size += x.size
-                node.linked += x.size if x.tag == "a" else x.linked
+        if node.tag == "main" or node.tag == "article" and not node.names & READER_WORDS:
+            node.holds = max(node.holds, 2 if node.tag == "main" else 1)
+        if node.parent is not None:
+            node.parent.holds = max(node.parent.holds, node.holds)
     for node in order:
-        inline = sum(len("".join(x.split())) if isinstance(x, str) else x.size * (x.tag not in BLOCK) for x in node.children)
-        own = node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body", "html") and inline >= 20
-        if not own or not node.size or any(not isinstance(x, str) and x.tag in PARAGRAPHS for x in node.children):
-            continue
-        text = "".join(strings(node))
-        points = 0.2 if node.size < 20 else 1 + text.count(",") + text.count("、") + text.count("，") + min(node.size / 100, 3)
-        share, level = 1.0, 0
-        for x in _line(node if node.tag not in PARAGRAPHS else node.parent):
-            if x.points == 0.0 and (x.tag != "html" or x is node):
-                x.points = 1e-9 + (25 if x.names & GOOD_WORDS else 0) + (5 if x.tag in ("article", "main", "section", "div") else -3 if x.tag in ("ul", "ol", "dl") else 0)
-                containers.append(x)
-            x.points += points * share
-            level += 1
-            share = 1 / 2 if level == 1 else 1 / (3 * level)
-            if share < 1e-3:
-                break
-    return containers
-
-
-def strings(node: Node) -> Iterator[str]:
-    stack: list[Node | str] = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        else:
-            stack += reversed(x.children)
+        up = node.parent
+        node.inside = node.tag in ("article", "main") or bool(node.names & GOOD_WORDS) or up is not None and up.inside
+        node.share = share_of(node)
+        node.weight = node.share * (up.weight if up else 1.0)
+        node.home = home = node if up is None or node.tag in BLOCK else up.home
+        node.in_link = node.tag == "a" or up is not None and up.in_link
+        for x in node.children:
+            if isinstance(x, str) and not x.isspace():
+                size = len(x) - x.count(" ")
+                home.strings.append(x)
+                home.own += size
+                home.own_linked += size if node.in_link else 0
+    for node in reversed(order):
+        node.size += node.own
+        node.linked += node.own_linked
+        if node.own:
+            points = node.own / 20
+            if points >= 1:
+                text = "".join(node.strings)
+                points = 1 + text.count(",") + text.count("、") + text.count("，") + min(node.own / 100, 3)
+            if node.tag in HEADINGS:  # as much as one short paragraph
+                points = min(points, 1.0)
+            points *= node.weight * (1 - node.own_linked / node.own)
+            node.mass += points
+            x, level = node if node.tag in ("div", "section", "article", "main", "body", "html") else node.parent, 0
+            while x is not None and level < LEVELS:
+                x.points += points * (1.0 if level == 0 else 0.5 if level == 1 else 1 / (3 * level))
+                x, level = x.parent, level + 1
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
+            node.parent.mass += node.mass
+    return order
 
 
 def score(node: Node) -> float:
-    return node.points * (1 - node.linked / node.size) if node.size else 0.0
-
-
-def chosen(root: Node) -> list[Node]:
-    """The best container and the siblings that go with it, in page order."""
-    containers = measure(root)
-    if not containers:
-        whole = next((x for x in _walk(root) if x.tag in ("article", "main") and x.size), None)
-        return [whole] if whole else []
-    best = max(containers, key=score)
-    around = [x for x in _line(best) if x.tag in ("article", "main")]
-    if around:
-        root = around[0] if around[0].tag == "article" else around[-1]
-        beside = root.parent.children if root.parent is not None and root.parent.tag == "main" else [root]
-        return [x for x in beside if x is root or not isinstance(x, str) and x.tag == "h1"]
-    if best.parent is None:
-        return [best]
-    least, kept = max(10.0, score(best) / 5), []
-    for x in best.parent.children:
-        if isinstance(x, str) or x is best:
-            kept += [x] if x is best else []
-            continue
-        density = x.linked / x.size if x.size else 1.0
-        if x.points and score(x) >= least or x.tag == "p" and x.size and density < 0.25 or x.tag in HEADINGS and density < 0.25:
-            kept.append(x)
-    return kept
+    if not node.points or not node.size or node.tag == "html" and any(not isinstance(x, str) and x.tag == "body" for x in node.children):
+        return 0.0
+    good = node.share == 1.0 and (node.tag in ("article", "main") or node.names & GOOD_WORDS)
+    return node.points * (1 - node.linked / node.size) * (GOOD if good else 1.0)
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -259,8 +294,54 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [y for y in reversed(x.children) if not isinstance(y, str)]
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks in page order, with single spaces."""
+def beside(x: Node, best: float, titled: bool) -> list[Node]:
+    """What of a sibling of the best container is kept: all, nothing, or the headings of a title block."""
+    if x.share < 1.0 or not x.size or x.linked / x.size >= 0.25 and x.tag not in BLOCK - HEADINGS - {"p"}:
+        return []
+    plain = x.linked / x.size < 0.25
+    if x.tag in HEADINGS or x.tag == "p":
+        return [x] if plain else []
+    if score(x) >= max(SIBLING, SIBLING_PART * best):
+        return [x]
+    titles = [y for y in _walk(x) if y.tag == "h1"] if plain and not titled else []
+    return titles if titles and 2 * sum(y.size for y in titles) >= x.size else []
+
+
+def chosen(root: Node) -> tuple[list[Node | str], float]:
+    """The best container and what goes with it, in page order, and the points that it has at most and goes nevertheless."""
+    order = weighed(root)
+    best = max(order, key=score)
+    if score(best) <= 0:
+        return [root], 0.0
+    kept: list[Node | str] = [best]
+    node, top = best, score(best)
+    while node.parent is not None:
+        around: list[Node | str] = []
+        titled = any(not isinstance(x, str) and any(y.tag == "h1" for y in _walk(x)) for x in kept)
+        for x in node.parent.children:
+            if x is node:
+                around += kept
+                titled = True
+            elif node.parent.inside:
+                around.append(x)
+            elif not isinstance(x, str):
+                around += beside(x, top, titled)
+        kept, node = around, node.parent
+        if not node.inside:  # outside of an article, what is beside it, and no more
+            break
+    for x in _line(best):
+        x.share = 1.0
+    return kept, STAYS * sum(x.mass for x in kept if not isinstance(x, str))
+
+
+def _line(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def blocks(nodes: list[Node | str], least: float) -> list[str]:
+    """Texts of the blocks in page order, with single spaces; elements that are weighed down and have no more than some points are left out."""
     made: list[str] = []
     line: list[str] = []
 
@@ -278,6 +359,8 @@ def blocks(nodes: list[Node]) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
+        elif x.share < 1.0 and x.mass <= least:
+            continue
         elif x.tag in BLOCK:
             end()
             stack.append(None)
@@ -289,7 +372,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 
 def main_text(html: str) -> str:
-    return "\n\n".join(blocks(chosen(parse(html))))
+    return "\n\n".join(blocks(*chosen(parse(html))))
 
 
 def extract(df: DataFrame, column: str = "html") -> DataFrame:

@@ -75,6 +75,37 @@ def test_secrets_that_stand_twice_are_reported_twice():
     assert secrets.without("K1 ab K1", 1, 7, [], "K1") == " ab "
 
 
+def test_candidates_match_plain_search():
+    rng = random.Random(1)
+    parts = ["secret", "token", " ", "\n", "abcdefgh12345678", "x" * 100, "a1" * 60, "= ", "ordinary words and more ", "credential", "Zk3nQ9vXw2LrT8bY5mHs7dPc", "é"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        near = list(secrets.windows(text))
+        found = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        assert list(secrets.candidates(text)) == [(a, b) for a, b in found if any(a < end and begin < b for begin, end in near)]
+
+
+def test_letters_of_a_key_do_not_hide_it(spark):
+    """A key with a long letter run, and an assigned one, in many different texts: neither gives the dictionary a word."""
+    key, other = "QwErTyUiOpAsDfGhJkLzXcVbNm7391QzWx", "PlOkMiJnUhBygvTfcRdxEszWaq"
+    rows = [(f"row {i}: the credential value {key} is used, password = {other}",) for i in range(60)]
+    made = secrets.identifier_dictionary(spark.createDataFrame(rows, "text string"))
+    assert not any(x.encode() in made for x in secrets.IDENTIFIER.findall(f"{key} {other}"))
+    assert [rows[7][0][a:b] for a, _, b in secrets.novel_spans(rows[7][0], secrets.primed(made), secrets.base_spans(rows[7][0]))] == [key]
+
+
+def test_many_lines_of_secrets_take_linear_time():
+    import time
+
+    compressor, took = secrets.primed(b"words"), []
+    for n in (3000, 12000):
+        text = "\n".join(f"token = abcdef{i} credential Zk3nQ9vXw2LrT8bY5mHs7dPc{i}" for i in range(n))
+        begin = time.process_time()
+        assert len(secrets.novel_spans(text, compressor, secrets.base_spans(text))) > n / 2
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_query_digests(spark, tmp_path):
     frame = spark.createDataFrame([(i, x) for i, x in enumerate([*CASES, None])], "doc_id long, text string")
     frame.write.parquet(f"{tmp_path}/documents.parquet")
@@ -192,6 +223,83 @@ def test_main_text(html, text):
     assert html_main_text.main_text(html) == text
 
 
+LONG = "Long text, with commas, and more words than a notice has, to be sure of it."
+SCORED = [
+    (f"<body><form><div class=header>Site</div><div class=content><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div class=footer><p>{LONG}</p></div></form>", f"T\n\n{LONG}\n\n{LONG}"),
+    (f"<body><div class='social-studies-text'><p>{LONG} {LONG}</p></div><p>short.</p>", f"{LONG} {LONG}\n\nshort."),
+    (f"<body><div class='post-header'><h1>Title here</h1></div><div id=x><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>", f"Title here\n\n{LONG}\n\n{LONG}"),
+    (f"<body><article><h1>A</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><h1>B</h1><p>{LONG}</p><p>{LONG}</p></article><footer><p>{LONG}</p></footer>", f"A\n\n{LONG}\n\n{LONG}\n\n{LONG}\n\nB\n\n{LONG}\n\n{LONG}"),
+    (f"<body><article><p>Teaser, short.</p></article><div id=x><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+    (f"<body><div id=x><p>{LONG}</p><p>{LONG}</p></div><div class=comments>{f'<p>{LONG}</p>' * 9}</div>", f"{LONG}\n\n{LONG}"),
+    (f"<article><section><p>{LONG}</p></section><section><p>tiny</p></section><div class=related><ul><li><a href=x>Other</a></ul></div></article>", f"{LONG}\n\ntiny"),
+    (f"<body><div id=x><p>{LONG}</p></div><div id=y><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+    ("<div>Hi</div>", "Hi"),
+    ("<p><a href=x>All of it is a link</a></p>", "All of it is a link"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SCORED)
+def test_scores_choose(html, text):
+    assert html_main_text.main_text(html) == text
+
+
+def plain_points(root):
+    """Points of each element by adding up every block's for each of its ancestors, from the definition."""
+
+    def elements(node):
+        return [node] + [y for x in node.children if not isinstance(x, str) for y in elements(x)]
+
+    def own(node, linked=False):
+        """(text, whether in a link) of a block's pieces, without the blocks in it."""
+        linked = linked or node.tag == "a"
+        pieces = [[(x, linked)] if isinstance(x, str) else own(x, linked) for x in node.children if isinstance(x, str) or x.tag not in html_main_text.BLOCK]
+        return [y for x in pieces for y in x]
+
+    points = {}
+    for node in elements(root):
+        if node.tag not in html_main_text.BLOCK:
+            continue
+        line = list(html_main_text._line(node))
+        in_link = any(x.tag == "a" for x in line)
+        pieces = [(x, y or in_link) for x, y in own(node) if not x.isspace()]
+        size = sum(len(x.replace(" ", "")) for x, _ in pieces)
+        if not size:
+            continue
+        text = "".join(x for x, _ in pieces)
+        gained = size / 20 if size < 20 else 1 + len(re.findall("[,、，]", text)) + min(size / 100, 3)
+        gained = min(gained, 1) if node.tag in html_main_text.HEADINGS else gained
+        gained *= sum(len(x.replace(" ", "")) for x, y in pieces if not y) / size
+        for x in line:
+            gained *= html_main_text.share_of(x)
+        for level, x in enumerate((line if node.tag in ("div", "section", "article", "main", "body", "html") else line[1:])[: html_main_text.LEVELS]):
+            points[id(x)] = points.get(id(x), 0) + gained * (1 if level == 0 else 1 / 2 if level == 1 else 1 / (3 * level))
+    return points
+
+
+def test_points_match_a_plain_scorer(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()] + [x for x, _ in PAGES + SCORED]
+    for html in pages:
+        root = html_main_text.parse(html)
+        order = html_main_text.weighed(root)
+        plain = plain_points(root)
+        assert all(abs(x.points - plain.get(id(x), 0)) < 1e-6 for x in order)
+
+
+BROKEN = ["<a ", "<b>", "<article>", "<p>", "</i>", "<a b='>' ", '<a b="', "<li>x", "<ul><li>", "<!--", "<!", "<", "<tr><td>x", "<div>word, ", "<script>", "&amp;", "<p class"]
+
+
+@pytest.mark.parametrize("piece", BROKEN)
+def test_time_grows_with_length_alone(piece):
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        begin = time.process_time()
+        html_main_text.main_text("<p>" + piece * (size // len(piece)))
+        took.append(time.process_time() - begin)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_pages_of_the_table(spark):
     found = html_main_text.op6_html_tree_scoring(spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html as references
@@ -250,6 +358,21 @@ def test_sketches_merge_and_find_quartiles(spark):
     assert row["texts"] == 500
 
 
+def test_windows_that_share_their_hash_bits(spark):
+    """Found by search: 40 bits of the hashes of "a<i> b c" are equal for each of these pairs."""
+    own = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    texts = [f"{own('x')} a{a} b c {own('y')} a{b} b c {own('z')} a{a} b c end" for a, b in ((3430799, 3824771), (1898839, 2725380), (521414, 621688))]
+    frame = spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert [r["n_repeat_words"] for r in quality_rules.measure(frame).collect()] == [counts(x)[4] for x in texts] == [6, 6, 6]
+
+
+def test_texts_with_more_places_than_bits(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, x, "en", "s") for i, x in enumerate(ODD)], "doc_id long, text string, lang string, source string")
+    for bits in (3, 8):
+        monkeypatch.setattr(quality_rules, "PLACE_BITS", bits)
+        assert [r["n_repeat_words"] for r in quality_rules.measure(frame).orderBy("doc_id").collect()] == [counts(x or "")[4] for x in ODD]
+
+
 def test_no_python_on_the_native_path(spark):
     plan = quality_rules.op4_adaptive_quality(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

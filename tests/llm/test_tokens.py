@@ -36,6 +36,38 @@ def test_word_bpe_tables_turn_over(spark, monkeypatch):
         assert " ".join(y[0] for y in map(bpe.__getitem__, word_bpe.pieces(x))) == " ".join(map(str, library.encode(x, add_special_tokens=False).ids))
 
 
+def test_long_pieces_are_not_kept():
+    bpe = word_bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(300):
+        bpe[f"{'long' * 1000}{i}"]
+        bpe[f"{'x!' * 2000}{i}"]
+    assert not bpe and not any(len(x) > word_bpe.SHORT for x in bpe.known) and len(bpe.known) < 1000
+
+
+def test_one_very_long_word(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    frame = spark.createDataFrame([(1, "a" * 200_000), (2, "ab" * 100_000)], "doc_id long, text string")
+    for r in word_bpe.encode_decode(frame, path).collect():
+        assert r["ids"] == " ".join(map(str, Tokenizer.from_file(path).encode(r["text"], add_special_tokens=False).ids))
+
+
+def test_very_long_runs_are_tokenised_as_by_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, bpe = Tokenizer.from_file(path), packing.ByteBpe(path)
+    rng = np.random.default_rng(4)
+    letters = "".join(map(chr, rng.integers(32, 0x3000, 300_000).tolist()))
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "word" + " \n" * 300_000 + "word", " a" * 300_000, letters):
+        assert bpe.text(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_buckets_of_any_number_give_whole_plans(spark, monkeypatch):
+    monkeypatch.setattr(packing, "IN_BUCKET", 2)
+    monkeypatch.setattr(packing, "BUCKETS", 3)
+    pieces = spark.createDataFrame([(i, 0, 0, 700 if i % 3 else 900, i) for i in range(500)], "doc_id long, piece long, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 500
+
+
 def plain_merge(symbols, ranks, merged):
     symbols = list(symbols)
     while pairs := [(ranks[a << 20 | b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a << 20 | b in ranks]:

@@ -4,12 +4,15 @@ For each language a tree of byte contexts (up to ``ORDER`` bytes before a byte)
 probability in a context of the longest order seen is its count over the sum of counts and of the number of different bytes (escape method
 C); a byte not seen there escapes to the next shorter context, and at last to 1/256 for each byte. A text's code length under each language is the sum over all its bytes; the shortest wins.
 
-All contexts become one table (context, byte, language) of code lengths in 1/65536 bit, so that a text costs two table look-ups a byte
-and sums are exact whole numbers. Bytes that no sample has share one column: in any context
-they cost the same.
+A code length is 8 bits a byte, the escapes of all contexts that precede a byte, and a correction for each run of bytes that ends with it and that the language has.
+So a run's row names only the languages that have it, and all languages of the labels are learned, however many. Corrections are whole numbers of 1/65536 bit, so
+sums are exact.
+
+Bounds: a language's sample has at most ``TEXTS`` texts, and at most ``BYTES`` bytes beyond the first text of each bucket; its tree has at most ``RUNS`` runs, the
+most frequent. A run takes 14 bytes for each language that has it, and some 40 more in all; this table is what is broadcast.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; ties go to the language that sorts first; without samples all are ``und``;
-repeated rows have equal results; an empty table gives an empty result.
+repeated rows have equal results; an empty table gives an empty result; long texts are scored whole, in portions.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from techtrail.llm.common import small_batches, text_or_empty
+from techtrail.llm.common import small_batches, stash, text_or_empty
 
+#: Bytes before a byte at most (3: runs are numbers of 32 bits).
 ORDER = 3
-#: Sample texts for each language at most, those of least hash in each of so many buckets of ids. Languages that are told apart at most: the most frequent.
-TEXTS, BUCKETS, LANGUAGES = 448, 64, 16
+#: Sample texts for each language at most, those of least hash in each of so many buckets of ids, and their bytes beyond the first of each bucket.
+TEXTS, BUCKETS, BYTES = 448, 64, 1 << 21
+#: Runs of up to ORDER + 1 bytes that a language's tree has at most.
+RUNS = 100_000
 UNIT = 65536
+#: Bytes that are scored at once.
+PORTION = 1 << 17
 
 
 def held_out() -> Column:
@@ -36,39 +44,61 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_texts(documents: DataFrame, texts: int = TEXTS, languages: int = LANGUAGES) -> DataFrame:
-    """lang, text: sample texts of the languages to learn."""
+def sample_texts(documents: DataFrame, texts: int = TEXTS, size: int = BYTES) -> DataFrame:
+    """lang, text: sample texts of each language. Longer texts than a bucket's share of the bytes are taken only where a bucket has no others."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    # chosen by hash and id alone, so that no text is moved to choose it, and within buckets, so that no language is one task's work
+    # chosen by length, hash and id alone, so that no text is moved to choose it, and within buckets, so that no language is one task's work
     bucket = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BUCKETS))
-    order = Window.partitionBy("lang", bucket).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts // BUCKETS)
-    chosen = F.broadcast(chosen.join(F.broadcast(top), "lang").select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")).distinct())  # texts x languages rows at most
+    each = known.select("lang", "doc_id", bucket.alias("bucket"), F.octet_length("text").alias("bytes"))
+    order = Window.partitionBy("lang", "bucket").orderBy(F.col("bytes") > size // BUCKETS, F.xxhash64("doc_id"), "doc_id")
+    few = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts // BUCKETS)
+    sum_of = F.sum("bytes").over(Window.partitionBy("lang", "bucket").orderBy("place"))
+    chosen = few.withColumn("sum", sum_of).where((F.col("place") == 1) | (F.col("sum") <= size // BUCKETS))
+    chosen = stash(chosen.select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")).distinct())  # a small table, whose size Spark sees before it joins
     return known.join(chosen, (known["doc_id"] == chosen["chosen id"]) & (known["lang"] == chosen["chosen lang"])).select(known["lang"], known["text"])
 
 
-def count_contexts(samples: DataFrame, order: int = ORDER) -> dict[str, list[dict[bytes, int]]]:
-    """For each language and length 0 to order, how often each run of length + 1 bytes occurs."""
+Tree = list[tuple[np.ndarray, np.ndarray]]
+
+
+def runs_of(data: np.ndarray, size: int) -> np.ndarray:
+    """Each run of so many bytes as a number."""
+    n = len(data) - size + 1
+    found = np.zeros(max(n, 0), np.uint32)
+    for i in range(size if n > 0 else 0):
+        found = found << np.uint32(8) | data[i : i + n]
+    return found
+
+
+def count_runs(samples: DataFrame, order: int = ORDER, most: int = RUNS) -> dict[str, Tree]:
+    """For each language and size 1 to order + 1: the runs of bytes, as sorted numbers, and how often each occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            found: dict[tuple[str, bytes], int] = {}
+            by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = text.encode()
+                by_lang.setdefault(lang, []).append(np.frombuffer(text.encode(), np.uint8).astype(np.uint32))
+            for lang, texts in by_lang.items():
                 for size in range(1, order + 2):
-                    for i in range(len(data) - size + 1):
-                        key = lang, data[i : i + size]
-                        found[key] = found.get(key, 0) + 1
-            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(found.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "run", "n"])
-
-    counted = samples.mapInArrow(count, "lang string, run binary, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
-    trees: dict[str, list[dict[bytes, int]]] = {}
-    for row in counted.collect():  # as large as the sample allows, whatever the input's size
-        run = bytes(row["run"])
-        trees.setdefault(row["lang"], [{} for _ in range(order + 1)])[len(run) - 1][run] = row["n"]
-    return dict(sorted(trees.items()))
+                    found, n = np.unique(np.concatenate([runs_of(x, size) for x in texts]), return_counts=True)
+                    columns = [pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "run", "n"])
+
+    counted = samples.mapInArrow(count, "lang string, size int, run long, n long").groupBy("lang", "size", "run").agg(F.sum("n").alias("n"))
+    # a run's beginning and its end are as frequent or more, and shorter, so with a run all its parts are kept
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "size", "run")
+    rows = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place").toArrow()  # most rows for each language
+    lang, size, run, n = (rows.column(x).combine_chunks() for x in ("lang", "size", "run", "n"))
+    names, lang, size = sorted(set(lang.unique().to_pylist())), lang.to_numpy(zero_copy_only=False), size.to_numpy()
+    run, n = run.to_numpy().astype(np.uint32), n.to_numpy()
+    trees: dict[str, Tree] = {}
+    for name in names:
+        trees[name] = []
+        for k in range(1, order + 2):
+            at = np.flatnonzero((lang == name) & (size == k))
+            at = at[np.argsort(run[at])]
+            trees[name].append((run[at], n[at]))
+    return trees
 
 
 def code_length(counts: list[dict[bytes, dict[int, int]]], context: bytes, byte: int) -> float:
@@ -96,53 +126,111 @@ def next_bytes(tree: list[dict[bytes, int]]) -> list[dict[bytes, dict[int, int]]
     return made
 
 
+def corrections(tree: Tree) -> tuple[float, Tree, list[np.ndarray]]:
+    """(escape of the empty context; for each size runs and their corrections; for each size the runs' escapes as contexts) in 1/UNIT bit."""
+    made, escapes, shorter = [], [], None
+    for k, (runs, n) in enumerate(tree):
+        contexts, of = np.unique(runs >> np.uint32(8), return_inverse=True)
+        different = np.bincount(of, minlength=len(contexts))
+        total = np.bincount(of, weights=n, minlength=len(contexts)) + different
+        bits = lambda p: np.rint(-np.log2(p) * UNIT).astype(np.int64)
+        escape, cost = bits(different / total), bits(n / total[of])
+        if shorter is None:
+            before = np.full(len(runs), 8 * UNIT, np.int64)
+            escapes.append(escape[:1])
+        else:
+            known, costs = shorter
+            before = costs[np.searchsorted(known, runs & np.uint32((1 << 8 * k) - 1))]
+            own = np.zeros(len(known), np.int64)
+            own[np.searchsorted(known, contexts)] = escape
+            escapes.append(own)
+        made.append((runs, cost - escape[of] - before))
+        shorter = runs, cost
+    escapes.append(np.zeros(len(tree[-1][0]), np.int64))
+    return float(escapes[0].sum()), made, escapes[1:]
+
+
+class Places:
+    """Places of numbers in an array without repeats, by open addressing, for many at once."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (4 * len(numbers)).bit_length()))
+        self.place = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.number = np.zeros(len(self.place), np.uint64)
+        left, slot = np.arange(len(numbers)), self.slots(numbers)
+        while len(left):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]
+            settled = self.place[slot] == left
+            self.number[slot[settled]] = numbers[left[settled]]
+            left, slot = left[~settled], (slot[~settled] + 1) % len(self.place)
+
+    def slots(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        """Place of each number, -1 if it is not there."""
+        slot = self.slots(numbers)
+        found = self.place[slot]
+        left = np.flatnonzero((found >= 0) & (self.number[slot] != numbers))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) % len(self.place)
+            found[left] = self.place[slot]
+            wrong = (found[left] >= 0) & (self.number[slot] != numbers[left])
+            left, slot = left[wrong], slot[wrong]
+        return found
+
+
 class Tables:
-    """Code lengths of all contexts that any language has, for texts to look up."""
+    """Corrections and escapes of all runs that any language has, for texts to look up."""
 
-    def __init__(self, trees: dict[str, list[dict[bytes, int]]]):
+    def __init__(self, trees: dict[str, Tree]):
         self.languages = list(trees)
-        seen = sorted({run[0] for tree in trees.values() for run in tree[0]})
-        self.symbols = len(seen) + 1  # the last is any byte that no sample has
-        self.symbol = np.full(256, len(seen), np.int64)
-        self.symbol[seen] = np.arange(len(seen))
         self.order = len(next(iter(trees.values()))) - 1 if trees else 0
-        counts = [next_bytes(tree) for tree in trees.values()]
-        contexts = [sorted({c for x in counts for c in x[order]}) for order in range(self.order + 1)]
-        rows = {c: i for i, c in enumerate(c for group in contexts for c in group)}
-        self.cost = np.zeros((len(rows), self.symbols, len(counts)), np.int32)
-        for k, orders in enumerate(counts):
-            for context, row in rows.items():  # shorter contexts come first
-                base = self.cost[rows[context[1:]], :, k] if context else np.full(self.symbols, 8 * UNIT, np.int32)
-                after = orders[len(context)].get(context)
-                if not after:
-                    self.cost[row, :, k] = base
-                    continue
-                total = sum(after.values()) + len(after)
-                self.cost[row, :, k] = base + round(-math.log2(len(after) / total) * UNIT)
-                at = self.symbol[list(after)]
-                self.cost[row, at, k] = np.rint(-np.log2(np.array(list(after.values())) / total) * UNIT)
-        # the row of the longest known context, for every possible one of `order` symbols
-        self.find = np.zeros([self.symbols] * self.order or [1], np.int32)
-        for context, row in rows.items():
-            self.find[(..., *(self.symbol[list(context)]))] = row
-        self.find = self.find.ravel()
-        self.rows = rows
-
-    def costs(self, data: bytes) -> np.ndarray:
-        """Code length of the data under each language, in 1/UNIT bit."""
-        symbols = self.symbol[np.frombuffer(data, np.uint8)]
-        total = np.zeros(len(self.languages), np.int64)
-        for i in range(min(self.order, len(data))):  # too few bytes before it
-            row = next(self.rows[data[j:i]] for j in range(i + 1) if data[j:i] in self.rows)
-            total += self.cost[row, symbols[i]]
-        n = len(data) - self.order
-        if n > 0:
-            place = np.zeros(n, np.int64)
-            for j in range(self.order):
-                place = place * self.symbols + symbols[j : j + n]
-            for i in range(0, n, 1 << 17):
-                part = slice(i, i + (1 << 17))
-                total += self.cost[self.find[place[part]], symbols[self.order :][part]].sum(axis=0, dtype=np.int64)
+        self.start = np.zeros(len(trees))  # bits of a byte before any run is known
+        sizes, runs, langs, values, escapes = [], [], [], [], []
+        for k, tree in enumerate(trees.values()):
+            empty, corrected, escaped = corrections(tree)
+            self.start[k] = 8 * UNIT + empty
+            for size, ((run, value), escape) in enumerate(zip(corrected, escaped, strict=True), 1):
+                sizes.append(np.full(len(run), size, np.uint64)), runs.append(run.astype(np.uint64)), langs.append(np.full(len(run), k, np.int16))
+                values.append(value), escapes.append(escape)
+        if not trees:
+            return
+        key = np.concatenate(sizes) << np.uint64(32) | np.concatenate(runs)
+        order = np.argsort(key, kind="stable")
+        known, first = np.unique(key[order], return_index=True)
+        self.begin = np.append(first, len(key)).astype(np.int32)
+        self.lang, self.escape = np.concatenate(langs)[order], np.concatenate(escapes)[order].astype(np.int32)
+        self.value = np.concatenate(values)[order].astype(np.int32) + self.escape
+        self.places = Places(known)
+
+    def add(self, total: np.ndarray, place: np.ndarray, text: np.ndarray, values: np.ndarray, sign: int = 1) -> None:
+        """Adds the values of runs in certain places to the code lengths of the texts that they stand in."""
+        begin, n = self.begin[place], self.begin[place + 1] - self.begin[place]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        total += sign * np.bincount(np.repeat(text, n) * len(self.languages) + self.lang[at], weights=values[at], minlength=total.size).reshape(total.shape)
+
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """Code length of each text under each language, in 1/UNIT bit."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        data = np.frombuffer(bytes(self.order) + b"".join(texts), np.uint8).astype(np.uint64)
+        ends = np.cumsum(sizes)
+        total = sizes[:, None] * self.start[None, :]
+        for low in range(0, int(ends[-1]) if len(ends) else 0, PORTION):
+            here = np.arange(low, min(low + PORTION, int(ends[-1])))
+            text = np.searchsorted(ends, here, side="right")
+            inside = here - (ends - sizes)[text]  # bytes of the text before this one
+            last = here + 1 == ends[text]
+            run = np.zeros(len(here), np.uint64)
+            for size in range(1, self.order + 2):
+                run |= data[here + self.order - size + 1] << np.uint64(8 * (size - 1))
+                found = self.places.of(run | np.uint64(size << 32))
+                use = (found >= 0) & (inside >= size - 1)
+                self.add(total, found[use], text[use], self.value)
+                use &= last  # no byte follows, so it is nothing's context
+                self.add(total, found[use], text[use], self.escape, -1)
         return total
 
 
@@ -152,16 +240,14 @@ def identify(df: DataFrame, tables: Broadcast, column: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tables.value
         for batch in small_batches(batches, column):
-            languages, scores = [], []
-            for text, letters in zip(batch.column(column).to_pylist(), batch.column("has_letter").to_pylist(), strict=True):
-                if not letters or not known.languages:
-                    languages.append("und"), scores.append(0.0)
-                    continue
-                bits = known.costs(text.encode())
-                best = int(bits.argmin())
-                languages.append(known.languages[best])
-                scores.append(float(1 / np.exp2((bits[best] - bits) / (8 * UNIT)).sum()))
-            made = [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            letters = batch.column("has_letter").to_pylist()
+            texts = [x.encode() for x, y in zip(batch.column(column).to_pylist(), letters, strict=True) if y and known.languages]
+            bits = known.costs(texts) if texts else np.zeros((0, 1))
+            best = bits.argmin(axis=1)
+            certain = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) / (8 * UNIT)).sum(axis=1)
+            found = iter(zip(best.tolist(), certain.tolist(), strict=True))
+            rows = [next(found) if y and known.languages else (-1, 0.0) for y in letters]
+            made = [pa.array([known.languages[k] if k >= 0 else "und" for k, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "lang_pred", "score"])
 
     marked = df.drop("has_letter", "lang_pred", "score").withColumn("has_letter", F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False)))
@@ -171,7 +257,7 @@ def identify(df: DataFrame, tables: Broadcast, column: str = "text") -> DataFram
 
 def learn(documents: DataFrame) -> Broadcast:
     """Tables from documents (doc_id, text, lang), for the workers."""
-    return documents.sparkSession.sparkContext.broadcast(Tables(count_contexts(sample_texts(documents))))
+    return documents.sparkSession.sparkContext.broadcast(Tables(count_runs(sample_texts(documents))))
 
 
 def op5_language_ppm(spark, sf_dir):

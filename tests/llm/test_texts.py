@@ -162,19 +162,24 @@ def test_held_out_accuracy(spark):
 # --- language
 
 
-def test_code_lengths_match_the_definition():
+def test_code_lengths_match_the_definition(monkeypatch):
     trees = {"a": [{} for _ in range(4)], "b": [{} for _ in range(4)]}
     for lang, text in (("a", b"abracadabra abra "), ("b", b"bananas and cabanas ")):
         for size in range(1, 5):
             for i in range(len(text) - size + 1):
                 run = text[i : i + size]
                 trees[lang][size - 1][run] = trees[lang][size - 1].get(run, 0) + 1
-    tables = language_ppm.Tables(trees)
-    for text in (b"", b"a", b"abra", b"banana\xff", b"zzz", b"cabbage and abracadabra " * 9):
+    number = lambda tree: [(language_ppm.np.array([int.from_bytes(x) for x in sorted(runs)], "u4"), language_ppm.np.array([runs[x] for x in sorted(runs)])) for runs in tree]
+    tables = language_ppm.Tables({k: number(x) for k, x in trees.items()})
+    texts = [b"", b"a", b"abra", b"banana\xff", b"zzz", b"", b"cabbage and abracadabra " * 9]
+    costs = tables.costs(texts)
+    monkeypatch.setattr(language_ppm, "PORTION", 7)
+    assert (tables.costs(texts) == costs).all() and (tables.costs(texts[6:]) == costs[6:]).all()
+    for text, found in zip(texts, costs, strict=True):
         for k, lang in enumerate(trees):
             counts = language_ppm.next_bytes(trees[lang])
             bits = sum(language_ppm.code_length(counts, text[max(0, i - 3) : i], text[i]) for i in range(len(text)))
-            assert abs(tables.costs(text)[k] / language_ppm.UNIT - bits) < 1e-3 * (len(text) + 1)
+            assert abs(found[k] / language_ppm.UNIT - bits) < 1e-3 * (len(text) + 1)
 
 
 def test_languages_of_held_out_documents(spark):
@@ -184,6 +189,32 @@ def test_languages_of_held_out_documents(spark):
     assert row["n"] > 200 and row["share"] > 0.97
 
 
+def test_forty_languages(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñłőşğæøåαβγδεζηθ"
+    vocabulary = [["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)] for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 40]) for _ in range(40)), f"l{i % 40:02}") for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    tables = language_ppm.learn(frame)
+    assert tables.value.languages == sorted({x[2] for x in rows})
+    found = language_ppm.identify(frame, tables).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_samples_and_trees_are_bounded(spark):
+    rows = [(i, f"t{i} " * (5000 if i % 10 == 0 else 20), "a" if i % 3 else "b") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    size = 64 * 200
+    taken = language_ppm.sample_texts(frame, 448, size).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    assert len(taken) == 2 and all(64 <= r["n"] <= 448 and r["bytes"] <= 2 * size for r in taken)
+    trees = language_ppm.count_runs(language_ppm.sample_texts(frame), most=300)
+    assert all(sum(len(runs) for runs, _ in tree) == 300 for tree in trees.values())
+    texts = [x[1].encode() for x in rows[:50]]
+    assert (language_ppm.Tables(trees).costs(texts) > 0).all()
+    only_long = frame.where("doc_id % 10 = 0")
+    assert language_ppm.sample_texts(only_long, 448, size).count() > 0
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 8)]
     frame = spark.createDataFrame([*rows, (90, None, "en"), (91, "123 !?", None), (92, "", "fr"), (None, "the dog", "en")], "doc_id long, text string, lang string")

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.operators.ordering import quantiles
 
 
 def usage(df: DataFrame, project: str) -> DataFrame:
@@ -43,17 +44,20 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def statistics(value: Column | str) -> list[Column]:
-    """Number, least, most, mean, sample deviation, sum and exact quartiles (linear interpolation)."""
-    v = F.col(value) if isinstance(value, str) else value
-    v = v.cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.sum(v), 2).alias("total"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3")]
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def measures_of(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
+    """keep, measure, value: a row for each of the columns."""
+    each = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))
+    return df.select(*(keep or []), F.explode(each).alias("m")).select(*(keep or []), "m.*")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row of statistics for each measure; one pass over the rows."""
-    return df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))).alias("m")).select("m.*").groupBy("measure").agg(*statistics("value"))
+    """For each measure its number, least, most, mean, sample deviation, sum and exact quartiles (linear interpolation)."""
+    long, v = measures_of(df, columns), F.col("value")
+    plain = [F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.sum(v), 2).alias("total")]
+    return long.groupBy("measure").agg(*plain).join(quantiles(long, ["measure"], "value", QUARTILES), "measure", "left")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -77,8 +81,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
     """measure (and group), q1, q3, iqr, low and high: quartiles and 1.5 times their distance beyond them."""
-    long = df.select(*(group or []), F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))).alias("m")).select(*(group or []), "m.*")
-    q = long.groupBy(*(group or []), "measure").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(*(group or []), "measure", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = quantiles(measures_of(df, columns, group), [*(group or []), "measure"], "value", {"q1": 0.25, "q3": 0.75})
     return q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("low", F.col("q1") - 1.5 * F.col("iqr")).withColumn("high", F.col("q3") + 1.5 * F.col("iqr"))
 
 
@@ -91,8 +94,7 @@ def iqr_filter(df: DataFrame, column: str) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """measure, n: values out of bounds."""
     bounds = iqr_bounds(df, columns)
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))).alias("m")).select("m.*")
-    joined = long.join(F.broadcast(bounds), "measure")  # a row for each measure named
+    joined = measures_of(df, columns).join(F.broadcast(bounds), "measure")  # a row for each measure named
     return joined.groupBy("measure").agg(F.count_if(~F.col("value").between(F.col("low"), F.col("high"))).alias("n"))
 
 
@@ -121,9 +123,13 @@ def combo_values(df: DataFrame, project: str, item: str, value: str) -> DataFram
 
 def agg_of_aggs(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """One row: mean and median over the groups of the sum of each group's means, and of its medians."""
-    per = df.groupBy(group).agg(*(F.avg(c).alias(f"avg_{c}") for c in columns), *(F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in columns))
-    total = lambda kind: reduce(lambda a, b: a + b, [F.col(f"{kind}_{c}") for c in columns])
-    return per.select(total("avg").alias("a"), total("med").alias("m")).agg(F.round(F.avg("a"), 6).alias("mean_of_means"), F.round(F.percentile("a", F.lit(0.5)), 6).alias("median_of_means"), F.round(F.avg("m"), 6).alias("mean_of_medians"))
+    means = df.groupBy(group).agg(reduce(lambda a, b: a + b, [F.avg(c) for c in columns]).alias("a"))
+    medians = quantiles(measures_of(df, columns, [group]), [group, "measure"], "value", {"median": 0.5})
+    of = lambda c: F.max(F.when(F.col("measure") == c, F.col("median")))
+    sums = medians.groupBy(group).agg(reduce(lambda a, b: a + b, map(of, columns)).alias("m"))
+    middle = quantiles(means, [], "a", {"median": 0.5}).select(F.round("median", 6).alias("median_of_means"))
+    rows = means.agg(F.round(F.avg("a"), 6).alias("mean_of_means")).crossJoin(middle).crossJoin(sums.agg(F.round(F.avg("m"), 6).alias("mean_of_medians")))  # one row each
+    return rows
 
 
 def pair_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -179,6 +185,11 @@ def top_groups(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.join(F.broadcast(top), key, "left_semi")  # k rows
 
 
+def arg_max(df: DataFrame, label: str, value: str) -> DataFrame:
+    """One row: the label of the greatest value, of equal ones the first by name."""
+    return df.agg(F.min(F.struct((-F.col(value)).alias("less"), F.col(label), F.col(value))).alias("best")).select(f"best.{label}", f"best.{value}")
+
+
 def top_per_group(counts: DataFrame, group: str, value: str, tie: str) -> DataFrame:
     """The row of the largest value in each group: one pass of aggregation, no sort."""
     rest = [c for c in counts.columns if c not in (group, value, tie)]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from techtrail.operators.ordering import number_rows
 
 
 def filter_corpus(df: DataFrame, least: dict[str, float], equals: dict[str, object]) -> DataFrame:
@@ -31,9 +32,8 @@ def matches_any(column: Column, patterns: list[str]) -> Column:
 
 
 def filter_position(df: DataFrame, order: list[str], low: int, high: int) -> DataFrame:
-    """Rows number low to high, from 1, in a total order. The rows before ``high`` are taken first, by sorted heads of partitions, and numbered then."""
-    head = df.orderBy(*order).limit(high)
-    return head.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") >= low).drop("position")
+    """Rows number low to high, from 1, in a total order."""
+    return number_rows(df, order, "position").where(F.col("position").between(low - 1, high - 1)).drop("position")
 
 
 def filter_group_size(df: DataFrame, key: list[str], n: int) -> DataFrame:

@@ -22,5 +22,5 @@ class Strategy:
 
 
 def run_strategies(shared: dict[str, DataFrame], strategies: list[Strategy]) -> dict[str, DataFrame]:
-    """Tables of several strategies over the same inputs; pass persisted inputs, so that each is read once."""
+    """Tables of several strategies over the same inputs; pass written inputs, so that each is made once."""
     return {s.name: s.make(shared) for s in strategies}

@@ -1,4 +1,4 @@
-"""Numbering the rows of a table in order."""
+"""Numbering the rows of a table in order, and exact quantiles, without a task that sees them all."""
 
 from __future__ import annotations
 
@@ -7,17 +7,46 @@ from pyspark.sql import functions as F
 from techtrail.sources.shared import new_path
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """The sorted table with "part of order" and "place in order": written, so that the places are read, not made again. It is written when this is called."""
+    path = new_path(df.sparkSession, "ordered")
+    df.orderBy(*order).withColumn("place in order", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path).withColumn("part of order", F.shiftright("place in order", 33))
+
+
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds name: 0, 1, ... in an order without ties. No task sees more than its share of the rows.
 
-    The sorted table is written with each row's place in its partition, so that the places are read, not made again; the sizes of
-    the partitions, a row for each, give the numbers at which they begin.
+    The sizes of the sorted table's partitions, a row for each, give the numbers at which they begin. The table is sorted and written when this is called.
     """
-    path = new_path(df.sparkSession, "ordered")
-    df.orderBy(*order).withColumn("place in order", F.monotonically_increasing_id()).write.parquet(path)
-    placed = df.sparkSession.read.parquet(path).withColumn("part of order", F.shiftright("place in order", 33))
+    placed = _placed(df, order)
     sizes = placed.groupBy("part of order").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part of order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = F.broadcast(sizes.select("part of order", before.alias("begin")))  # a row for each partition of the sort
     number = F.col("begin") + F.col("place in order").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.join(begins, "part of order").withColumn(name, number).drop("begin", "part of order", "place in order")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and, for each name in shares, the exact quantile of value at that share (linear interpolation); nulls are left out.
+
+    Values are counted, sorted by range and written when this is called; each range adds up its own counts, and the ranges' totals, few, say where it
+    begins. So a group of any size and any number of different values is no single task's work.
+    """
+    group = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("all"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(group.alias("group"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    placed = _placed(counted, ["group", "value"])
+    sizes = placed.groupBy("group", "part of order").agg(F.sum("n").alias("size"))
+    own, earlier = Window.partitionBy("group"), Window.partitionBy("group").orderBy("part of order").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("group", "part of order", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("begin"), F.sum("size").over(own).alias("total"))
+    inside = Window.partitionBy("group", "part of order").orderBy("place in order").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(sizes, ["group", "part of order"]).withColumn("upto", F.col("begin") + F.col("upto"))
+    at = {name: (F.col("total") - 1) * share for name, share in shares.items()}
+    holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
+    ends = [F.max(F.when(holds(of(x)), F.col("value"))).alias(f"{end} {name}") for name, x in at.items() for end, of in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("group").agg(F.max("total").alias("total"), *ends)
+    made = []
+    for name, x in at.items():
+        low, high = F.col(f"low {name}"), F.col(f"high {name}")
+        made.append(F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name))
+    return found.select(*(F.col(f"group.{k}").alias(k) for k in keys), *made)

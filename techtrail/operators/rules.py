@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.sources.shared import written
 
 
 def baskets(df: DataFrame, key: list[str], item: str) -> DataFrame:
@@ -25,16 +26,18 @@ def itemsets(transactions: DataFrame, support: float) -> DataFrame:
 
 
 def rules(transactions: DataFrame, support: float, metric: str = "lift", least: float = 1.0) -> DataFrame:
-    """antecedent (sorted), consequent (one item), freq, supports, confidence and lift, from the frequent itemsets.
+    """antecedent, consequent (both sorted), freq, supports, confidence and lift, from the frequent itemsets.
 
-    Each itemset of two or more items gives a rule for each of its items; supports come from the itemsets themselves, by two joins.
+    Each way to part an itemset of two or more items gives a rule; supports come from the itemsets themselves, by two joins. The itemsets are mined
+    and written when this is called.
     """
     n = transactions.agg(F.count("*").alias("n"))
-    sets = itemsets(transactions, support).persist()
-    split = sets.where(F.size("items") > 1).select("items", "freq", F.explode("items").alias("consequent")).withColumn("antecedent", F.array_remove("items", F.col("consequent")))
+    sets = written(itemsets(transactions, support), "itemsets")
+    sides = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("items")) - 2)
+    split = sets.where(F.size("items") > 1).select("items", "freq", F.explode(sides).alias("side"))
+    split = split.select("freq", F.expr("filter(items, (x, i) -> shiftright(side, i) % 2 = 1)").alias("antecedent"), F.expr("filter(items, (x, i) -> shiftright(side, i) % 2 = 0)").alias("consequent"))
     with_a = split.join(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa")), "antecedent")
-    single = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("consequent"), F.col("freq").alias("fc"))
-    made = with_a.join(single, "consequent").crossJoin(F.broadcast(n))  # n is one row
+    made = with_a.join(sets.select(F.col("items").alias("consequent"), F.col("freq").alias("fc")), "consequent").crossJoin(F.broadcast(n))  # n is one row
     measured = made.select(
         "antecedent",
         "consequent",
@@ -50,7 +53,7 @@ def rules(transactions: DataFrame, support: float, metric: str = "lift", least:
 
 def pair_rules(found: DataFrame) -> DataFrame:
     """Rules of one item on either side: a, c and their measures."""
-    return found.where(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("a"), F.col("consequent").alias("c"), *[x for x in found.columns if x not in ("antecedent", "consequent")])
+    return found.where((F.size("antecedent") == 1) & (F.size("consequent") == 1)).select(F.col("antecedent")[0].alias("a"), F.col("consequent")[0].alias("c"), *[x for x in found.columns if x not in ("antecedent", "consequent")])
 
 
 def about(found: DataFrame, label: str, side: str | None = None, confidence: float = 0.0) -> DataFrame:
@@ -59,9 +62,10 @@ def about(found: DataFrame, label: str, side: str | None = None, confidence: flo
     return found.where(sides[side] & (F.col("confidence") > confidence))
 
 
-def absolute(found: DataFrame, n: int) -> DataFrame:
-    """Supports as numbers of projects."""
-    return found.withColumns({f"{c}_n": F.floor(F.round(F.col(c) * n, 6)).cast("long") for c in ("antecedent_support", "consequent_support", "support")})
+def absolute(found: DataFrame, n: DataFrame) -> DataFrame:
+    """Supports as numbers of projects (n: one row, baskets)."""
+    with_n = found.crossJoin(F.broadcast(n))  # one row
+    return with_n.withColumns({f"{c}_n": F.floor(F.round(F.col(c) * F.col("baskets"), 6)).cast("long") for c in ("antecedent_support", "consequent_support", "support")}).drop("baskets")
 
 
 def dedupe_mirrored(found: DataFrame) -> DataFrame:

@@ -5,13 +5,16 @@ The operators take column names and know nothing of this; only queries do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from techtrail.operators import slices
 
 #: Events in one slice of a user's history.
 SLICE = 5
 
+#: Whole numbers in one block of a list that would have no bound otherwise.
+BLOCK = 1000
+
 #: Label patterns for text lines, in a dialect that Java and RE2 share.
 PATTERNS = [
     ("the", "database", ["\\bthe\\b", "\\bthat\\b"]),
@@ -27,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def block(column: str) -> Column:
+    """The block of a list that a whole number belongs to."""
+    return F.floor(F.col(column) / BLOCK).alias("block")
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, part, label: event types present in each full slice of a user's events."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("label"))
@@ -46,9 +54,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, path."""
+    """project, path. The texts' lengths, which are null where texts are, are read instead of the texts."""
     path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
-    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("project"), path.alias("path"))
+    return table(spark, sf_dir, "documents").where("n_chars is not null").select(F.col("source").alias("project"), path.alias("path"))
 
 
 HISTORY_SQL = f"""

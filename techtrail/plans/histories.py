@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from techtrail.operators import models, patterns, sequences, slices
+from techtrail.operators.aggregates import QUARTILES
+from techtrail.operators.ordering import quantiles
 from techtrail.plans import bindings as b
 from techtrail.plans.book import Book
 
@@ -100,8 +102,8 @@ def parse_commit_date(spark, sf_dir):
 )
 def commit_totals(spark, sf_dir):
     counts = events(spark, sf_dir).where(~F.col("user_id").isin(1, 2, 3)).groupBy("user_id").agg(F.count("*").alias("n"))
-    q = lambda p: F.expr(f"percentile(n, {p})")
-    return counts.agg(F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), F.max("n").alias("most"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    plain = counts.agg(F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("std"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return plain.crossJoin(quantiles(counts, [], "n", QUARTILES))  # one row each
 
 
 @book.query("transitions", f"WITH {b.TRANSITIONS_SQL} SELECT user_id, part, label, n_parts, op FROM tr")

@@ -251,9 +251,9 @@ def top_k(spark, sf_dir):
     return a.top_k(brands(spark, sf_dir), "n", 5, "label")
 
 
-@book.query("arg_max", f"WITH {BRANDS_SQL} SELECT max_by(label, n) AS label, max(n) AS n FROM brands")
+@book.query("arg_max", f"WITH {BRANDS_SQL} SELECT label, n FROM brands ORDER BY n DESC, label LIMIT 1")
 def arg_max(spark, sf_dir):
-    return brands(spark, sf_dir).agg(F.max_by("label", "n").alias("label"), F.max("n").alias("n"))
+    return a.arg_max(brands(spark, sf_dir), "label", "n")
 
 
 @book.query("top_groups_filter", "WITH t AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5) SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM t)")

@@ -7,6 +7,7 @@ from techtrail.functions import scalars as s
 from techtrail.operators import aggregates, reviews, rules, sequences, slices
 from techtrail.plans import bindings as b
 from techtrail.plans.book import Book
+from techtrail.sources.shared import written
 
 book = Book()
 SUPPORT = 0.021
@@ -26,16 +27,29 @@ def pairs(spark, sf_dir, least=0.0):
     return rules.pair_rules(rules.rules(orders_baskets(spark, sf_dir), SUPPORT, "lift", least))
 
 
-@book.query("frequent_itemsets", f"WITH {RULES_SQL} SELECT item AS items, f AS freq FROM one, n WHERE f >= ceil({SUPPORT} * n) UNION ALL SELECT a || ',' || c, freq FROM pairs WHERE a < c")
+#: All itemsets, as bits of the items in their order: each basket is compared with each set.
+SETS_SQL = f"""{BASKETS_SQL}, items AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS place FROM (SELECT DISTINCT item FROM baskets)),
+masks AS (SELECT mask, count(*) AS times FROM (SELECT k, sum(1 << place)::BIGINT AS mask FROM baskets JOIN items USING (item) GROUP BY k) GROUP BY mask),
+bits AS (SELECT unnest(range(1, (1 << (SELECT count(*) FROM items))::BIGINT)) AS bits),
+sets AS (SELECT bits, sum(times)::BIGINT AS freq FROM bits JOIN masks ON mask & bits = bits GROUP BY bits HAVING sum(times) >= (SELECT ceil({SUPPORT} * n) FROM n)),
+named AS (SELECT bits, any_value(freq) AS freq, string_agg(item, ',' ORDER BY item) AS items FROM sets JOIN items ON (bits >> place) & 1 = 1 GROUP BY bits)"""
+
+
+@book.query("frequent_itemsets", f"WITH {SETS_SQL} SELECT items, freq FROM named")
 def frequent_itemsets(spark, sf_dir):
-    found = rules.itemsets(orders_baskets(spark, sf_dir), SUPPORT).where(F.size("items") <= 2)
-    return found.select(F.array_join("items", ",").alias("items"), "freq")
+    return rules.itemsets(orders_baskets(spark, sf_dir), SUPPORT).select(F.array_join("items", ",").alias("items"), "freq")
 
 
-@book.query("association_rules")
+@book.query(
+    "association_rules",
+    f"""WITH {SETS_SQL}, made AS (SELECT a.items AS antecedent, c.items AS consequent, w.freq, a.freq AS fa, c.freq AS fc, n.n
+        FROM named w JOIN named a ON a.bits & w.bits = a.bits AND a.bits <> w.bits JOIN named c ON c.bits = w.bits - a.bits, n)
+    SELECT antecedent, consequent, freq, round(fa / n, 9) AS antecedent_support, round(fc / n, 9) AS consequent_support, round(freq / n, 9) AS support,
+        round(freq / fa, 9) AS confidence, round(freq * n / (fa * fc), 9) AS lift FROM made WHERE freq * n / (fa * fc) >= 0.9""",
+)
 def association_rules(spark, sf_dir):
     found = rules.rules(orders_baskets(spark, sf_dir), SUPPORT, "lift", 0.9)
-    return found.withColumn("antecedent", F.array_join("antecedent", ","))
+    return found.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "freq", *(F.round(x, 9).alias(x) for x in PAIR[3:]))
 
 
 @book.query("pair_rules", f"WITH {RULES_SQL} SELECT a, c, freq, round(antecedent_support, 9) AS antecedent_support, round(consequent_support, 9) AS consequent_support, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM pairs")
@@ -63,7 +77,7 @@ def slice_transactions(spark, sf_dir):
 
 @book.query("absolute_support", f"WITH {RULES_SQL} SELECT a, c, f1.f AS antecedent_support_n, f2.f AS consequent_support_n, freq AS support_n FROM pairs JOIN one f1 ON a = f1.item JOIN one f2 ON c = f2.item")
 def absolute_support(spark, sf_dir):
-    n = orders_baskets(spark, sf_dir).count()
+    n = orders_baskets(spark, sf_dir).agg(F.count("*").alias("baskets"))
     return rules.absolute(pairs(spark, sf_dir), n).select("a", "c", "antecedent_support_n", "consequent_support_n", "support_n")
 
 
@@ -193,17 +207,18 @@ def udtf_commit_lists(spark, sf_dir):
     return texts.select("o_custkey", F.explode(s.split_rows(F.col("ids"), ";")).alias("o_orderkey")).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
 
 
-@book.query("udaf_union", f"WITH {b.HISTORY_SQL} SELECT label, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM hist GROUP BY label")
+@book.query("udaf_union", f"WITH {b.HISTORY_SQL} SELECT label, user_id // {b.BLOCK} AS block, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM hist GROUP BY ALL")
 def udaf_union(spark, sf_dir):
-    sets = b.history(spark, sf_dir).groupBy("label", "part").agg(F.collect_set(F.col("user_id").cast("string")).alias("users"))
-    return sets.groupBy("label").agg(F.array_join(aggregates.set_union(F.col("users")), ",").alias("users"))
+    """Users of each label, in blocks of bounded size."""
+    sets = b.history(spark, sf_dir).groupBy("label", b.block("user_id"), "part").agg(F.collect_set(F.col("user_id").cast("string")).alias("users"))
+    return sets.groupBy("label", "block").agg(F.array_join(aggregates.set_union(F.col("users")), ",").alias("users"))
 
 
-@book.query("strategy_hook")
+@book.query("strategy_hook", f"WITH {b.TRANSITIONS_SQL} SELECT label, count(DISTINCT user_id) AS projects, 'usage' AS strategy FROM hist GROUP BY label UNION ALL SELECT label, count(*), 'changes' FROM tr GROUP BY label")
 def strategy_hook(spark, sf_dir):
     from techtrail.operators.groups import Strategy, run_strategies
 
-    shared = {"hist": b.history(spark, sf_dir).persist()}
+    shared = {"hist": written(b.history(spark, sf_dir), "history")}
     made = run_strategies(shared, [Strategy("usage", lambda ctx: aggregates.usage(ctx["hist"], "user_id")), Strategy("changes", lambda ctx: sequences.transitions(ctx["hist"]).groupBy("label").agg(F.count("*").alias("projects")))])
     return made["usage"].withColumn("strategy", F.lit("usage")).unionByName(made["changes"].withColumn("strategy", F.lit("changes")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes what is at a path, if there is something."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: for what is read more than once, instead of a cache that someone must release."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

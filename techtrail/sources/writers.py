@@ -37,6 +37,6 @@ def relative_metric(df: DataFrame, key: str, part: Column, total: Column, order:
 
 
 def metrics_store(*metrics: DataFrame) -> DataFrame:
-    """key, value, text: of metrics with the same key the last one written."""
-    rows = reduce(lambda a, b: a.unionByName(b), metrics)
-    return rows.groupBy("key").agg(F.max_by(F.struct("value", "text"), "nth").alias("m")).select("key", "m.value", "m.text")
+    """key, value, text: of metrics with the same key the one of the greatest order, and of equal orders the last given."""
+    rows = reduce(lambda a, b: a.unionByName(b), [x.withColumn("given", F.lit(i)) for i, x in enumerate(metrics)])
+    return rows.groupBy("key").agg(F.max_by(F.struct("value", "text"), F.struct("nth", "given")).alias("m")).select("key", "m.value", "m.text")

@@ -30,17 +30,21 @@ def scan(lines: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean:
     return lines.withColumn("hit", F.explode(F.array_compact(found))).select(*lines.columns, "hit.label", "hit.type")
 
 
-def scan_context(hits: DataFrame, lines: DataFrame, k: int = 5) -> DataFrame:
-    """path, label, block, line_no, is_hit, line: k lines on either side of hits; ranges that overlap or touch are one block.
+def scan_context(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], k: int = 5, clean: bool = False) -> DataFrame:
+    """path, label, block, line_no, is_hit, line for files (path, text): k lines on either side of hits; ranges that overlap or touch are one block.
 
-    Each hit names its lines, so files are joined by (path, line_no), not by a range.
+    A file's lines are one array, from which each hit takes its neighbours, so only these are moved.
     """
-    wanted = hits.select("path", "label", F.col("line_no").alias("at"), F.explode(F.sequence(F.col("line_no") - k, F.col("line_no") + k)).alias("line_no"))
-    wanted = wanted.groupBy("path", "label", "line_no").agg(F.bool_or(F.col("at") == F.col("line_no")).alias("is_hit"))
-    joined = wanted.join(lines.select("path", "line_no", "line"), ["path", "line_no"])
+    cut = files.where("text is not null").select("path", F.split("text", "\n").alias("lines"))
+    tested = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(label_regex(label, alternatives, clean)).alias("pattern")) for label, _, alternatives in heuristics))
+    hits = F.filter(F.transform("lines", lambda x, i: F.when(F.regexp_like(x, F.col("t.pattern")), i + 1)), lambda i: i.isNotNull())
+    found = cut.select("path", "lines", F.explode(tested).alias("t")).select("path", "lines", "t.label", hits.alias("hits")).where(F.size("hits") > 0)
+    near = lambda at: F.transform(F.sequence(F.greatest(at - k, F.lit(1)), F.least(at + k, F.size("lines"))), lambda i: F.struct(i.alias("line_no"), (i == at).alias("is_hit"), F.element_at("lines", i).alias("line")))
+    rows = found.select("path", "label", F.explode(F.flatten(F.transform("hits", near))).alias("n")).select("path", "label", "n.*")
+    once = rows.groupBy("path", "label", "line_no").agg(F.bool_or("is_hit").alias("is_hit"), F.any_value("line").alias("line"))
     order = Window.partitionBy("path", "label").orderBy("line_no")
     begins = F.coalesce(F.col("line_no") - F.lag("line_no").over(order) > 1, F.lit(True)).cast("int")
-    return joined.withColumn("begins", begins).withColumn("block", F.sum("begins").over(order)).select("path", "label", "block", "line_no", "is_hit", "line")
+    return once.withColumn("begins", begins).withColumn("block", F.sum("begins").over(order)).select("path", "label", "block", "line_no", "is_hit", "line")
 
 
 def scan_exists(scanned: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
@@ -73,17 +77,23 @@ def code_test(hits: DataFrame, projects: DataFrame, n_labels: int, code: str, te
     return projects.join(counted, project, "left").select(project, *(F.coalesce(k, F.lit(0)).alias(k) for k in ("code", "test", "other")), (n_labels - F.coalesce("labels", F.lit(0))).alias("none"))
 
 
+FAN_IN_KINDS = ("test", "code", "xml", "other")
+
+
 def usage_fan_in(hits: DataFrame, files: DataFrame, code: str, test: str, xml: str, project: str = "project") -> DataFrame:
-    """Files by kind (code, test, xml, other) for labels that are database code and for dependencies; totals and percentages, zeros as nulls."""
-    kinds = ("test", "code", "xml", "other")
-    rows = hits.select(project, "path", "dependency").distinct().withColumn("kind", bucket_of(F.col("path"), code, test, xml))
+    """Files with a match of each label, by kind (code, test, xml, other), for labels that are database code and for dependencies; a file counts for each label.
+
+    total_db is their number, total_project that of all files; the percentages, of all files of the project, leave "other" out. Zeros are nulls.
+    """
+    rows = hits.select(project, "label", "path", "dependency").distinct().withColumn("kind", bucket_of(F.col("path"), code, test, xml))
     sides = (("db", ~F.col("dependency")), ("dep", F.col("dependency")))
-    counted = rows.groupBy(project).agg(*(F.count_if((F.col("kind") == k) & side).alias(f"{name}_{k}") for name, side in sides for k in kinds), F.countDistinct("path").alias("total_db"))
+    counted = rows.groupBy(project).agg(*(F.count_if((F.col("kind") == k) & side).alias(f"{name}_{k}") for name, side in sides for k in FAN_IN_KINDS), F.count("*").alias("total_db"))
     total = files.groupBy(project).agg(F.countDistinct("path").alias("total_project"))
     joined = total.join(counted, project, "left")
-    share = lambda a, b: (F.col(a) * 100 / F.nullif(F.col(b), F.lit(0))).alias(f"pct_{a}")
-    columns = [f"{name}_{k}" for name, _ in sides for k in kinds]
-    return joined.select(project, *(F.nullif(F.col(c), F.lit(0)).alias(c) for c in columns), "total_project", F.nullif(F.col("total_db"), F.lit(0)).alias("total_db"), share("total_db", "total_project"), share("db_code", "total_db"), share("dep_code", "total_db"))
+    columns = [f"{name}_{k}" for name, _ in sides for k in FAN_IN_KINDS] + ["total_db"]
+    known = lambda c: F.nullif(F.col(c), F.lit(0))
+    shares = [(known(c) / F.col("total_project") * 100).alias(f"pct_{c}") for c in columns if not c.endswith("_other")]
+    return joined.select(project, *(known(c).alias(c) for c in columns), known("total_project").alias("total_project"), *shares)
 
 
 def build_file_hits(scanned: DataFrame, hits: DataFrame, name: str, key: list[str]) -> DataFrame:
@@ -95,9 +105,12 @@ def build_file_hits(scanned: DataFrame, hits: DataFrame, name: str, key: list[st
 
 
 def pending(done: DataFrame, heuristics: DataFrame, versions: DataFrame) -> DataFrame:
-    """Pairs of heuristic and version that have no execution yet. All pairs are what the scan has to know: heuristics are a short list."""
-    pairs = versions.crossJoin(F.broadcast(heuristics))
-    return pairs.join(done, [*heuristics.columns, *versions.columns], "left_anti")
+    """Pairs of heuristic and version that have no execution yet: each version takes the heuristics, one row as an array, that are not among its own done ones."""
+    asked = heuristics.select(F.struct(*heuristics.columns).alias("h")).distinct().agg(F.collect_list("h").alias("asked"))  # the pattern files of a scan
+    had = done.groupBy(*versions.columns).agg(F.collect_set(F.struct(*heuristics.columns)).alias("had"))
+    left = versions.join(had, versions.columns, "left").crossJoin(asked)  # one row
+    missing = F.array_except("asked", F.coalesce("had", F.array().cast(left.schema["asked"].dataType)))
+    return left.select(*versions.columns, F.explode(missing).alias("h")).select("h.*", *versions.columns)
 
 
 def invalidate(executions: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -53,6 +53,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select(F.col("source").alias("project"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line")).select("project", "path", (F.col("at") + 1).alias("line_no"), "line")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: documents as files."""
+    path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, path. The texts' lengths, which are null where texts are, are read instead of the texts."""
     path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))

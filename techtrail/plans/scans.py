@@ -51,14 +51,13 @@ def scan_ignore_case(spark, sf_dir):
 
 @book.query(
     "scan_context",
-    f"""WITH {HITS_SQL}, near AS (SELECT l.path, h.label, l.line_no, bool_or(l.line_no = h.line_no) AS is_hit, any_value(md5(l.line)) AS line FROM hits h JOIN lines l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 5 AND h.line_no + 5 WHERE h.label IN ('licence', 'token') GROUP BY ALL),
+    f"""WITH {HITS_SQL}, near AS (SELECT l.path, h.label, l.line_no, bool_or(l.line_no = h.line_no) AS is_hit, any_value(md5(l.line)) AS line
+        FROM hits h JOIN lines l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 5 AND h.line_no + 5 GROUP BY ALL),
     marked AS (SELECT *, CASE WHEN line_no - lag(line_no) OVER (PARTITION BY path, label ORDER BY line_no) = 1 THEN 0 ELSE 1 END AS begins FROM near)
     SELECT path, label, sum(begins) OVER (PARTITION BY path, label ORDER BY line_no)::BIGINT AS block, line_no, is_hit, line FROM marked""",
 )
 def scan_context(spark, sf_dir):
-    some = [x for x in b.PATTERNS if x[0] in ("licence", "token")]
-    lines = b.lines(spark, sf_dir)
-    return scan.scan_context(scan.scan(lines, some), lines).withColumn("line", F.md5("line"))
+    return scan.scan_context(b.texts(spark, sf_dir), b.PATTERNS).withColumn("line", F.md5("line"))
 
 
 @book.query("scan_exists", f"WITH {HITS_SQL}, {LABELS_SQL} SELECT s.project, s.label, CASE WHEN h.label IS NULL THEN 0 ELSE 1 END AS found FROM scanned s LEFT JOIN (SELECT DISTINCT project, label FROM hits) h USING (project, label)")
@@ -85,20 +84,22 @@ def scan_code_test(spark, sf_dir):
     return scan.code_test(hits(spark, sf_dir), b.files(spark, sf_dir).select("project").distinct(), len(b.PATTERNS), CODE, TEST)
 
 
-_SIDES = [(name, k, f"kind = '{k}' AND {'dependency' if name == 'dep' else 'NOT dependency'}") for name in ("db", "dep") for k in ("test", "code", "xml", "other")]
+FAN_IN = [f"{side}_{kind}" for side in ("db", "dep") for kind in ("test", "code", "xml", "other")]
+FAN_IN_RULES = {f"{side}_{kind}": f"kind = '{kind}' AND {'dependency' if side == 'dep' else 'NOT dependency'}" for side in ("db", "dep") for kind in ("test", "code", "xml", "other")}
+#: As the scan's export has it: a file counts once for each label, percentages are of all files of the project, blanks stand for zeros.
+FAN_IN_SQL = f"""WITH {HITS_SQL}, r AS (SELECT DISTINCT project, label, path, type = 'query' AS dependency, {KIND4_SQL} AS kind FROM hits),
+    c AS (SELECT p.project, {", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in FAN_IN_RULES.items())}, count(r.path) AS total_db
+        FROM (SELECT DISTINCT project FROM files) p LEFT JOIN r USING (project) GROUP BY p.project),
+    n AS (SELECT project, count(DISTINCT path) AS total_project FROM files GROUP BY project)
+    SELECT project, {", ".join(f"nullif({x}, 0) AS {x}" for x in [*FAN_IN, "total_db", "total_project"])},
+        {", ".join(f"nullif({x} / total_project * 100, 0) AS pct_{x}" for x in [*FAN_IN, "total_db"] if not x.endswith("_other"))} FROM c JOIN n USING (project)"""
 
 
-@book.query(
-    "usage_fan_in",
-    f"""WITH {HITS_SQL}, r AS (SELECT DISTINCT project, path, type = 'query' AS dependency, {KIND4_SQL} AS kind FROM hits),
-    c AS (SELECT project, {", ".join(f"nullif(count(*) FILTER ({rule}), 0) AS {name}_{k}" for name, k, rule in _SIDES)}, nullif(count(DISTINCT path), 0) AS total_db FROM r GROUP BY project), n AS (SELECT project, count(DISTINCT path) AS total_project FROM files GROUP BY project)
-    SELECT project, {", ".join(f"{name}_{k}" for name, k, _ in _SIDES)}, total_project, total_db, total_db * 100 / total_project AS pct_total_db, db_code * 100 / total_db AS pct_db_code, dep_code * 100 / total_db AS pct_dep_code FROM n LEFT JOIN c USING (project)""",
-)
-def usage_fan_in(spark, sf_dir):
+@book.query("usage_fan_in", FAN_IN_SQL)
+@book.query("scan_code_test_xml", FAN_IN_SQL)
+def scan_code_test_xml(spark, sf_dir):
     found = hits(spark, sf_dir).withColumn("dependency", F.col("type") == "query")
-    made = scan.usage_fan_in(found, b.files(spark, sf_dir), CODE, TEST, XML)
-    zero = lambda c: F.when(F.col(f"{c[4:]}").isNull(), F.lit(None)).otherwise(F.col(c)).alias(c)
-    return made.select(*(zero(c) if c in ("pct_db_code", "pct_dep_code") else c for c in made.columns))
+    return scan.usage_fan_in(found, b.files(spark, sf_dir), CODE, TEST, XML)
 
 
 @book.query(
@@ -182,7 +183,13 @@ def merge_split_executions(spark, sf_dir):
     return scan.merge_parts(parts, ["l_orderkey"])
 
 
-@book.query("extract_presets")
+@book.query(
+    "extract_presets",
+    f"""WITH {LABELS_SQL.split(", scanned AS")[0]}, v AS (SELECT event_id AS version_id, event_id = max(event_id) OVER (PARTITION BY user_id) AS is_last, event_id % 5 = 0 AS sliced FROM events),
+    presets AS (SELECT * FROM (VALUES ('last', 'last', 'database'), ('implementation', 'last', 'implementation'), ('query', 'last', 'query'),
+        ('historical', 'historical', 'database'), ('historical implementation', 'historical', 'implementation')) p(preset, mode, type))
+    SELECT preset, version_id, label FROM v JOIN presets ON (mode = 'last' AND is_last) OR (mode = 'historical' AND sliced) JOIN labels_ USING (type)""",
+)
 def extract_presets(spark, sf_dir):
     events = b.table(spark, sf_dir, "events")
     last = events.groupBy("user_id").agg(F.max("event_id").alias("last"))

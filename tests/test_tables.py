@@ -41,6 +41,18 @@ def test_scan_output(spark):
     assert (counted["code"], counted["test"], counted["other"], counted["none"]) == (1, 1, 0, 2)
 
 
+def test_fan_in_counts_files_for_each_label(spark):
+    hits = [("p", "a", "src/A.java", False), ("p", "b", "src/A.java", False), ("p", "a", "src/A.java", False), ("p", "p.q", "src/test/B.java", True), ("p", "a", "pom.xml", False), ("p", "a", "readme", False)]
+    files = [("p", x) for x in ("src/A.java", "src/test/B.java", "pom.xml", "readme", "other")] + [("empty", "x")]
+    made = scan.usage_fan_in(spark.createDataFrame(hits, "project string, label string, path string, dependency boolean"), spark.createDataFrame(files, "project string, path string"), ".java", "src/test", ".xml")
+    found = {r["project"]: r for r in made.collect()}
+    row = found["p"]
+    assert (row["db_code"], row["db_xml"], row["db_other"], row["dep_test"], row["total_db"], row["total_project"]) == (2, 1, 1, 1, 5, 5)
+    assert (row["pct_db_code"], row["pct_db_xml"], row["pct_dep_test"], row["pct_total_db"]) == (40, 20, 20, 100)
+    assert row["db_test"] is row["pct_db_test"] is row["dep_code"] is None and "pct_db_other" not in made.columns
+    assert found["empty"]["total_db"] is None and found["empty"]["total_project"] == 1
+
+
 def test_pattern_dialect():
     assert scan.translate(r"\mark\b\.x\d") == r"mark\b\.x\d"
     assert scan.translate(" x​\t", clean=True) == "x"
@@ -48,8 +60,9 @@ def test_pattern_dialect():
 
 
 def test_context_blocks(spark):
-    lines = spark.createDataFrame([("p", "f", i, "hit" if i in (3, 6, 20) else "x") for i in range(1, 31)], "project string, path string, line_no int, line string")
-    found = scan.scan_context(scan.scan(lines, [("h", "database", ["hit"])]), lines, 2).orderBy("line_no").collect()
+    text = "\n".join("hit" if i in (3, 6, 20) else "x" for i in range(1, 31))
+    files = spark.createDataFrame([("f", text), ("g", None), ("h", ""), ("i", "none")], "path string, text string")
+    found = scan.scan_context(files, [("h", "database", ["hit"])], 2).orderBy("line_no").collect()
     assert [(r["block"], r["line_no"]) for r in found] == [(1, i) for i in range(1, 9)] + [(2, i) for i in range(18, 23)]
     assert [r["line_no"] for r in found if r["is_hit"]] == [3, 6, 20]
 

@@ -34,11 +34,6 @@ def scanned(spark, sf_dir):
     return b.files(spark, sf_dir).select("project").distinct().crossJoin(F.broadcast(labels(spark).select("label")))  # a short list of labels
 
 
-@book.query("src_files", f"WITH {b.LINES_SQL} SELECT project, path, line_no, md5(line) AS line FROM lines")
-def src_files(spark, sf_dir):
-    return b.lines(spark, sf_dir).select("project", "path", "line_no", F.md5("line").alias("line"))
-
-
 @book.query("scan_hits", f"WITH {HITS_SQL} SELECT project, path, line_no, label, type FROM hits")
 def scan_hits(spark, sf_dir):
     return hits(spark, sf_dir).select("project", "path", "line_no", "label", "type")

@@ -28,18 +28,6 @@ def wide(spark, sf_dir):
     return c.pivot_labels(events, ["user_id"], EVENT_TYPES, F.count(F.lit(1)))
 
 
-@book.query("src_table", "SELECT c_custkey, c_name, nullif(trim(c_mktsegment), '') AS c_mktsegment FROM customer")
-def src_table(spark, sf_dir):
-    return c.blank_to_null(b.table(spark, sf_dir, "customer")).select("c_custkey", "c_name", "c_mktsegment")
-
-
-@book.query("src_jdbc", "SELECT event_id, event_type, c_name FROM events JOIN customer ON user_id = c_custkey WHERE c_nationkey IN (1, 3, 5)")
-def src_jdbc(spark, sf_dir):
-    wanted = spark.createDataFrame([(1,), (3,), (5,)], "c_nationkey int")
-    customers = b.table(spark, sf_dir, "customer").join(F.broadcast(wanted), "c_nationkey", "left_semi")  # a list of the program
-    return b.table(spark, sf_dir, "events").join(customers, F.col("user_id") == F.col("c_custkey")).select("event_id", "event_type", "c_name")
-
-
 @book.query("filter_threshold", f"WITH {META_SQL} SELECT c_custkey, n_orders FROM meta WHERE n_orders >= 10 AND c_acctbal >= 1000 AND c_mktsegment = 'BUILDING'")
 def filter_threshold(spark, sf_dir):
     return c.filter_corpus(meta(spark, sf_dir), {"n_orders": 10, "c_acctbal": 1000}, {"c_mktsegment": "BUILDING"}).select("c_custkey", "n_orders")
@@ -86,7 +74,7 @@ def flag_keywords(spark, sf_dir):
     return c.flag_keywords(b.table(spark, sf_dir, "documents"), ["text", "source"], ["licen[sc]e", "token", "rights"], "flagged").select("doc_id", "flagged")
 
 
-@book.query("flatten_first_leaf")
+@book.query("flatten_first_leaf", "SELECT o_orderkey, o_custkey AS customer, o_totalprice AS price FROM orders")
 def flatten_first_leaf(spark, sf_dir):
     orders = b.table(spark, sf_dir, "orders")
     nested = orders.select("o_orderkey", F.struct(F.struct(F.col("o_custkey").alias("totalCount")).alias("nodes"), "o_orderstatus").alias("customer"), F.struct(F.col("o_totalprice").alias("total")).alias("price"))
@@ -169,11 +157,14 @@ def unpivot_labels(spark, sf_dir):
     return c.unpivot_labels(wide(spark, sf_dir), ["user_id"], EVENT_TYPES)
 
 
-@book.query("transpose", "SELECT event_type AS label, " + ", ".join(f"max(n) FILTER (day = {d}) AS d{d}" for d in range(1, 6)) + " FROM (SELECT event_type, day(ts) AS day, count(*) AS n FROM events WHERE day(ts) <= 5 GROUP BY ALL) GROUP BY event_type")
+DAYS = range(1, 32)
+
+
+@book.query("transpose", "SELECT event_type AS label, " + ", ".join(f"max(n) FILTER (day = {d}) AS d{d}" for d in DAYS) + " FROM (SELECT event_type, day(ts) AS day, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
 def transpose(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "events").where(F.day("ts") <= 5).select(F.concat(F.lit("d"), F.day("ts").cast("string")).alias("day"), F.col("event_type").alias("label"))
-    by_day = c.pivot_labels(rows, ["day"], EVENT_TYPES, F.count(F.lit(1)), None)
-    return c.transpose(by_day.withColumns({x: F.col(x) for x in EVENT_TYPES}), "day", EVENT_TYPES, [f"d{d}" for d in range(1, 6)])
+    """Days of the month become columns."""
+    rows = b.table(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.day("ts").cast("string")).alias("day"), F.col("event_type").alias("label"))
+    return c.transpose(c.pivot_labels(rows, ["day"], EVENT_TYPES, F.count(F.lit(1)), None), "day", EVENT_TYPES, [f"d{d}" for d in DAYS])
 
 
 @book.query("derive_path_parts", "SELECT page_id, nullif(split_part(url, '/', 4), '') AS project, nullif(regexp_extract(url, '\\.([^./]+)$', 1), '') AS extension, contains(url, 'src/test') AS is_test FROM pages")
@@ -182,10 +173,11 @@ def derive_path_parts(spark, sf_dir):
     return b.table(spark, sf_dir, "pages").select("page_id", F.nullif(parts["project"], F.lit("")).alias("project"), parts["extension"].alias("extension"), parts["is_test"].alias("is_test"))
 
 
-@book.query("needs_refresh", f"WITH {META_SQL} SELECT c_mktsegment || '/' || c_name AS repository FROM meta WHERE total IS NULL AND CASE WHEN c_acctbal < 0 THEN 'debt' END IS NULL")
+@book.query("needs_refresh", f"WITH {META_SQL} SELECT c_mktsegment || '/' || c_name AS repository FROM meta WHERE n_orders < 8 AND c_acctbal >= 0")
 def needs_refresh(spark, sf_dir):
-    rows = meta(spark, sf_dir).withColumn("reason", F.when(F.col("c_acctbal") < 0, "debt"))
-    return c.needs_refresh(rows, "reason", "total", "c_mktsegment", "c_name")
+    """A measure is not known yet where there are few orders; those in debt are discarded."""
+    rows = meta(spark, sf_dir).withColumn("reason", F.when(F.col("c_acctbal") < 0, "debt")).withColumn("measured", F.when(F.col("n_orders") >= 8, F.col("total")))
+    return c.needs_refresh(rows, "reason", "measured", "c_mktsegment", "c_name")
 
 
 @book.query("bibtex_format", "SELECT '@article{' || doc_id || ',' || chr(10) || '  author = {' || source || '},' || chr(10) || '  title = {' || regexp_replace(split_part(text, chr(10), 1), '\\.$', '') || '},' || chr(10) || '  year = {' || (2000 + doc_id % 20) || '},' || chr(10) || '  url = {' || lang || '}' || chr(10) || '}' AS entry FROM documents WHERE text IS NOT NULL")
@@ -299,17 +291,17 @@ def upsert_by_key(spark, sf_dir):
     return j.upsert(orders.where("o_orderkey % 3 = 0").withColumn("origin", F.lit("stored")), orders.where("o_orderkey % 2 = 0").withColumn("origin", F.lit("new")), ["o_orderkey"])
 
 
-MERGE_SQL = """a AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey <= 900), z AS (SELECT p_partkey + 5 AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0),
-m AS (SELECT z.id AS old_id, a.id AS a_id, z.name FROM z LEFT JOIN a USING (name)), fresh AS (SELECT old_id, name, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY old_id) AS new_id FROM m WHERE a_id IS NULL)"""
+MERGE_SQL = """named AS (SELECT p_name, min(p_partkey) AS p_partkey, max(p_size) AS size FROM part GROUP BY p_name),
+a AS (SELECT p_partkey AS id, p_name AS name FROM named WHERE size <= 30), z AS (SELECT p_partkey + 5 AS id, p_name AS name FROM named WHERE size >= 20),
+m AS (SELECT z.id AS old_id, a.id AS a_id, z.name FROM z LEFT JOIN a USING (name)),
+fresh AS (SELECT old_id, name, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY old_id) AS new_id FROM m WHERE a_id IS NULL)"""
 
 
 def _stores(spark, sf_dir):
-    named = b.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    a = named.where("p_partkey % 3 <> 0 and p_partkey <= 900").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return j.merge_stores(a, named.where("p_partkey % 2 = 0").select((F.col("p_partkey") + 5).alias("id"), F.col("p_name").alias("name")), ["name"])
-
-
-MERGE_SQL = "part AS (SELECT p_name, min(p_partkey) AS p_partkey FROM main.part GROUP BY p_name), " + MERGE_SQL
+    """Parts of smaller sizes in one store, of larger ones in another, those between in both, under other ids."""
+    named = b.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_size").alias("size"))
+    store = lambda rule, shift: named.where(rule).select((F.col("p_partkey") + shift).alias("id"), F.col("p_name").alias("name"))
+    return j.merge_stores(store("size <= 30", 0), store("size >= 20", 5), ["name"])
 
 
 @book.query("merge_databases", f"WITH {MERGE_SQL} SELECT id, name FROM a UNION ALL SELECT new_id, name FROM fresh")

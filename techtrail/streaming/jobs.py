@@ -1,7 +1,7 @@
 """Continuous forms of the review feed, the scan and the transitions.
 
-Each job keeps a table of versions in a folder: the version of a batch is made from the one before and the batch's rows, under the
-batch's number. A batch that is run again writes the same version again, so results are exact after a failure.
+Each job keeps a table of versions in a folder: a batch writes what it adds, and no more, under its own number, having read the versions before it. So the work
+of a batch grows with the batch, nothing is rewritten, and a batch that is run again after a failure writes the same version again.
 """
 
 from __future__ import annotations
@@ -18,18 +18,20 @@ def _version(path: str, number: int) -> str:
     return f"{path}/version={number:08d}"
 
 
-def read_version(spark: SparkSession, path: str, number: int, schema) -> DataFrame:
-    """The table after a batch; before the first one it is empty."""
-    if number < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(path, number))
+def read_versions(spark: SparkSession, path: str, last: int, schema) -> DataFrame:
+    """What batches up to the last one added; before the first one nothing."""
+    empty = spark.createDataFrame([], schema)
+    if last < 0:
+        return empty
+    with_version = empty.withColumn("version", F.lit(0)).schema
+    return spark.read.schema(with_version).parquet(path).where(F.col("version") <= last).drop("version")
 
 
 def versions(path: str, schema, step: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch: step(table so far, batch) is the table after the batch."""
+    """A sink for foreachBatch: step(what was added before, batch) is what the batch adds."""
 
     def write(batch: DataFrame, number: int) -> None:
-        before = read_version(batch.sparkSession, path, number - 1, schema)
+        before = read_versions(batch.sparkSession, path, number - 1, schema)
         step(before, batch).write.mode("overwrite").parquet(_version(path, number))
 
     return write
@@ -49,43 +51,60 @@ def last_number(query: StreamingQuery) -> int:
 
 
 def stream_verdicts(stream: DataFrame, path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """The latest verdict of each key, kept up by upserts."""
-    return versions(path, stream.schema, lambda table, batch: reviews.latest_verdicts(table.unionByName(batch), keys, order).select(*stream.columns))
+    """The latest verdict of each key in a batch; latest_of makes the table of them."""
+    return versions(path, stream.schema, lambda _, batch: reviews.latest_verdicts(batch, keys, order).select(*stream.columns))
 
 
-def stream_scan(path: str, heuristics: list, schema) -> Callable[[DataFrame, int], None]:
-    """Hits of new lines; a label is scanned once in each file, so a file that comes again adds nothing."""
+def latest_of(spark: SparkSession, path: str, last: int, schema, keys: list[str], order: list[str]) -> DataFrame:
+    """The latest verdict of each key after a batch."""
+    added = read_versions(spark, path, last, schema)
+    return reviews.latest_verdicts(added, keys, order).select(*added.columns)
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hits = scan.scan(batch, heuristics).select("project", "path", "line_no", "label").distinct()
-        done = [read_version(spark, path, k, schema) for k in range(number)]
-        for table in done[-1:]:
-            hits = hits.join(table.select("path", "label").distinct(), ["path", "label"], "left_anti").select("project", "path", "line_no", "label").unionByName(table)
-        hits.write.mode("overwrite").parquet(_version(path, number))
 
-    return write
+SCANNED = "project string, path string, line_no int, label string"
+
+
+def stream_scan(path: str, heuristics: list) -> Callable[[DataFrame, int], None]:
+    """Scans lines (project, path, line_no, line) as they arrive, each once for each label, in whatever batches a file's lines come.
+
+    A row of SCANNED without a label says that a line was scanned; it stands there with or without hits, so a line that comes again is not scanned again.
+    """
+
+    def step(before: DataFrame, batch: DataFrame) -> DataFrame:
+        known = before.where("label is null").select("path", "line_no")
+        fresh = batch.dropDuplicates(["path", "line_no"]).join(known, ["path", "line_no"], "left_anti")
+        found = F.array(*(F.when(F.col("line").rlike(scan.label_regex(label, alternatives)), F.lit(label)) for label, _, alternatives in heuristics))
+        labels = F.concat(F.array(F.lit(None).cast("string")), F.array_compact(found))
+        return fresh.select("project", "path", "line_no", F.explode(labels).alias("label"))
+
+    return versions(path, SCANNED, step)
+
+
+def hits_of(spark: SparkSession, path: str, last: int) -> DataFrame:
+    """project, path, line_no, label of the hits after a batch."""
+    return read_versions(spark, path, last, SCANNED).where("label is not null")
 
 
 STATE = "project long, part long, label string"
 
 
 def stream_transitions(path: str, changes: str) -> Callable[[DataFrame, int], None]:
-    """Transitions as slices arrive (project, part, label). The last slice of each project is kept; slices up to it are late and dropped.
+    """Transitions as slices arrive (project, part, label). The last slice of each project in a batch is kept; slices up to the last known one are late and dropped.
 
-    A slice must come whole in one batch. Transitions of each batch are written to a table of their own.
+    A slice must come whole in one batch. Transitions of each batch are written to a table of their own. Of the last slices only those of the batch's projects are looked at.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = read_version(spark, path, number - 1, STATE)
-        known = last.groupBy("project").agg(F.max("part").alias("known"))
+        kept = read_versions(spark, path, number - 1, STATE).join(batch.select("project").distinct(), "project", "left_semi")
+        known = kept.groupBy("project").agg(F.max("part").alias("known"))
+        last = kept.join(known, "project").where("part = known").select("project", "part", "label")
         fresh = batch.join(known, "project", "left").where("known is null or part > known").select("project", "part", "label")
         rows = last.unionByName(fresh)
         trans = sequences.transitions(rows, "project").join(known, "project", "left").where("known is null or part > known")
         trans.select("project", "part", "label", "op").write.mode("overwrite").parquet(_version(changes, number))
-        newest = rows.groupBy("project").agg(F.max("part").alias("part"))
-        rows.join(newest, ["project", "part"], "left_semi").select("project", "part", "label").write.mode("overwrite").parquet(_version(path, number))
+        newest = fresh.groupBy("project").agg(F.max("part").alias("part"))
+        fresh.join(newest, ["project", "part"], "left_semi").select("project", "part", "label").write.mode("overwrite").parquet(_version(path, number))
 
     return write
 

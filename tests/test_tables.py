@@ -93,6 +93,28 @@ def test_advisories(spark, tmp_path):
     assert (row["id"], row["aliases"], row["severity"], str(row["published"])) == ("G-1", ["CVE-1"], "LOW", "2024-01-02 03:04:05")
 
 
+def test_bibliography(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        "<dblp><article key='conf/icse/sub/Bar00'><author>A <i>B</i> C</author><author>D &amp; E</author><title>Abc<i>def</i>ghd.</title><year>2000</year><ee>http://e</ee><url>db/u</url></article>"
+        "<inproceedings key='conf/msr/X1'><title>No authors</title><year>2001</year><crossref>conf/msr/2001</crossref></inproceedings><article key='journals/other/Y'><title>Z</title><year>1</year></article></dblp>"
+    )
+    venues = spark.createDataFrame([("conf/icse", "Software Engineering"), ("conf/msr", "Mining")], "venue_key string, venue string")
+    found = {r["key"]: r for r in readers.read_bib(spark, f"file://{tmp_path}", venues).collect()}
+    assert set(found) == {"conf/icse/sub/Bar00", "conf/msr/X1"}
+    paper = found["conf/icse/sub/Bar00"]
+    assert (paper["title"], paper["authors"], paper["url"], paper["venue"]) == ("Abcdefghd", "A B C and D & E", "db/u", "Software Engineering")
+    assert paper["record"] == "@article{b:2000,\njournal = {Software Engineering}, \nauthor = {A B C and D & E}, \ntitle = {{Abcdefghd}}, \nyear = {2000} \n}"
+    assert (found["conf/msr/X1"]["crossref"], found["conf/msr/X1"]["authors"]) == ("conf/msr/2001", "") and "booktitle = {Mining}" in found["conf/msr/X1"]["record"]
+    assert readers.read_bib(spark, f"file://{tmp_path}", venues.where("false")).count() == 0
+
+
+def test_stores(spark):
+    url = "jdbc:derby:memory:stores;create=true"
+    spark.createDataFrame([(1, 5), (2, 6)], "k int, v int").write.format("jdbc").option("url", url).option("dbtable", "t").mode("overwrite").save()
+    stored = readers.read_store(spark, url, "t").where("v > 5").select("k")
+    assert [r["k"] for r in stored.collect()] == [2] and "PushedFilters: [*IsNotNull(v), *GreaterThan(v,5)]" in stored._jdf.queryExecution().toString()
+
+
 def test_mined_patterns(spark):
     row = readers.parse_patterns(spark.createDataFrame([("A | B C | #SUP: 2 #SID: 0 5",), ("A | #SUP: 7",)], "value string")).collect()
     assert (row[0]["itemsets"], row[0]["support"], row[0]["lines"]) == ([["A"], ["B", "C"]], 2, [0, 5])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def prefixspan(sequences: DataFrame, min_support: float, max_length: int) -> DataFrame:
-    """sequence (array of sorted itemsets), freq."""
+    """sequence (array of sorted itemsets), freq. Mined when this is called."""
     found = PrefixSpan(minSupport=min_support, maxPatternLength=max_length, sequenceCol="sequence").findFrequentSequentialPatterns(sequences.select("sequence"))
     return found.select(F.transform("sequence", lambda s: F.sort_array(s)).alias("sequence"), "freq")
 
@@ -24,15 +24,23 @@ def contains_pattern(sequence: Column, pattern: Column) -> Column:
     return F.aggregate(sequence, F.lit(0), step) == F.size(pattern)
 
 
+#: Patterns in one array, and parts that the sequences of one item are dealt to.
+PATTERN_BLOCK, PATTERN_SALT = 256, 64
+
+
 def pattern_sids(patterns: DataFrame, sequences: DataFrame, project: str) -> DataFrame:
-    """pattern (text), freq, lines: for each pattern the projects, sorted, whose sequence contains it.
+    """pattern (text), freq, project: a row for each pattern and project whose sequence contains it.
 
-    Patterns and sequences first meet by the pattern's first item, so that a sequence is tested only against patterns that can be its own.
+    Patterns that begin with the same item stand in arrays of about PATTERN_BLOCK; a sequence meets those of its items, and is tested against a whole array at
+    once. Items are few, so the sequences of each are dealt to PATTERN_SALT parts, and the arrays, which are small, to all of these. Patterns are counted when this is called.
     """
-    named = patterns.select(pattern_text(F.col("sequence")).alias("pattern"), F.col("sequence").alias("itemsets"), "freq", F.col("sequence")[0][0].alias("item"))
-    items = sequences.select(project, "sequence", F.explode(F.array_distinct(F.flatten("sequence"))).alias("item"))
-    met = items.join(named, "item").where(contains_pattern(F.col("sequence"), F.col("itemsets")))
-    return met.groupBy("pattern", "freq").agg(F.sort_array(F.collect_set(project)).alias("lines"))
+    blocks = patterns.count() // PATTERN_BLOCK + 1
+    named = patterns.select(F.col("sequence")[0][0].alias("item"), F.struct(pattern_text(F.col("sequence")).alias("pattern"), F.col("sequence").alias("itemsets"), "freq").alias("p"))
+    arrays = named.groupBy("item", F.pmod(F.xxhash64("p.pattern"), F.lit(blocks)).alias("block")).agg(F.collect_list("p").alias("patterns"))
+    dealt = arrays.select("item", "patterns", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATTERN_SALT - 1).cast("long"))).alias("salt"))
+    items = sequences.select(project, "sequence", F.pmod(F.xxhash64(project), F.lit(PATTERN_SALT)).alias("salt"), F.explode(F.array_distinct(F.flatten("sequence"))).alias("item"))
+    own = F.filter("patterns", lambda p: contains_pattern(F.col("sequence"), p["itemsets"]))
+    return items.join(dealt, ["item", "salt"]).select(project, F.explode(own).alias("p")).select("p.pattern", "p.freq", project)
 
 
 def life(trans: DataFrame, project: str = "user_id") -> DataFrame:

@@ -8,6 +8,7 @@ from techtrail.operators.aggregates import QUARTILES
 from techtrail.operators.ordering import quantiles
 from techtrail.plans import bindings as b
 from techtrail.plans.book import Book
+from techtrail.sources.shared import written
 
 book = Book()
 EVENTS = ["ts", "event_id"]
@@ -67,12 +68,12 @@ def renumber_parts(spark, sf_dir):
 
 @book.query(
     "select_versions",
-    f"WITH {NUMBERED_SQL}, v AS (SELECT user_id, event_id, CASE WHEN place % 5 = 0 THEN place // 5 END AS part, place = total AS is_last FROM numbered) SELECT 'last' AS mode, user_id, event_id FROM v WHERE is_last UNION ALL SELECT 'historical', user_id, event_id FROM v WHERE part IS NOT NULL",
+    f"WITH {NUMBERED_SQL}, v AS (SELECT user_id, event_id, CASE WHEN place % 5 = 0 THEN place // 5 END AS part, place = total AS is_last FROM numbered) SELECT 'last' AS mode, user_id, event_id FROM v WHERE is_last UNION ALL SELECT 'historical', user_id, event_id FROM v WHERE part IS NOT NULL UNION ALL SELECT 'all', user_id, event_id FROM v",
 )
 def select_versions(spark, sf_dir):
     versions = mark_last(spark, sf_dir).join(slice_every_n(spark, sf_dir), ["user_id", "event_id"], "left")
     pick = lambda mode: slices.select_versions(versions, mode).select(F.lit(mode).alias("mode"), "user_id", "event_id")
-    return pick("last").unionByName(pick("historical"))
+    return pick("last").unionByName(pick("historical")).unionByName(pick("all"))
 
 
 @book.query("too_few_slices", f"WITH {NUMBERED_SQL}, p AS (SELECT user_id, place // 5 AS part FROM numbered WHERE place % 5 = 0) SELECT user_id, count(*) AS n_slices, string_agg(part::VARCHAR, ',' ORDER BY part) AS parts FROM p GROUP BY user_id HAVING count(*) < 12")
@@ -163,10 +164,11 @@ def cases(spark, sf_dir):
     return patterns.substitution_cases(trans(spark, sf_dir))
 
 
-@book.query("decode_sids", f"WITH {CASES_SQL} SELECT pattern || ':' || x || ':' || y AS pattern, string_agg(user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS projects FROM cases GROUP BY ALL")
+@book.query("decode_sids", f"WITH {CASES_SQL} SELECT pattern || ':' || x || ':' || y || '#' || user_id // {b.BLOCK} AS pattern, string_agg(user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS projects FROM cases GROUP BY ALL")
 def decode_sids(spark, sf_dir):
     index = sequence_project_index(spark, sf_dir)
-    rows = cases(spark, sf_dir).join(index, "user_id").groupBy(F.concat_ws(":", "pattern", "x", "y").alias("pattern")).agg(F.collect_set("line").alias("lines"))
+    name = F.concat_ws("#", F.concat_ws(":", "pattern", "x", "y"), b.block("user_id").cast("string"))  # lists of bounded size
+    rows = cases(spark, sf_dir).join(index, "user_id").groupBy(name.alias("pattern")).agg(F.collect_set("line").alias("lines"))
     return sequences.decode_lines(rows, index, "user_id")
 
 
@@ -182,7 +184,17 @@ def prefixspan(spark, sf_dir):
     return found.select(patterns.pattern_text(F.col("sequence")).alias("pattern"), "freq")
 
 
-@book.query("prefixspan_sids")
+@book.query(
+    "prefixspan_sids",
+    f"""WITH {b.HISTORY_SQL}, sets AS (SELECT user_id, part, label AS items, 1 AS n FROM hist
+        UNION ALL SELECT p.user_id, p.part, p.label || ' ' || q.label, 2 FROM hist p JOIN hist q USING (user_id, part) WHERE p.label < q.label
+        UNION ALL SELECT p.user_id, p.part, p.label || ' ' || q.label || ' ' || r.label, 3 FROM hist p JOIN hist q USING (user_id, part) JOIN hist r USING (user_id, part) WHERE p.label < q.label AND q.label < r.label),
+    one AS (SELECT user_id, items AS pattern, n, min(part) AS part FROM sets GROUP BY ALL),
+    two AS (SELECT l.user_id, l.pattern || '|' || e.items AS pattern, l.n + e.n AS n, min(e.part) AS part FROM one l JOIN sets e ON l.user_id = e.user_id AND e.part > l.part AND l.n + e.n <= 3 GROUP BY ALL),
+    three AS (SELECT l.user_id, l.pattern || '|' || e.items AS pattern, l.n + e.n AS n, min(e.part) AS part FROM two l JOIN sets e ON l.user_id = e.user_id AND e.part > l.part AND l.n + e.n <= 3 GROUP BY ALL),
+    found AS (SELECT user_id, pattern FROM one UNION ALL SELECT user_id, pattern FROM two UNION ALL SELECT user_id, pattern FROM three)
+    SELECT pattern, count(*) OVER (PARTITION BY pattern) AS freq, user_id FROM found QUALIFY freq >= ceil(0.5 * (SELECT count(DISTINCT user_id) FROM hist))""",
+)
 def prefixspan_sids(spark, sf_dir):
     of = sequences.named_sequences(b.history(spark, sf_dir))
     return patterns.pattern_sids(patterns.prefixspan(of, 0.5, 3), of, "user_id")
@@ -264,10 +276,24 @@ def substitution_by_model(spark, sf_dir):
     return patterns.by_model(cases(spark, sf_dir), typed)
 
 
-@book.query("only_same_model_projects", f"WITH {TYPED_SQL} SELECT user_id, bool_or({NON}) AS non_relational FROM typed GROUP BY user_id HAVING NOT bool_or((mx = 'Relational') <> (my = 'Relational'))")
+#: Histories with few replacements each: customers' orders by priority, three to a slice.
+PRIORITY_SQL = """ev AS (SELECT o_custkey AS user_id, o_orderpriority AS label, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 3 + 1 AS part, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+hist AS (SELECT DISTINCT user_id, part, label FROM ev WHERE part <= n // 3), sizes AS (SELECT user_id, max(part) AS n_parts FROM hist GROUP BY user_id)"""
+PRIORITY_MODELS = [("1-URGENT", "Relational"), ("2-HIGH", "Relational"), ("3-MEDIUM", "Relational"), ("4-NOT SPECIFIED", "Document")]
+
+
+@book.query(
+    "only_same_model_projects",
+    f"""WITH {CASES_SQL.replace(b.HISTORY_SQL, PRIORITY_SQL)}, models AS (SELECT * FROM (VALUES {", ".join(f"('{x}', '{y}')" for x, y in PRIORITY_MODELS)}) m(label, model)),
+    typed_labels AS (SELECT DISTINCT h.label, coalesce(m.model, 'Multi Model') AS model FROM hist h LEFT JOIN models m USING (label)),
+    typed AS (SELECT c.*, a.model AS mx, d.model AS my FROM cases c JOIN typed_labels a ON c.x = a.label JOIN typed_labels d ON c.y = d.label)
+    SELECT user_id, bool_or({NON}) AS non_relational FROM typed GROUP BY user_id HAVING NOT bool_or((mx = 'Relational') <> (my = 'Relational'))""",
+)
 def only_same_model_projects(spark, sf_dir):
-    typed = models.attach_model(b.history(spark, sf_dir).select("label").distinct(), catalogue(spark))
-    return patterns.only_same_model(cases(spark, sf_dir), typed)
+    orders = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey", F.col("o_orderpriority").alias("label"))
+    hist = slices.presence(orders, "user_id", ["o_orderdate", "o_orderkey"], "label", 3)
+    typed = models.attach_model(hist.select("label").distinct(), spark.createDataFrame(PRIORITY_MODELS, "label string, model string"))
+    return patterns.only_same_model(patterns.substitution_cases(sequences.transitions(hist)), typed)
 
 
 @book.query("patterns_in_project", f"WITH {CASES_SQL} SELECT pattern, x, y FROM cases WHERE x = 'click' AND user_id = 7")
@@ -283,43 +309,72 @@ def drop_meta_rules(spark, sf_dir):
     return found.unionByName(meta).where("not (x = 'X' and y = 'Y')")
 
 
-@book.query("parse_bindings", f"WITH {CASES_SQL} SELECT pattern, x, y, count(*) AS n_lines, min(user_id) AS first_line, max(user_id) AS last_line FROM cases GROUP BY ALL")
+@book.query("parse_bindings", f"WITH {CASES_SQL} SELECT pattern, x, y, count(*) AS n_lines, min(user_id) AS first_line, max(user_id) AS last_line FROM cases GROUP BY pattern, x, y, user_id // {b.BLOCK}")
 def parse_bindings(spark, sf_dir):
     ids = F.transform(F.sort_array(F.collect_list("user_id")), lambda i: i.cast("string"))
-    texts = cases(spark, sf_dir).groupBy("pattern", F.concat(F.lit("X = "), "x", F.lit("; Y = "), "y").alias("bindings")).agg(F.array_join(ids, "; ").alias("lines_text"))
+    texts = cases(spark, sf_dir).groupBy("pattern", b.block("user_id"), F.concat(F.lit("X = "), "x", F.lit("; Y = "), "y").alias("bindings")).agg(F.array_join(ids, "; ").alias("lines_text"))
     return patterns.parse_bindings(texts).select("pattern", "x", "y", F.size("lines").cast("long").alias("n_lines"), F.array_min("lines").alias("first_line"), F.array_max("lines").alias("last_line"))
 
 
 def mined(spark, sf_dir, support=0.2):
-    return patterns.prefixspan(sequences.tagged_sequences(trans(spark, sf_dir)), support, 4)
-
-
-@book.query("select_shapes")
+    return written(patterns.prefixspan(sequences.tagged_sequences(trans(spark, sf_dir)), support, 4), "patterns")
+
+
+#: Patterns of four items that show x giving way to y, found by joins instead of by mining, and what their parts are supported by.
+SHAPES_SQL = f"""{b.TRANSITIONS_SQL}, pres AS (SELECT user_id, part, label FROM tr WHERE op <> 'OUT'), came AS (SELECT user_id, label, min(part) AS part FROM pres GROUP BY ALL),
+ins AS (SELECT user_id, part, label FROM tr WHERE op = 'IN'), outs AS (SELECT user_id, part, label FROM tr WHERE op = 'OUT'), total AS (SELECT count(DISTINCT user_id) AS n FROM hist),
+whole AS (SELECT DISTINCT 'S1' AS shape, o.user_id, o.label AS x, i.label AS y FROM outs o JOIN ins i ON i.user_id = o.user_id AND i.part = o.part AND i.label <> o.label
+        JOIN pres p ON p.user_id = o.user_id AND p.label = i.label AND p.part > o.part
+    UNION ALL SELECT DISTINCT 'S2', o.user_id, o.label, i.label FROM ins i JOIN outs o ON o.user_id = i.user_id AND o.part > i.part AND o.label <> i.label
+        JOIN pres p ON p.user_id = o.user_id AND p.part = o.part AND p.label = i.label JOIN came f ON f.user_id = o.user_id AND f.label = o.label AND f.part < i.part),
+shaped AS (SELECT shape, x, y, count(*) AS freq FROM whole GROUP BY ALL HAVING count(*) >= (SELECT ceil(0.2 * n) FROM total)),
+cut AS (SELECT *, x AS a, x || '|IN' || y AS ab, 'IN' || y AS b, 'OUT' || x AS c, y AS d, CASE shape WHEN 'S1' THEN ' ' ELSE '|' END AS u, CASE shape WHEN 'S1' THEN '|' ELSE ' ' END AS v FROM shaped),
+parts AS (SELECT x || '|' || b || u || c || v || y AS pattern, shape, x, y, freq, a, ab, ab || u || c AS abc, b, b || u || c AS bc, b || u || c || v || y AS bcd, c, c || v || y AS cd, d FROM cut),
+users AS (SELECT label AS item, user_id FROM pres UNION SELECT 'IN' || label, user_id FROM ins UNION SELECT 'OUT' || label, user_id FROM outs), single AS (SELECT item, count(*) AS s FROM users GROUP BY item),
+pair_ab AS (SELECT f.label || '|IN' || i.label AS part, count(DISTINCT f.user_id) AS s FROM came f JOIN ins i ON i.user_id = f.user_id AND i.part > f.part GROUP BY ALL),
+pair_bc AS (SELECT 'IN' || i.label || CASE WHEN o.part = i.part THEN ' ' ELSE '|' END || 'OUT' || o.label AS part, count(DISTINCT i.user_id) AS s FROM ins i JOIN outs o ON o.user_id = i.user_id AND o.part >= i.part GROUP BY ALL),
+trio_abc AS (SELECT o.label || '|IN' || i.label || CASE WHEN o.part = i.part THEN ' ' ELSE '|' END || 'OUT' || o.label AS part, count(DISTINCT i.user_id) AS s
+    FROM ins i JOIN outs o ON o.user_id = i.user_id AND o.part >= i.part JOIN came f ON f.user_id = o.user_id AND f.label = o.label AND f.part < i.part GROUP BY ALL),
+trio_bcd AS (SELECT 'IN' || i.label || ' OUT' || o.label || '|' || i.label AS part, count(DISTINCT i.user_id) AS s FROM ins i JOIN outs o ON o.user_id = i.user_id AND o.part = i.part JOIN pres p ON p.user_id = i.user_id AND p.label = i.label AND p.part > i.part GROUP BY ALL
+    UNION ALL SELECT 'IN' || i.label || '|OUT' || o.label || ' ' || i.label, count(DISTINCT i.user_id) FROM ins i JOIN outs o ON o.user_id = i.user_id AND o.part > i.part JOIN pres p ON p.user_id = o.user_id AND p.part = o.part AND p.label = i.label GROUP BY ALL),
+measured AS (SELECT p.pattern, shape, x, y, freq, k_bc.s AS s_bc, freq / k_a.s AS conf_a, freq / k_b.s AS conf_b, freq / k_c.s AS conf_c, freq / k_d.s AS conf_d,
+        n * (k_ab.s / (k_a.s * k_b.s)) AS lift_b, n * (k_abc.s / (k_a.s * k_bc.s)) AS lift_bc, n * (freq / (k_a.s * k_bcd.s)) AS lift_bcd
+    FROM parts p JOIN single k_a ON a = k_a.item JOIN single k_b ON b = k_b.item JOIN single k_c ON c = k_c.item JOIN single k_d ON d = k_d.item
+    JOIN pair_ab k_ab ON ab = k_ab.part JOIN pair_bc k_bc ON bc = k_bc.part JOIN trio_abc k_abc ON abc = k_abc.part JOIN trio_bcd k_bcd ON bcd = k_bcd.part, total)"""
+PARTS = "a, ab, abc, b, bc, bcd, c, cd, d"
+
+
+@book.query("select_shapes", f"WITH {SHAPES_SQL} SELECT pattern, shape, x, y, freq FROM parts")
 def select_shapes(spark, sf_dir):
     return patterns.select_shapes(mined(spark, sf_dir)).drop("itemsets")
 
 
-@book.query("split_pattern")
+@book.query("split_pattern", f"WITH {SHAPES_SQL} SELECT pattern, shape, x, y, freq, {PARTS} FROM parts")
 def split_pattern(spark, sf_dir):
     return patterns.split_pattern(patterns.select_shapes(mined(spark, sf_dir))).drop("itemsets")
 
 
-@book.query("pattern_measures")
+def supports_of(found):
+    return found.select(patterns.pattern_text(F.col("sequence")).alias("pattern"), "freq")
+
+
+@book.query("pattern_measures", f"WITH {SHAPES_SQL} SELECT * FROM measured")
 def pattern_measures(spark, sf_dir):
-    found = mined(spark, sf_dir).persist()
-    supports = found.select(patterns.pattern_text(F.col("sequence")).alias("pattern"), "freq")
+    found = mined(spark, sf_dir)
     n = b.history(spark, sf_dir).select("user_id").distinct().count()
-    return patterns.measures(patterns.select_shapes(found), supports, n)
+    return patterns.measures(patterns.select_shapes(found), supports_of(found), n)
 
 
-@book.query("join_nested_lookup")
+@book.query(
+    "join_nested_lookup",
+    f"WITH {SHAPES_SQL} SELECT pattern, shape, x, y, freq, {PARTS}, k_a.s AS s_a, k_b.s AS s_b, k_c.s AS s_c, k_d.s AS s_d FROM parts LEFT JOIN single k_a ON a = k_a.item LEFT JOIN single k_b ON b = k_b.item LEFT JOIN single k_c ON c = k_c.item LEFT JOIN single k_d ON d = k_d.item",
+)
 def join_nested_lookup(spark, sf_dir):
-    found = mined(spark, sf_dir).persist()
-    supports = found.select(patterns.pattern_text(F.col("sequence")).alias("pattern"), "freq")
-    return patterns.attach_supports(patterns.split_pattern(patterns.select_shapes(found)), supports, ["a", "b", "c", "d"]).drop("itemsets")
+    found = mined(spark, sf_dir)
+    return patterns.attach_supports(patterns.split_pattern(patterns.select_shapes(found)), supports_of(found), ["a", "b", "c", "d"]).drop("itemsets")
 
 
-@book.query("rank_patterns")
+@book.query("rank_patterns", f"WITH {SHAPES_SQL} SELECT * FROM measured ORDER BY lift_bcd DESC NULLS LAST, lift_bc DESC NULLS LAST, lift_b DESC NULLS LAST, pattern")
 def rank_patterns(spark, sf_dir):
     return patterns.rank_patterns(pattern_measures(spark, sf_dir), ["lift_bcd", "lift_bc", "lift_b"])
 

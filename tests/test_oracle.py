@@ -35,8 +35,7 @@ def test_query(spark, duck, name):
     found = QUERIES[name](spark, SMALL)
     columns = sorted(found.columns)
     rows = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
-    if name not in ORACLE:
-        return
+    assert rows
     wanted = duck.execute(ORACLE[name])
     names = [x[0] for x in wanted.description]
     assert sorted(names) == columns

@@ -291,16 +291,17 @@ def upsert_by_key(spark, sf_dir):
     return j.upsert(orders.where("o_orderkey % 3 = 0").withColumn("origin", F.lit("stored")), orders.where("o_orderkey % 2 = 0").withColumn("origin", F.lit("new")), ["o_orderkey"])
 
 
-MERGE_SQL = """named AS (SELECT p_name, min(p_partkey) AS p_partkey, max(p_size) AS size FROM part GROUP BY p_name),
-a AS (SELECT p_partkey AS id, p_name AS name FROM named WHERE size <= 30), z AS (SELECT p_partkey + 5 AS id, p_name AS name FROM named WHERE size >= 20),
+MERGE_SQL = """named AS (SELECT p_name || '/' || p_brand || '/' || p_type AS name, min(p_partkey) AS p_partkey, max(p_size) AS size FROM part GROUP BY ALL),
+a AS (SELECT p_partkey AS id, name FROM named WHERE size <= 30), z AS (SELECT p_partkey + 5 AS id, name FROM named WHERE size >= 20),
 m AS (SELECT z.id AS old_id, a.id AS a_id, z.name FROM z LEFT JOIN a USING (name)),
-fresh AS (SELECT old_id, name, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY old_id) AS new_id FROM m WHERE a_id IS NULL)"""
+fresh AS (SELECT old_id, name, (SELECT coalesce(max(id), 0) FROM a) + row_number() OVER (ORDER BY old_id) AS new_id FROM m WHERE a_id IS NULL)"""
 
 
 def _stores(spark, sf_dir):
     """Parts of smaller sizes in one store, of larger ones in another, those between in both, under other ids."""
-    named = b.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_size").alias("size"))
-    store = lambda rule, shift: named.where(rule).select((F.col("p_partkey") + shift).alias("id"), F.col("p_name").alias("name"))
+    name = F.concat_ws("/", "p_name", "p_brand", "p_type").alias("name")
+    named = b.table(spark, sf_dir, "part").groupBy(name).agg(F.min("p_partkey").alias("p_partkey"), F.max("p_size").alias("size"))
+    store = lambda rule, shift: named.where(rule).select((F.col("p_partkey") + shift).alias("id"), "name")
     return j.merge_stores(store("size <= 30", 0), store("size >= 20", 5), ["name"])
 
 

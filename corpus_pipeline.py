@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from techtrail.llm import packing, secrets, sentence_spans, simhash, toxicity
-from techtrail.llm.common import stash
+from techtrail.llm.common import stash, stashed
+from techtrail.sources.shared import remove_path
 
 #: SQL for run()'s rows: none, since no stage can be said in SQL; each is tested against a plain version.
 ORACLE_SQL = None
@@ -74,10 +75,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each over what its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stash(docs)
-    return docs
+    """The stages in turn, each over what its predecessor kept. When a stage's result is written, what it was made from is deleted; the last result is read from the tables of the last two."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with stashed() as made:
+            docs = stash(stage(spark, docs, sf_dir))
+        for path in before + made[:-1]:
+            remove_path(spark, path)
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

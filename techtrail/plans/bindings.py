@@ -30,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table smaller than one split of a scan, dealt to all cores: it may be one row group, which one task reads. Larger ones stay as their files are split."""
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < split else df
+
+
 def block(column: str) -> Column:
     """The block of a list that a whole number belongs to."""
     return F.floor(F.col(column) / BLOCK).alias("block")
@@ -48,7 +56,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project, path, line_no, line: the lines of documents as files of sources."""
-    documents = table(spark, sf_dir, "documents").where("text is not null")
+    documents = spread(table(spark, sf_dir, "documents")).where("text is not null")
     path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
     return documents.select(F.col("source").alias("project"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line")).select("project", "path", (F.col("at") + 1).alias("line_no"), "line")
 
@@ -56,7 +64,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: documents as files."""
     path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(path.alias("path"), "text")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from techtrail.sources.shared import new_path
 
+#: Bytes of a table, as Spark estimates them, whose values one task can take.
+SMALL = 32 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size before it is read: of files their size, of what it can't know a very large number."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
 
 def _placed(df: DataFrame, order: list[str]) -> DataFrame:
     """The sorted table with "part of order" and "place in order": written, so that the places are read, not made again. It is written when this is called."""
@@ -27,20 +35,32 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.join(begins, "part of order").withColumn(name, number).drop("begin", "part of order", "place in order")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def _ranked_by_ranges(counted: DataFrame) -> DataFrame:
+    """Counts (group, value, n) with upto, the rows of the group up to a value, and total, all of them."""
+    placed = _placed(counted, ["group", "value"])
+    sizes = placed.groupBy("group", "part of order").agg(F.sum("n").alias("size"))
+    own = Window.partitionBy("group")
+    earlier = own.orderBy("part of order").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    sizes = sizes.select("group", "part of order", begin.alias("begin"), F.sum("size").over(own).alias("total"))
+    inside = Window.partitionBy("group", "part of order").orderBy("place in order").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(sizes, ["group", "part of order"])
+    return ranked.withColumn("upto", F.col("begin") + F.col("upto"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], small: int = SMALL) -> DataFrame:
     """keys and, for each name in shares, the exact quantile of value at that share (linear interpolation); nulls are left out.
 
-    Values are counted, sorted by range and written when this is called; each range adds up its own counts, and the ranges' totals, few, say where it
-    begins. So a group of any size and any number of different values is no single task's work.
+    Tables of up to ``small`` bytes take Spark's own percentile, which holds a group's values in one task. The values of larger ones are counted, sorted by
+    range and written when this is called: each range adds up its own counts, and the ranges' totals, few, say where it begins. So a group of any size
+    and any number of different values is no single task's work.
     """
     group = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("all"))
-    counted = df.where(F.col(value).isNotNull()).groupBy(group.alias("group"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    placed = _placed(counted, ["group", "value"])
-    sizes = placed.groupBy("group", "part of order").agg(F.sum("n").alias("size"))
-    own, earlier = Window.partitionBy("group"), Window.partitionBy("group").orderBy("part of order").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("group", "part of order", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("begin"), F.sum("size").over(own).alias("total"))
-    inside = Window.partitionBy("group", "part of order").orderBy("place in order").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("upto", F.sum("n").over(inside)).join(sizes, ["group", "part of order"]).withColumn("upto", F.col("begin") + F.col("upto"))
+    known = df.where(F.col(value).isNotNull()).select(group.alias("group"), F.col(value).cast("double").alias("value"))
+    if estimated_bytes(df) <= small:
+        every = known.groupBy("group").agg(F.percentile("value", list(shares.values())).alias("found"))
+        return every.select(*(F.col(f"group.{k}").alias(k) for k in keys), *(F.col("found")[i].alias(name) for i, name in enumerate(shares)))
+    ranked = _ranked_by_ranges(known.groupBy("group", "value").agg(F.count("*").alias("n")))
     at = {name: (F.col("total") - 1) * share for name, share in shares.items()}
     holds = lambda place: (F.col("upto") - F.col("n") <= place) & (place < F.col("upto"))
     ends = [F.max(F.when(holds(of(x)), F.col("value"))).alias(f"{end} {name}") for name, x in at.items() for end, of in (("low", F.floor), ("high", F.ceil))]

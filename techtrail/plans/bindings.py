@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from techtrail.operators import slices
+from techtrail.operators.ordering import estimated_bytes
 
 #: Events in one slice of a user's history.
 SLICE = 5
@@ -34,8 +35,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A table smaller than one split of a scan, dealt to all cores: it may be one row group, which one task reads. Larger ones stay as their files are split."""
     spark = df.sparkSession
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < split else df
+    return df.repartition(spark.sparkContext.defaultParallelism) if estimated_bytes(df) < split else df
 
 
 def block(column: str) -> Column:

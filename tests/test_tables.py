@@ -1,6 +1,9 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from techtrail.functions import scalars
 from techtrail.operators import aggregates, joins, rules, scan
+from techtrail.operators.ordering import quantiles
 from techtrail.sources import readers, writers
 
 
@@ -139,3 +142,16 @@ def test_nested_leaves(spark):
 
     df = spark.createDataFrame([(1, ((5, 6), 7))], "id int, a struct<b: struct<c: int, d: int>, e: int>")
     assert flatten_first_leaf(df).first()[:] == (1, 5)
+
+
+@pytest.mark.parametrize("small", [1 << 100, 0])
+def test_quantiles_of_small_and_of_large_tables(spark, small):
+    """By Spark's percentile, and by ranges of values: both are numpy's, with ties, nulls, one value and more values than a range."""
+    values = {"a": [float(i * 7919 % 1000) for i in range(3000)], "b": [5.0], "c": [1.0, 1.0, 1.0, 2.0], None: [0.25, 0.5, -3.0]}
+    rows = [(k, x) for k, xs in values.items() for x in [*xs, None]] + [("nothing", None)]
+    found = quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"q1": 0.25, "q3": 0.75, "last": 1.0}, small)
+    rows = {r["k"]: [r["q1"], r["q3"], r["last"]] for r in found.collect()}
+    assert set(rows) == set(values)
+    for k, xs in values.items():
+        assert rows[k] == pytest.approx(np.quantile(xs, [0.25, 0.75, 1.0]))
+    assert quantiles(spark.createDataFrame([], "x double"), [], "x", {"q1": 0.25}, small).collect() == []

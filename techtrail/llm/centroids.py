@@ -6,8 +6,8 @@ squared distances to the centroids are computed once, and a vector's distances a
 reads the chunks and moves a row of sums for each cluster and task; centroids (a few times the number of dimensions)
 are all that the driver holds. No vector is moved between tasks, so copies of one vector are no one's burden: they make their chunk's dictionaries small.
 
-Blocks have WIDTH dimensions at first. Neighbours become one block where that makes a round cheaper: a block costs its distinct subvectors times
-its width, for distances, and a look-up for each vector.
+Blocks have WIDTH dimensions at first. Neighbours become one block where their common dictionary has at most half as many subvectors as the chunk has vectors, and a
+round gets cheaper: a block costs its distinct subvectors times its width, for distances, and a look-up for each vector.
 
 Arithmetic is exact: in 64 bits where no sum can reach them, in whole numbers of any size elsewhere.
 
@@ -36,7 +36,7 @@ SIZE, SCALE, CLUSTERS, ROUNDS, SEED = 64, 1024, 8, 10, 3
 WIDTH = 2
 
 #: Vectors of a chunk, at most.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 
 #: Components below this in size can be squared and added up in 64 bits, whatever the number of dimensions (up to 256).
 NARROW = 1 << 26
@@ -95,7 +95,7 @@ def encode(vectors: np.ndarray, width: int = WIDTH) -> list[tuple[np.ndarray, np
                 (a, ca), (b, cb) = pair
                 _, first, codes = np.unique(ca.astype(np.int64) * len(b) + cb, return_index=True, return_inverse=True)
                 both = np.concatenate((a[ca[first]], b[cb[first]]), axis=1)
-                if cost(both) < cost(a) + cost(b):
+                if 2 * len(both) <= n and cost(both) < cost(a) + cost(b):
                     wider.append((both, codes))
                     merged = True
                     continue

@@ -37,7 +37,7 @@ def test_rounds_match_brute_force(spark):
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 500)]  # copies
     rows += [(7, rows[7][1]), (7, rows[8][1]), (None, rows[9][1]), (600, None), (601, []), (602, [1.0] * 5), (603, [1.0] * 5 + [None]), (604, [1.0] * 5 + [float("nan")]), (605, [float("-inf")] * 6)]
-    for chunk in (64, 1 << 14):
+    for chunk in (64, 1 << 16):
         assert found(spark, rows, size=6, k=8, rounds=10, chunk=chunk) == brute(rows, 6, 8, 10)
 
 

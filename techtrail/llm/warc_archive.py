@@ -42,8 +42,8 @@ LEAST = 1000
 #: Bytes of records after which a task begins another archive.
 ARCHIVE = 128 << 20
 
-#: Bytes of an archive that are read by one task.
-STRETCH = 16 << 20
+#: Bytes of an archive that are read by one task, about.
+STRETCH = 8 << 20
 
 #: Tasks of the normaliser, at most; each takes archive after archive.
 TASKS = 10_000
@@ -263,9 +263,13 @@ def _read(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.Reco
 
 
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
-    """record_type, id, url, refers_to, payload_bytes, payload_digest (and payload) of the pages in an index, read member by member."""
+    """record_type, id, url, refers_to, payload_bytes, payload_digest (and payload) of the pages in an index, read member by member.
+
+    Index rows are small beside what they point at, so the number of tasks comes from the members' lengths, which are added up when this is called.
+    """
     pages = index.where("type in ('response', 'revisit')").select("path", "offset", "length")
-    dealt = pages.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition("path", "stretch").sortWithinPartitions("path", "offset").drop("stretch")
+    tasks = (pages.agg(F.sum("length")).first()[0] or 0) // STRETCH + 1
+    dealt = pages.withColumn("stretch", F.floor(F.col("offset") / STRETCH)).repartition(tasks, "path", "stretch").sortWithinPartitions("path", "offset").drop("stretch")
     more = ", payload binary" if payloads else ""
     return dealt.mapInArrow(lambda batches: _read(batches, payloads), f"record_type string, id string, url string, refers_to string, payload_bytes long, payload_digest string{more}")
 

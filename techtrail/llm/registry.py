@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from techtrail.llm import centroids, html_main_text, language_ppm, packing, quality_rules, secrets, sentence_spans, simhash, telephony, toxicity, warc_archive, word_bpe
+from techtrail.llm import centroids, html_main_text, language_ppm, packing, quality_rules, secrets, sentence_spans, simhash, spelling, telephony, toxicity, warc_archive, word_bpe
 
 QUERIES = {
     "op1_telephony_media": telephony.op1_telephony_media,
@@ -17,12 +17,14 @@ QUERIES = {
     "op9_secret_novelty": secrets.op9_secret_novelty,
     "op10_word_bpe": word_bpe.op10_word_bpe,
     "op11_subvector_centroids": centroids.op11_subvector_centroids,
+    "op12_spelling_tiles": spelling.op12_spelling_tiles,
     "op13_warc_members": warc_archive.op13_warc_members,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE: dict[str, str] = {
     "op4_adaptive_quality": quality_rules.ORACLE_SQL,
     "op11_subvector_centroids": centroids.ORACLE_SQL,
+    "op12_spelling_tiles": spelling.ORACLE_SQL,
     "op13_warc_members": warc_archive.ORACLE_SQL,
 }
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from techtrail.operators.ordering import number_rows
+from techtrail.operators.ordering import carry_last, number_rows
 
 
 def outer_indicator(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -17,15 +17,14 @@ def outer_indicator(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 def asof_grid(versions: DataFrame, project: str, ts: str, value: str, month: int, day: int, end_year: int) -> DataFrame:
     """project, due, value: for each year's date, from the project's first year to the end, the latest version not after it.
 
-    Dates are rows of the same history, so one sort carries the last version forward; no range join is made.
+    Dates are rows of the same history, so one sort by range carries the last version forward; no range join is made, and a long history is several tasks' work.
     """
     first = versions.groupBy(project).agg(F.year(F.min(ts)).alias("first"))
     years = first.where(F.col("first") <= end_year).select(project, F.explode(F.sequence(F.col("first"), F.lit(end_year))).alias("year"))
     dates = years.select(project, F.make_date("year", F.lit(month), F.lit(day)).alias("due"), F.lit(None).cast(versions.schema[value].dataType).alias(value))
     rows = versions.select(project, F.col(ts).cast("timestamp").alias("ts"), F.lit(None).cast("date").alias("due"), value)
     both = rows.unionByName(dates.withColumn("ts", F.col("due").cast("timestamp")))
-    order = Window.partitionBy(project).orderBy("ts", F.col("due").isNotNull(), value).rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("last", F.last(value, ignorenulls=True).over(order))
+    carried = carry_last(both, [project], ["ts", F.col("due").isNotNull(), value], F.col(value), "last")
     return carried.where("due is not null and last is not null").select(project, "due", F.col("last").alias(value))
 
 

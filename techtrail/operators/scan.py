@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.operators.ordering import carry_last
 
 #: Letters that mean something after a backslash in Java's expressions; before others the backslash is dropped.
 ESCAPES = set("bBdDsSwWnrtfxupPAzZQE")
@@ -159,10 +160,9 @@ def build_tools(files: DataFrame, maven: str, gradle: str, project: str = "proje
 
 
 def changes_only(executions: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Newest first, empty outputs and those that differ from the last non-empty one."""
-    before = Window.partitionBy(*key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.nullif(F.col("output"), F.lit("")), ignorenulls=True).over(before)
-    return executions.withColumn("last", last).where((F.col("output") == "") | F.col("last").isNull() | (F.col("output") != F.col("last"))).drop("last")
+    """Newest first, empty outputs and those that differ from the last non-empty one. A key with very many executions is several tasks' work."""
+    carried = carry_last(executions, key, [F.desc(order)], F.nullif(F.col("output"), F.lit("")), "last", itself=False)
+    return carried.where((F.col("output") == "") | F.col("last").isNull() | (F.col("output") != F.col("last"))).drop("last")
 
 
 def merge_parts(executions: DataFrame, key: list[str], size: int = 50) -> DataFrame:

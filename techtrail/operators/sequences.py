@@ -11,16 +11,15 @@ def transitions(hist: DataFrame, project: str = "user_id") -> DataFrame:
     """project, part, label, n_parts, op for presence rows (project, part, label).
 
     INIT: present in the first slice; IN: present, absent in the slice before; KEEP: present in both; OUT: absent, present in the
-    slice before. Parts count 1, 2, ... without gaps up to the project's last. Each presence row looks at its neighbours in (project, label), so no
-    grid of slices and labels is made; the row after a run is its OUT.
+    slice before. Parts count 1, 2, ... without gaps up to the project's last. Each presence row counts for its own slice and for the one after it, where it was there before; both meet by
+    project, slice and label alone, so neither a grid of slices and labels nor a window over a project is made.
     """
-    own = Window.partitionBy(project, "label").orderBy("part")
-    sized = hist.withColumn("n_parts", F.max("part").over(Window.partitionBy(project)))
-    seen = sized.withColumn("before", F.lag("part").over(own)).withColumn("after", F.lead("part").over(own))
-    op = F.when(F.col("part") == 1, "INIT").when(F.col("before") == F.col("part") - 1, "KEEP").otherwise("IN")
-    leaves = (F.col("part") < F.col("n_parts")) & (F.coalesce("after", F.lit(-1)) != F.col("part") + 1)
-    rows = F.array(F.struct(F.col("part"), op.alias("op")), F.when(leaves, F.struct((F.col("part") + 1).alias("part"), F.lit("OUT").alias("op"))))
-    return seen.select(project, "label", "n_parts", F.explode(F.array_compact(rows)).alias("r")).select(project, "r.part", "label", "n_parts", "r.op")
+    last = hist.groupBy(project).agg(F.max("part").alias("n_parts"))
+    marks = F.array(F.struct(F.col("part"), F.lit(True).alias("now"), F.lit(False).alias("before")), F.struct((F.col("part") + 1).alias("part"), F.lit(False).alias("now"), F.lit(True).alias("before")))
+    rows = hist.select(project, "label", F.explode(marks).alias("m")).select(project, "label", "m.*")
+    seen = rows.groupBy(project, "part", "label").agg(F.bool_or("now").alias("now"), F.bool_or("before").alias("before"))
+    op = F.when(F.col("now") & F.col("before"), "KEEP").when(~F.col("now"), "OUT").when(F.col("part") == 1, "INIT").otherwise("IN")
+    return seen.join(last, project).where("part <= n_parts").select(project, "part", "label", "n_parts", op.alias("op"))
 
 
 def itemsets(hist: DataFrame, project: str, item: Column | str = "label") -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from techtrail.operators.ordering import number_within
 
 
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds place (1, 2, ... in order within the key) and total."""
-    group = Window.partitionBy(key)
-    return df.withColumn("place", F.row_number().over(group.orderBy(*order))).withColumn("total", F.count("*").over(group))
+    """Adds place (1, 2, ... in order within the key) and total. A key with very many rows is several tasks' work."""
+    return number_within(df, [key], order)
 
 
 def slice_every(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -62,12 +62,14 @@ def too_few_slices(df: DataFrame, key: str, n: int) -> DataFrame:
 def pick_slice(df: DataFrame, key: str, which: str) -> DataFrame:
     """Rows of the first, middle or last slice of each key.
 
-    The middle one of m slices in order is number max(m div 2, 1).
+    The middle one of m slices in order is number max(m div 2, 1). First and last are a minimum and a maximum; only for the middle one are a key's different slices numbered.
     """
-    group = Window.partitionBy(key)
-    ranked = df.withColumn("nth", F.dense_rank().over(group.orderBy("part"))).withColumn("slices", F.max("nth").over(group))
-    at = {"first": F.lit(1), "middle": F.greatest(F.expr("slices div 2"), F.lit(1)), "last": F.col("slices")}
-    return ranked.where(F.col("nth") == at[which]).drop("nth", "slices")
+    if which == "middle":
+        placed = number_within(df.select(key, "part").distinct(), [key], ["part"], "nth", "slices")
+        chosen = placed.where(F.col("nth") == F.greatest(F.expr("slices div 2"), F.lit(1))).select(key, "part")
+    else:
+        chosen = df.groupBy(key).agg({"first": F.min, "last": F.max}[which]("part").alias("part"))
+    return df.join(chosen, [key, "part"], "left_semi")
 
 
 def parse_commit_ts(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from techtrail.operators import aggregates as a
 from techtrail.operators import joins, models
+from techtrail.operators.ordering import carry_last
 from techtrail.plans import bindings as b
 from techtrail.plans.book import Book
 from techtrail.plans.histories import MODELS_SQL, catalogue
@@ -291,11 +292,8 @@ def first_of_group(spark, sf_dir):
 
 @book.query("last_nonnull_carry", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_value FROM events")
 def last_nonnull_carry(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     bought = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return b.table(spark, sf_dir, "events").select("event_id", F.last(bought, ignorenulls=True).over(order).alias("last_value"))
+    return carry_last(b.table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], bought, "last_value").select("event_id", "last_value")
 
 
 QUERIES, ORACLE = book.queries, book.sql

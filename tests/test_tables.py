@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from techtrail.functions import scalars
-from techtrail.operators import aggregates, joins, rules, scan
-from techtrail.operators.ordering import quantiles
+from techtrail.operators import aggregates, joins, rules, scan, sequences, slices
+from techtrail.operators.ordering import GROUP, PART, _by_range, carry_last, number_within, quantiles
 from techtrail.sources import readers, writers
 
 
@@ -144,14 +147,70 @@ def test_nested_leaves(spark):
     assert flatten_first_leaf(df).first()[:] == (1, 5)
 
 
-@pytest.mark.parametrize("small", [1 << 100, 0])
-def test_quantiles_of_small_and_of_large_tables(spark, small):
-    """By Spark's percentile, and by ranges of values: both are numpy's, with ties, nulls, one value and more values than a range."""
-    values = {"a": [float(i * 7919 % 1000) for i in range(3000)], "b": [5.0], "c": [1.0, 1.0, 1.0, 2.0], None: [0.25, 0.5, -3.0]}
-    rows = [(k, x) for k, xs in values.items() for x in [*xs, None]] + [("nothing", None)]
-    found = quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"q1": 0.25, "q3": 0.75, "last": 1.0}, small)
-    rows = {r["k"]: [r["q1"], r["q3"], r["last"]] for r in found.collect()}
-    assert set(rows) == set(values)
+def test_quantiles(spark):
+    """Numpy's, with ties, nulls, one value, many values in one bin, signs, zeros and infinity."""
+    values = {"a": [float(i * 7919 % 1000) for i in range(3000)], "b": [5.0], "c": [1.0, 1.0, 1.0, 2.0], None: [0.25, 0.5, -3.0], "near": [1 + i * 1e-12 for i in range(500)], "odd": [-0.0, 0.0, -1e-300, 5e-324, -1e300, 1e300, 3.0]}
+    rows = [(k, x) for k, xs in values.items() for x in [*xs, None]] + [("nothing", None), ("inf", float("inf")), ("inf", 1.0), ("inf", float("-inf")), ("nan", float("nan")), ("nan", 1.0), ("nan", float("inf"))]
+    found = quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"q1": 0.25, "middle": 0.5, "q3": 0.75, "last": 1.0})
+    rows = {r["k"]: [r["q1"], r["middle"], r["q3"], r["last"]] for r in found.collect()}
+    assert set(rows) == {*values, "inf", "nan"}
     for k, xs in values.items():
-        assert rows[k] == pytest.approx(np.quantile(xs, [0.25, 0.75, 1.0]))
-    assert quantiles(spark.createDataFrame([], "x double"), [], "x", {"q1": 0.25}, small).collect() == []
+        assert rows[k] == pytest.approx(np.quantile(xs, [0.25, 0.5, 0.75, 1.0]), rel=1e-15)
+    assert rows["inf"][1] == 1.0 and rows["inf"][3] == float("inf")
+    assert rows["nan"][1] == float("inf") and np.isnan(rows["nan"][3])
+    assert quantiles(spark.createDataFrame([], "x double"), [], "x", {"q1": 0.25}).collect() == []
+
+
+@pytest.fixture
+def sixteen_ranges(spark):
+    """Sorts keep their sixteen ranges, however small they are."""
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def hot(n=3000):
+    """Two thirds of the rows are of one key; keys and values may be null."""
+    return [(None if i % 3 == 1 and i % 2 else 7 if i % 3 else i % 50 + 100, i, None if i % 5 else i) for i in random.Random(2).sample(range(n), n)]
+
+
+def test_numbers_within_keys_that_span_ranges(spark, sixteen_ranges):
+    df = spark.createDataFrame(hot(), "k int, i int, v int")
+    found = number_within(df, ["k"], ["i"])
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("i")).cast("long")).withColumn("total", F.count("*").over(Window.partitionBy("k")))
+    assert {tuple(r) for r in found.select("k", "i", "place", "total").collect()} == {tuple(r) for r in want.select("k", "i", "place", "total").collect()}
+    ranges = _by_range(df, ["k"], ["i"]).groupBy("k", PART).count().groupBy("k").count()
+    assert max(r["count"] for r in ranges.collect()) >= 5
+    largest = _by_range(df, ["k"], ["i"]).groupBy(GROUP, PART).count().agg(F.max("count")).first()[0]
+    assert largest <= 3 * 3000 / 16  # no task has the hot key's rows
+
+
+@pytest.mark.parametrize("itself", [True, False])
+def test_values_are_carried_over_ranges(spark, sixteen_ranges, itself):
+    rows = [(1, i, 5 if i == 2 else 9 if i == 1800 else None) for i in range(2000)] + [(2, i, None) for i in range(300)] + [(None, i, i if i == 40 else None) for i in range(400)]
+    df = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), "k int, i int, v int")
+    order = Window.partitionBy("k").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    want = df.withColumn("last", F.last("v", ignorenulls=True).over(order))
+    found = carry_last(df, ["k"], [F.desc("i")], F.col("v"), "last", itself)
+    assert found.columns == [*df.columns, "last"]
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+    ranges = _by_range(df, ["k"], ["i"]).groupBy("k", PART).count().groupBy("k").count()
+    assert max(r["count"] for r in ranges.collect()) >= 8
+
+
+def test_slices_of_a_user_with_most_events(spark, sixteen_ranges):
+    df = spark.createDataFrame([(1 if i % 3 else 2 + i % 7, i, "AB"[i * i % 7 % 2]) for i in range(1500)], "user_id long, i int, label string")
+    order = Window.partitionBy("user_id").orderBy("i")
+    numbered = df.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("user_id")))
+    hist = numbered.where("place <= total div 5 * 5").selectExpr("user_id", "(place - 1) div 5 + 1 as part", "label").distinct()
+    found = slices.presence(df, "user_id", ["i"], "label", 5)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in hist.collect()}
+    grid = hist.groupBy("user_id").agg(F.max("part").alias("n_parts")).select("user_id", "n_parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_parts"))).alias("part")).crossJoin(hist.select("label").distinct())
+    seen = grid.join(hist.withColumn("now", F.lit(True)), ["user_id", "part", "label"], "left").withColumn("before", F.lag("now").over(Window.partitionBy("user_id", "label").orderBy("part")))
+    op = F.expr("case when now and before then 'KEEP' when now and part = 1 then 'INIT' when now then 'IN' when before then 'OUT' end")
+    want = seen.select("user_id", "part", "label", "n_parts", op.alias("op")).where("op is not null")
+    assert {tuple(r) for r in sequences.transitions(found).collect()} == {tuple(r) for r in want.collect()}

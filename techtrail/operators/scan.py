@@ -7,7 +7,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from techtrail.operators.ordering import carry_last
+from techtrail.operators.literals import holds_for_texts, required
+from techtrail.operators.ordering import carry_last, number_within
 
 #: Letters that mean something after a backslash in Java's expressions; before others the backslash is dropped.
 ESCAPES = set("bBdDsSwWnrtfxupPAzZQE")
@@ -25,19 +26,67 @@ def label_regex(label: str, alternatives: Iterable[str], clean: bool = False) ->
     return ("(?i)" if label.startswith("(IgnoreCase") else "") + "|".join(f"(?:{translate(x, clean)})" for x in alternatives)
 
 
+def _tests(heuristics: list[tuple[str, str, list[str]]], clean: bool) -> list[tuple[str, str, str]]:
+    return [(label, kind, label_regex(label, alternatives, clean)) for label, kind, alternatives in heuristics]
+
+
 def scan(lines: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean: bool = False) -> DataFrame:
     """lines with label and type, one row for each label that a line matches. All labels are tested in one projection, so each line is read once."""
-    found = F.array(*(F.when(F.col("line").rlike(label_regex(label, alternatives, clean)), F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"))) for label, kind, alternatives in heuristics))
+    found = F.array(*(F.when(F.col("line").rlike(regex), F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"))) for label, kind, regex in _tests(heuristics, clean)))
     return lines.withColumn("hit", F.explode(F.array_compact(found))).select(*lines.columns, "hit.label", "hit.type")
 
 
+#: Ends of lines to Java's expressions that lines are not cut at.
+OTHER_ENDS = "[\\r\\u0085\\u2028\\u2029]"
+
+
+def may_match(text: Column, label: str, alternatives: Iterable[str], clean: bool = False) -> Column:
+    """Whether a text can have a line that matches the label, by the literals that each alternative asks for; an alternative without any is tried on the whole text, or holds for all texts if that says nothing about lines."""
+    fold = label.startswith("(IgnoreCase")
+    low = F.lower(text) if fold else text
+    made = F.lit(False)
+    for regex in (translate(x, clean) for x in alternatives):
+        literals = required(regex, fold)
+        if literals:
+            for x in literals:
+                made = made | F.contains(low, F.lit(x))
+        elif holds_for_texts(regex):
+            # a last line that is empty begins for the expression only before another end of a line, and other ends of lines than \n mean other things in a text
+            made = made | text.rlike(OTHER_ENDS) | F.concat(text, F.lit("\n")).rlike(("(?mi)" if fold else "(?m)") + f"(?:{regex})")
+        else:
+            return F.lit(True)
+    return made
+
+
+def _candidates(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean: bool, asked: str | None) -> DataFrame:
+    """Files (text) some label of which may match, with "may match", a flag for each label."""
+    flags = [may_match(F.col("text"), label, alternatives, clean) for label, _, alternatives in heuristics]
+    if asked:
+        flags = [F.array_contains(asked, label) & flag for (label, _, _), flag in zip(heuristics, flags, strict=True)]
+    known = files.where(F.col("text").isNotNull()).withColumn("may match", F.array(*flags))
+    return known.where(F.array_contains("may match", True))
+
+
+def scan_texts(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean: bool = False, asked: str | None = None) -> DataFrame:
+    """files' other columns with line_no, line, label, type: one row for each label and matching line of files (text). asked: an array column of the labels to be tried in a file; others are not.
+
+    Only texts that have what a label's expressions ask for are cut into lines, and only those labels are tried on them.
+    """
+    others = [c for c in files.columns if c not in ("text", asked)]
+    lines = _candidates(files, heuristics, clean, asked).select(*others, "may match", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    tests = enumerate(_tests(heuristics, clean))
+    found = F.array(*(F.when(F.get("may match", F.lit(i)) & F.col("line").rlike(regex), F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"))) for i, (label, kind, regex) in tests))
+    hits = lines.withColumn("hit", F.explode(F.array_compact(found)))
+    return hits.select(*others, (F.col("at") + 1).alias("line_no"), "line", "hit.label", "hit.type")
+
+
 def scan_context(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], k: int = 5, clean: bool = False) -> DataFrame:
     """path, label, block, line_no, is_hit, line for files (path, text): k lines on either side of hits; ranges that overlap or touch are one block.
 
     A file's lines are one array, from which each hit takes its neighbours, so only these are moved.
     """
-    cut = files.where("text is not null").select("path", F.split("text", "\n").alias("lines"))
-    tested = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(label_regex(label, alternatives, clean)).alias("pattern")) for label, _, alternatives in heuristics))
+    cut = _candidates(files, heuristics, clean, None).select("path", "may match", F.split("text", "\n").alias("lines"))
+    tested = F.array_compact(F.array(*(F.when(F.get("may match", F.lit(i)), F.struct(F.lit(label).alias("label"), F.lit(regex).alias("pattern"))) for i, (label, _, regex) in enumerate(_tests(heuristics, clean)))))
     hits = F.filter(F.transform("lines", lambda x, i: F.when(F.regexp_like(x, F.col("t.pattern")), i + 1)), lambda i: i.isNotNull())
     found = cut.select("path", "lines", F.explode(tested).alias("t")).select("path", "lines", "t.label", hits.alias("hits")).where(F.size("hits") > 0)
     near = lambda at: F.transform(F.sequence(F.greatest(at - k, F.lit(1)), F.least(at + k, F.size("lines"))), lambda i: F.struct(i.alias("line_no"), (i == at).alias("is_hit"), F.element_at("lines", i).alias("line")))
@@ -81,13 +130,19 @@ def code_test(hits: DataFrame, projects: DataFrame, n_labels: int, code: str, te
 FAN_IN_KINDS = ("test", "code", "xml", "other")
 
 
+def is_dependency(label: Column, project: Column) -> Column:
+    """Labels of a project's own files are named owner.name.something: whether a label begins with its project's name, with dots for slashes."""
+    return F.startswith(label, F.replace(project, F.lit("/"), F.lit(".")))
+
+
 def usage_fan_in(hits: DataFrame, files: DataFrame, code: str, test: str, xml: str, project: str = "project") -> DataFrame:
-    """Files with a match of each label, by kind (code, test, xml, other), for labels that are database code and for dependencies; a file counts for each label.
+    """Files with a match of each label, by kind (code, test, xml, other), for labels that are database code and for dependencies (is_dependency); a file counts for each label.
 
     total_db is their number, total_project that of all files; the percentages, of all files of the project, leave "other" out. Zeros are nulls.
     """
-    rows = hits.select(project, "label", "path", "dependency").distinct().withColumn("kind", bucket_of(F.col("path"), code, test, xml))
-    sides = (("db", ~F.col("dependency")), ("dep", F.col("dependency")))
+    rows = hits.select(project, "label", "path").distinct().withColumn("kind", bucket_of(F.col("path"), code, test, xml))
+    depends = is_dependency(F.col("label"), F.col(project))
+    sides = (("db", ~depends), ("dep", depends))
     counted = rows.groupBy(project).agg(*(F.count_if((F.col("kind") == k) & side).alias(f"{name}_{k}") for name, side in sides for k in FAN_IN_KINDS), F.count("*").alias("total_db"))
     total = files.groupBy(project).agg(F.countDistinct("path").alias("total_project"))
     joined = total.join(counted, project, "left")
@@ -114,6 +169,31 @@ def pending(done: DataFrame, heuristics: DataFrame, versions: DataFrame) -> Data
     return left.select(*versions.columns, F.explode(missing).alias("h")).select("h.*", *versions.columns)
 
 
+def run_pending(done: DataFrame, heuristics: list[tuple[str, str, list[str]]], files: DataFrame, version: str, clean: bool = False) -> DataFrame:
+    """version, label, hits, files of the executions that done (label, version) lacks over files (version, path, text): with 0 where a label has no hit.
+
+    A version's files are tried with the labels that it lacks, and those of versions that lack none are not read further.
+    """
+    names = files.sparkSession.createDataFrame([(x[0],) for x in heuristics], "label string")
+    left = pending(done.select("label", version), names, files.select(version).distinct())
+    asked = left.groupBy(version).agg(F.collect_set("label").alias("labels asked"))  # the labels of a scan at most
+    found = scan_texts(files.join(asked, version), heuristics, clean, "labels asked").groupBy(version, "label").agg(F.count("*").alias("hits"), F.count_distinct("path").alias("files"))
+    return left.join(found, [version, "label"], "left").select(version, "label", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def scan_status(run: DataFrame, done: DataFrame, n_labels: int, versions: DataFrame) -> DataFrame:
+    """status, n: Success for executions that a run has added, Skipped for those that were there, Total for all pairs of label and version."""
+    one = run.agg(F.count("*").alias("Success")).crossJoin(done.join(versions, versions.columns, "left_semi").select("label", *versions.columns).distinct().agg(F.count("*").alias("Skipped")))  # one row each
+    one = one.crossJoin(versions.agg((F.count("*") * n_labels).alias("Total")))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("status"), F.col(x).alias("n")) for x in ("Success", "Skipped", "Total")))).alias("s")).select("s.*")
+
+
+def scan_selected(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], chosen: DataFrame, project: str = "project", clean: bool = False) -> DataFrame:
+    """Hits of each project's own labels: chosen (project, label) says which labels are tried in which project."""
+    asked = chosen.groupBy(project).agg(F.collect_set("label").alias("labels asked"))  # the labels of a scan at most
+    return scan_texts(files.join(asked, project), heuristics, clean, "labels asked")
+
+
 def invalidate(executions: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Executions that stay: those whose label's pattern is the same, and those validated and accepted."""
     changed = old.select("label", F.col("pattern").alias("was")).join(new.select("label", "pattern"), "label").where("was <> pattern").select("label")
@@ -128,18 +208,89 @@ def class_pattern(path: Column) -> Column:
     return F.concat(F.lit(r"(\s|[.,(]|^)"), F.regexp_replace(stem, r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"(\s|[.,(]|$)"))
 
 
-def scan_scoped(lines: DataFrame, patterns: DataFrame, project: str = "project") -> DataFrame:
-    """Hits of patterns (project, stem, pattern) in the project's own lines: joined by project and by the word first, then matched."""
-    words = lines.withColumn("stem", F.explode(F.array_distinct(F.split("line", r"[\s.,(]+"))))
-    return words.join(patterns, [project, "stem"]).where(F.expr("line rlike pattern")).select(project, "path", "line_no", "stem")
+#: What sets words apart in class_pattern.
+APART = r"[\s.,(]"
+
+
+def bloom_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """One row, words: a Bloom filter of so many bits (a power of two, 64 at least), two to a key, as an array of 64-bit numbers."""
+    hashed = F.xxhash64(key)
+    places = F.array(F.pmod(hashed, F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits)))
+    set_bits = keys.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))).alias("word"))
+    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "at").join(set_bits, "at", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda x: x["word"]).alias("words"))
+
+
+def may_contain(words: Column, key: Column, bits: int) -> Column:
+    """Whether a key may be in the filter; those that are always may."""
+    bit = lambda h: F.call_function("shiftright", F.get(words, F.shiftright(F.pmod(h, F.lit(bits)), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return bit(F.xxhash64(key)) & bit(F.xxhash64(key, F.lit(1)))
+
 
+#: Bits of a Bloom filter for each key, and at most: 4 MB in memory. Beyond that more words pass, which the join drops.
+BITS, MOST_BITS = 16, 1 << 25
 
-def first_level(hits: DataFrame, extension: str, project: str = "project") -> DataFrame:
-    """project, path, pattern, lines, duplicated: files of the type's matches, once each; a stem seen before in the project is marked."""
-    files = hits.where(F.col("path").endswith(extension)).groupBy(project, "path").agg(F.count_distinct("line_no").alias("lines"))
-    stem = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
-    again = F.row_number().over(Window.partitionBy(project, stem).orderBy("path")) > 1
-    return files.select(project, "path", class_pattern(F.col("path")).alias("pattern"), "lines", again.alias("duplicated"))
+
+def scan_scoped(lines: DataFrame, stems: DataFrame, project: str = "project") -> DataFrame:
+    """project, path, line_no, stem: lines of a project that have one of its own files' stems (project, stem), as class_pattern finds it; once each.
+
+    A stem that has no sign or blank in it is found by class_pattern where it is a word between signs and blanks, so words and stems meet by (project, word), and a line's text is moved nowhere. A Bloom filter of the stems, of a
+    size that is bounded, is tested before words are moved. Stems with signs or blanks in them meet the lines by their first word and are then matched. Stems are counted when this is called.
+    """
+    stems = stems.select(project, "stem").where(F.col("stem") != "").distinct()
+    plain, odd = stems.where(~F.col("stem").rlike(APART)), stems.where(F.col("stem").rlike(APART))
+    n = plain.count()
+    bits = 64
+    while bits < min(n * BITS, MOST_BITS):
+        bits *= 2
+    key = F.struct(F.col(project), F.col("stem"))
+    words = lines.select(project, "path", "line_no", F.explode(F.array_distinct(F.split("line", APART + "+"))).alias("stem"))
+    known = F.broadcast(bloom_filter(plain, key, bits))  # one row of bits / 8 bytes
+    near = words.crossJoin(known).where(may_contain(F.col("words"), key, bits)).drop("words")
+    found = near.join(plain, [project, "stem"], "left_semi").select(project, "path", "line_no", "stem")
+    if odd.isEmpty():
+        return found
+    first = odd.select(project, F.split("stem", APART)[0].alias("word"), F.col("stem"), class_pattern(F.concat("stem", F.lit(".x"))).alias("pattern"))
+    whole = lines.select(project, "path", "line_no", "line", F.explode(F.array_distinct(F.split("line", APART))).alias("word"))
+    return found.unionByName(whole.join(first, [project, "word"]).where(F.expr("line rlike pattern")).select(project, "path", "line_no", "stem").distinct())
+
+
+def first_level(hits: DataFrame, files: DataFrame, extension: str | None, duplicates: bool = False, project: str = "project") -> DataFrame:
+    """project, label, path, pattern, status, lines: the files that labels match (hits: project, label, path), each with what becomes of it.
+
+    status is "other extension" (none is given: no file's), "duplicated" for a file that a label before (by name) has already, unless duplicates are allowed, or "opened"; of opened files lines is the number of their lines (files: project, path, text).
+    """
+    rows = hits.select(project, "label", "path").distinct()
+    fits = F.endswith(F.col("path"), F.lit(extension)) if extension else F.lit(True)
+    first = rows.groupBy(project, "path").agg(F.min("label").alias("first label"))
+    status = F.when(~fits, "other extension").when(F.lit(not duplicates) & (F.col("label") != F.col("first label")), "duplicated").otherwise("opened")
+    named = rows.join(first, [project, "path"]).select(project, "label", "path", class_pattern(F.col("path")).alias("pattern"), status.alias("status"))
+    counted = files.where("text is not null").select(project, "path", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return named.join(counted, [project, "path"], "left").withColumn("lines", F.when(F.col("status") == "opened", F.col("lines")))
+
+
+def first_level_files(rows: DataFrame, multiple: bool = False, duplicates: bool = False, project: str = "project") -> DataFrame:
+    """file, line_no, pattern: the pattern files of opened rows (project, label, path, pattern, status), one for each project, or (multiple) one for each pattern, numbered.
+
+    Patterns stand in order of label and path; unless duplicates are allowed, each stands once, where it comes first.
+    """
+    opened = rows.where("status = 'opened'").select(project, "label", "path", "pattern")
+    if not duplicates:
+        best = opened.groupBy(project, "pattern").agg(F.min(F.struct("label", "path")).alias("first"))
+        opened = best.select(project, "first.label", "first.path", "pattern")
+    placed = number_within(opened, [project], ["label", "path"], "nth", "patterns of project")
+    base = F.replace(F.col(project), F.lit("/"), F.lit("."))
+    name = F.concat(base, F.lit("."), F.col("nth").cast("string"), F.lit(".txt")) if multiple else F.concat(base, F.lit(".txt"))
+    return placed.select(name.alias("file"), (F.lit(1).cast("long") if multiple else F.col("nth")).alias("line_no"), "pattern")
+
+
+def first_level_status(rows: DataFrame, projects: DataFrame, labels: DataFrame, project: str = "project") -> DataFrame:
+    """status, n: Total of matched files, of these Opened, Duplicated and Not of the extension, and None, the pairs of project and label without any."""
+    of = lambda x: F.count_if(F.col("status") == x)
+    counted = rows.agg(F.count("*").alias("Total"), of("opened").alias("Opened"), of("duplicated").alias("Duplicated"), of("other extension").alias("Not extension"), F.count_distinct(project, "label").alias("pairs"))
+    pairs = projects.select(project).distinct().agg(F.count("*").alias("projects")).crossJoin(labels.select("label").distinct().agg(F.count("*").alias("labels")))  # one row each
+    one = counted.crossJoin(pairs).withColumn("None", F.col("projects") * F.col("labels") - F.col("pairs"))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("status"), F.col(x).alias("n")) for x in ("Total", "Opened", "Duplicated", "Not extension", "None")))).alias("s")).select("s.*")
 
 
 def second_level(first: DataFrame, second: DataFrame, files: DataFrame, project: str = "project") -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from techtrail.operators import slices
-from techtrail.operators.ordering import estimated_bytes
 
 #: Events in one slice of a user's history.
 SLICE = 5
@@ -31,13 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table smaller than one split of a scan, dealt to all cores: it may be one row group, which one task reads. Larger ones stay as their files are split."""
-    spark = df.sparkSession
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(spark.sparkContext.defaultParallelism) if estimated_bytes(df) < split else df
-
-
 def block(column: str) -> Column:
     """The block of a list that a whole number belongs to."""
     return F.floor(F.col(column) / BLOCK).alias("block")
@@ -54,23 +46,21 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("domain"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, path, line_no, line: the lines of documents as files of sources."""
-    documents = spread(table(spark, sf_dir, "documents")).where("text is not null")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, path, text: documents as files of sources."""
     path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
-    return documents.select(F.col("source").alias("project"), path.alias("path"), F.posexplode(F.split("text", "\n")).alias("at", "line")).select("project", "path", (F.col("at") + 1).alias("line_no"), "line")
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("project"), path.alias("path"), "text")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text: documents as files."""
-    path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
-    return spread(table(spark, sf_dir, "documents")).select(path.alias("path"), "text")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project, path, line_no, line of all files."""
+    rows = texts(spark, sf_dir).select("project", "path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return rows.select("project", "path", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project, path. The texts' lengths, which are null where texts are, are read instead of the texts."""
-    path = F.concat_ws("/", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
-    return table(spark, sf_dir, "documents").where("n_chars is not null").select(F.col("source").alias("project"), path.alias("path"))
+    """project, path."""
+    return texts(spark, sf_dir).select("project", "path")
 
 
 HISTORY_SQL = f"""

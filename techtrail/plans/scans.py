@@ -23,7 +23,7 @@ KIND4_SQL = KIND_SQL.replace("ELSE", f"WHEN path LIKE '%{XML}' THEN 'xml' ELSE")
 
 
 def hits(spark, sf_dir):
-    return scan.scan(b.lines(spark, sf_dir), b.PATTERNS)
+    return scan.scan_texts(b.texts(spark, sf_dir), b.PATTERNS)
 
 
 def labels(spark):
@@ -41,7 +41,7 @@ def scan_hits(spark, sf_dir):
 
 @book.query("scan_ignore_case", f"WITH {HITS_SQL} SELECT path, line_no FROM hits WHERE label LIKE '(IgnoreCase%'")
 def scan_ignore_case(spark, sf_dir):
-    return scan.scan(b.lines(spark, sf_dir), [x for x in b.PATTERNS if x[0].startswith("(IgnoreCase")]).select("path", "line_no")
+    return scan.scan_texts(b.texts(spark, sf_dir), [x for x in b.PATTERNS if x[0].startswith("(IgnoreCase")]).select("path", "line_no")
 
 
 @book.query(
@@ -79,10 +79,20 @@ def scan_code_test(spark, sf_dir):
     return scan.code_test(hits(spark, sf_dir), b.files(spark, sf_dir).select("project").distinct(), len(b.PATTERNS), CODE, TEST)
 
 
+SCOPED_SQL = "stems AS (SELECT DISTINCT source AS project, lang AS stem FROM documents), scoped AS (SELECT DISTINCT l.project, l.path, l.line_no, s.stem FROM lines l JOIN stems s ON l.project = s.project AND regexp_matches(l.line, '(\\s|[.,(]|^)' || s.stem || '(\\s|[.,(]|$)'))"
+
+
+def scoped(spark, sf_dir):
+    """Lines of sources that have the name of a language of their own as a word."""
+    stems = b.table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("stem"))
+    return scan.scan_scoped(b.lines(spark, sf_dir), stems)
+
+
 FAN_IN = [f"{side}_{kind}" for side in ("db", "dep") for kind in ("test", "code", "xml", "other")]
 FAN_IN_RULES = {f"{side}_{kind}": f"kind = '{kind}' AND {'dependency' if side == 'dep' else 'NOT dependency'}" for side in ("db", "dep") for kind in ("test", "code", "xml", "other")}
-#: As the scan's export has it: a file counts once for each label, percentages are of all files of the project, blanks stand for zeros.
-FAN_IN_SQL = f"""WITH {HITS_SQL}, r AS (SELECT DISTINCT project, label, path, type = 'query' AS dependency, {KIND4_SQL} AS kind FROM hits),
+#: As the scan's export has it: a file counts once for each label, labels that begin with the project's name are dependencies, percentages are of all files of the project, blanks stand for zeros.
+FAN_IN_SQL = f"""WITH {HITS_SQL}, {SCOPED_SQL}, every AS (SELECT project, label, path FROM hits UNION ALL SELECT project, project || '.' || stem, path FROM scoped),
+    r AS (SELECT DISTINCT project, label, path, starts_with(label, replace(project, '/', '.')) AS dependency, {KIND4_SQL} AS kind FROM every),
     c AS (SELECT p.project, {", ".join(f"count(*) FILTER (WHERE {rule}) AS {name}" for name, rule in FAN_IN_RULES.items())}, count(r.path) AS total_db
         FROM (SELECT DISTINCT project FROM files) p LEFT JOIN r USING (project) GROUP BY p.project),
     n AS (SELECT project, count(DISTINCT path) AS total_project FROM files GROUP BY project)
@@ -93,8 +103,9 @@ FAN_IN_SQL = f"""WITH {HITS_SQL}, r AS (SELECT DISTINCT project, label, path, ty
 @book.query("usage_fan_in", FAN_IN_SQL)
 @book.query("scan_code_test_xml", FAN_IN_SQL)
 def scan_code_test_xml(spark, sf_dir):
-    found = hits(spark, sf_dir).withColumn("dependency", F.col("type") == "query")
-    return scan.usage_fan_in(found, b.files(spark, sf_dir), CODE, TEST, XML)
+    """Hits of the scan, and those of each project's own words, which are its dependencies."""
+    own = scoped(spark, sf_dir).select("project", F.concat("project", F.lit("."), "stem").alias("label"), "path")
+    return scan.usage_fan_in(hits(spark, sf_dir).select("project", "label", "path").unionByName(own), b.files(spark, sf_dir), CODE, TEST, XML)
 
 
 @book.query(
@@ -120,14 +131,37 @@ def scan_invalidate(spark, sf_dir):
     return scan.invalidate(executions, old, new).select("id", "label")
 
 
-SCOPED_SQL = "stems AS (SELECT DISTINCT project, path, regexp_extract(path, '([^/.]+)[^/]*$', 1) AS stem FROM files)"
+@book.query("scan_scoped", f"WITH {b.LINES_SQL}, {SCOPED_SQL} SELECT * FROM scoped")
+def scan_scoped(spark, sf_dir):
+    return scoped(spark, sf_dir)
 
 
-@book.query("scan_scoped", f"WITH {b.LINES_SQL}, stems AS (SELECT DISTINCT source AS project, lang AS stem FROM documents) SELECT DISTINCT l.project, l.path, l.line_no, s.stem FROM lines l JOIN stems s ON l.project = s.project AND regexp_matches(l.line, '(\\s|[.,(]|^)' || s.stem || '(\\s|[.,(]|$)')")
-def scan_scoped(spark, sf_dir):
-    stems = b.table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.col("lang").alias("stem")).distinct()
-    patterns = stems.withColumn("pattern", scan.class_pattern(F.concat(F.col("stem"), F.lit(".java"))))
-    return scan.scan_scoped(b.lines(spark, sf_dir), patterns).distinct()
+PENDING_SQL = f"""WITH {HITS_SQL}, {LABELS_SQL}, had AS (SELECT DISTINCT project, label FROM hits WHERE label IN ('the', 'number', 'licence')),
+run AS (SELECT s.project, s.label, count(h.path) AS hits, count(DISTINCT h.path) AS files FROM scanned s ANTI JOIN had USING (project, label) LEFT JOIN hits h USING (project, label) GROUP BY ALL)"""
+
+
+def pending_run(spark, sf_dir):
+    done = hits(spark, sf_dir).where("label in ('the', 'number', 'licence')").select("label", "project").distinct()
+    return done, scan.run_pending(done, b.PATTERNS, b.texts(spark, sf_dir), "project")
+
+
+@book.query("scan_run_pending", f"{PENDING_SQL} SELECT * FROM run")
+def scan_run_pending(spark, sf_dir):
+    """Executions of what a scan of three labels has left, those without hits too."""
+    return pending_run(spark, sf_dir)[1].select("project", "label", "hits", "files")
+
+
+@book.query("scan_status", f"{PENDING_SQL} SELECT 'Success' AS status, count(*) AS n FROM run UNION ALL SELECT 'Skipped', count(*) FROM had UNION ALL SELECT 'Total', count(*) FROM scanned")
+def scan_status(spark, sf_dir):
+    done, run = pending_run(spark, sf_dir)
+    return scan.scan_status(run, done, len(b.PATTERNS), b.files(spark, sf_dir).select("project").distinct())
+
+
+@book.query("scan_selected", f"WITH {HITS_SQL} SELECT project, path, line_no, label FROM hits WHERE (project || label) IN (SELECT DISTINCT source || CASE WHEN length(source) % 2 = 0 THEN 'the' ELSE 'number' END FROM documents)")
+def scan_selected(spark, sf_dir):
+    """Each project is scanned for the labels that are chosen for it."""
+    chosen = b.files(spark, sf_dir).select("project", F.when(F.length("project") % 2 == 0, "the").otherwise("number").alias("label")).distinct()
+    return scan.scan_selected(b.texts(spark, sf_dir), b.PATTERNS, chosen).select("project", "path", "line_no", "label")
 
 
 @book.query("make_class_pattern", "SELECT DISTINCT lang || '/' || doc_id || '.' || lang AS path, '(\\s|[.,(]|^)' || doc_id || '(\\s|[.,(]|$)' AS pattern FROM documents WHERE text IS NOT NULL")
@@ -135,13 +169,43 @@ def make_class_pattern(spark, sf_dir):
     return b.files(spark, sf_dir).select("path", scan.class_pattern(F.col("path")).alias("pattern")).distinct()
 
 
+FIRST_SQL = f"""WITH {HITS_SQL}, m AS (SELECT DISTINCT project, label, path FROM hits WHERE type IN ('implementation', 'query')),
+f AS (SELECT *, '(\\s|[.,(]|^)' || regexp_extract(path, '([^/.]+)[^/]*$', 1) || '(\\s|[.,(]|$)' AS pattern,
+    CASE WHEN path NOT LIKE '%{CODE}' THEN 'other extension' WHEN row_number() OVER (PARTITION BY project, path ORDER BY label) > 1 THEN 'duplicated' ELSE 'opened' END AS status FROM m),
+r AS (SELECT f.*, CASE WHEN status = 'opened' THEN (SELECT max(line_no) FROM lines l WHERE l.project = f.project AND l.path = f.path)::BIGINT END AS lines FROM f)"""
+
+
+def first_rows(spark, sf_dir):
+    return scan.first_level(hits(spark, sf_dir).where("type in ('implementation', 'query')"), b.texts(spark, sf_dir), CODE)
+
+
+@book.query("first_level", f"{FIRST_SQL} SELECT project, label, path, pattern, status, lines FROM r")
+def first_level(spark, sf_dir):
+    return first_rows(spark, sf_dir)
+
+
+FIRST_FILES_SQL = f"""{FIRST_SQL}, u AS (SELECT project, pattern, min((label, path)) AS first FROM r WHERE status = 'opened' GROUP BY ALL), n AS (SELECT project, pattern, row_number() OVER (PARTITION BY project ORDER BY first) AS nth FROM u)"""
+
+
+@book.query("first_level_files", f"{FIRST_FILES_SQL} SELECT replace(project, '/', '.') || '.txt' AS file, nth AS line_no, pattern FROM n")
+def first_level_files(spark, sf_dir):
+    return scan.first_level_files(first_rows(spark, sf_dir))
+
+
+@book.query("first_level_many_files", f"{FIRST_FILES_SQL} SELECT replace(project, '/', '.') || '.' || nth || '.txt' AS file, 1::BIGINT AS line_no, pattern FROM n")
+def first_level_many_files(spark, sf_dir):
+    return scan.first_level_files(first_rows(spark, sf_dir), multiple=True)
+
+
 @book.query(
-    "first_level",
-    f"""WITH {HITS_SQL}, f AS (SELECT project, path, count(DISTINCT line_no) AS lines FROM hits WHERE type = 'implementation' AND path LIKE '%{CODE}' GROUP BY ALL), s AS (SELECT *, regexp_extract(path, '([^/.]+)[^/]*$', 1) AS stem FROM f)
-    SELECT project, path, '(\\s|[.,(]|^)' || stem || '(\\s|[.,(]|$)' AS pattern, lines, row_number() OVER (PARTITION BY project, stem ORDER BY path) > 1 AS duplicated FROM s""",
+    "first_level_status",
+    f"""{FIRST_SQL}, p AS (SELECT (SELECT count(DISTINCT source) FROM documents WHERE text IS NOT NULL) * {sum(x[1] in ("implementation", "query") for x in b.PATTERNS)} - (SELECT count(DISTINCT (project, label)) FROM r) AS none)
+    SELECT 'Total' AS status, count(*) AS n FROM r UNION ALL SELECT 'Opened', count(*) FILTER (status = 'opened') FROM r UNION ALL SELECT 'Duplicated', count(*) FILTER (status = 'duplicated') FROM r
+    UNION ALL SELECT 'Not extension', count(*) FILTER (status = 'other extension') FROM r UNION ALL SELECT 'None', none FROM p""",
 )
-def first_level(spark, sf_dir):
-    return scan.first_level(hits(spark, sf_dir).where("type = 'implementation'"), CODE)
+def first_level_status(spark, sf_dir):
+    kinds = labels(spark).where("type in ('implementation', 'query')")
+    return scan.first_level_status(first_rows(spark, sf_dir), b.files(spark, sf_dir), kinds)
 
 
 @book.query(

@@ -13,7 +13,7 @@ from techtrail.plans.scans import HITS_SQL
 from techtrail.sources import readers as r
 from techtrail.sources import writers as w
 from techtrail.sources.shared import new_path, written
-from techtrail.streaming import jobs
+from techtrail.streaming import jobs, runs
 
 book = Book()
 
@@ -186,36 +186,42 @@ def _waves(spark, rows, wave, path, schema):
 
 @book.query("stream_verdicts", "SELECT conv_id, role, max(turn) AS turn FROM conversations GROUP BY conv_id, role")
 def stream_verdicts(spark, sf_dir):
-    source, table, schema = new_path(spark, "verdicts"), new_path(spark, "latest"), "conv_id long, role string, turn long"
+    source, table, schema, keys = new_path(spark, "verdicts"), new_path(spark, "latest"), "conv_id long, role string, turn long", ["conv_id", "role"]
     stream = _waves(spark, b.table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), F.col("turn") % 3, source, schema)
-    query = jobs.run_available(stream, jobs.stream_verdicts(stream, table, ["conv_id", "role"], ["turn"]), new_path(spark, "progress"))
-    return jobs.latest_of(spark, table, jobs.last_number(query), schema, ["conv_id", "role"], ["turn"])
+    query = jobs.run_available(stream, jobs.stream_verdicts(schema, table, keys, ["turn"], fan=2), new_path(spark, "progress"))
+    return jobs.latest_of(spark, table, jobs.last_number(query), schema, keys, ["turn"], fan=2)
 
 
-@book.query("stream_scan", f"WITH {HITS_SQL} SELECT project, path, line_no, label FROM hits")
+LINES = "project string, path string, version string, line_no int, line string"
+
+
+@book.query("stream_scan", f"WITH {HITS_SQL} SELECT project, path, v AS version, line_no, label FROM hits, (VALUES ('1'), ('2')) t(v) WHERE v = '1' OR line_no <= 3")
 def stream_scan(spark, sf_dir):
-    """Lines of one file come in several batches, and those of some files again."""
-    source, table = new_path(spark, "lines"), new_path(spark, "scanned")
-    lines = b.lines(spark, sf_dir)
-    again = lines.where("line_no <= 3")
-    stream = _waves(spark, lines.withColumn("come", F.lit(0)).unionByName(again.withColumn("come", F.lit(3))), F.col("come") + F.col("line_no") % 3, source, "project string, path string, line_no int, line string")
-    query = jobs.run_available(stream, jobs.stream_scan(table, b.PATTERNS), new_path(spark, "progress"))
-    return jobs.hits_of(spark, table, jobs.last_number(query))
+    """Lines of one file come in several batches, those of some files again, and the first ones in another version too."""
+    source, found = new_path(spark, "lines"), new_path(spark, "found")
+    come = F.array(*(F.struct(F.lit(v).alias("version"), F.lit(later).alias("later")) for v, later in (("1", 0), ("1", 3), ("2", 2))))
+    lines = b.lines(spark, sf_dir).withColumn("come", F.explode(F.filter(come, lambda x: (x["later"] == 0) | (F.col("line_no") <= 3))))
+    stream = _waves(spark, lines.select("project", "path", "come.version", "line_no", "line", "come.later"), F.col("later") + F.col("line_no") % 3, source, LINES)
+    jobs.run_available(jobs.scan_stream(stream, b.PATTERNS), found, new_path(spark, "progress"))
+    return jobs.hits_of(spark, found)
 
 
 @book.query("stream_transitions", f"WITH {b.TRANSITIONS_SQL} SELECT user_id AS project, part, label, op FROM tr")
 def stream_transitions(spark, sf_dir):
-    """Slices arrive in three waves, each of which must be one batch, as a slice comes whole: so a wave is one trigger of the files in its folder."""
-    state, changes, progress = new_path(spark, "last"), new_path(spark, "changes"), new_path(spark, "progress")
-    source = new_path(spark, "slices")
+    """Slices come in four waves: some labels of a slice one wave after the others. A row without a project, of a later time, closes the last ones."""
+    state, changes, progress, source = (new_path(spark, x) for x in ("last", "changes", "progress", "slices"))
+    schema = "project long, part long, label string, ts timestamp"
     hist = b.history(spark, sf_dir).select(F.col("user_id").alias("project"), F.col("part").cast("long").alias("part"), "label")
-    wave = F.when(F.col("part") < 5, 0).when(F.col("part") < 10, 1).otherwise(2)
-    rows = written(hist.withColumn("wave", wave), "history")
-    sink = jobs.stream_transitions(state, changes)
-    for k in range(3):  # the feed's producer: a wave, and the stream takes it in before the next one comes
-        rows.where(F.col("wave") == k).drop("wave").write.mode("append").parquet(source)
-        jobs.run_available(spark.readStream.schema(jobs.STATE).parquet(source), sink, progress)
-    return spark.read.parquet(changes).select("project", "part", "label", "op")
+    rows = written(hist.withColumn("ts", F.timestamp_seconds(F.col("part") * 86400)).withColumn("third", F.expr("least((part - 1) div 5, 2)")).withColumn("wave", F.expr("third + pmod(xxhash64(label), 2)")), "history")
+    sink = jobs.stream_transitions(state, changes, fan=4)
+    query = None
+    for k in range(4):  # the feed's producer: a wave, and the stream takes it in before the next one comes
+        wave = rows.where(F.col("wave") == k).select("project", "part", "label", "ts")
+        if k == 3:
+            wave = wave.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("project"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("string").alias("label"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("ts")))
+        wave.write.mode("append").parquet(source)
+        query = jobs.run_available(jobs.closed_slices(spark.readStream.schema(schema).parquet(source), "10 days"), sink, progress)
+    return jobs.transitions_of(spark, changes, jobs.last_number(query))
 
 
 @book.query("stream_usage", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type AS label, count(*) AS n FROM events GROUP BY ALL")
@@ -224,8 +230,9 @@ def stream_usage(spark, sf_dir):
     source, table = new_path(spark, "events"), new_path(spark, "usage")
     rows = b.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     usage = jobs.stream_usage(_waves(spark, rows, F.col("ts").cast("long") % 3, source, "ts timestamp, event_type string"), "ts", "event_type", late="400 days")
-    query = jobs.run_available(usage, jobs.versions(table, usage.schema, lambda _, batch: batch), new_path(spark, "progress"), "update")
-    counted = jobs.read_versions(spark, table, jobs.last_number(query), usage.schema).groupBy("window_start", "label").agg(F.max("n").alias("n"))
+    most = lambda x: x.groupBy("window_start", "label").agg(F.max("n").alias("n"))
+    query = jobs.run_available(usage, runs.sink(table, usage.schema, lambda _, batch: batch, most), new_path(spark, "progress"), "update")
+    counted = most(runs.read_runs(spark, table, jobs.last_number(query) + 1, usage.schema))
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -33,6 +33,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: for what is read more than once, instead of a cache that someone must release."""
     path = new_path(df.sparkSession, name)

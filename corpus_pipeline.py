@@ -24,45 +24,65 @@ from techtrail.sources.shared import remove_path
 ORACLE_SQL = None
 
 
-def _recount(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """n_chars of the present text, where there is such a column."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*(f"`{x}`" for x in columns))
+#: Documents' other columns while a stage is at work: in one column, so that no name of theirs meets one of the stage's.
+BOX = "other columns of document"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns in one."""
+    others = [F.col(_quoted(x)).alias(x) for x in docs.columns if x not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias(BOX))
+
+
+def _opened(boxed: DataFrame, docs: DataFrame, recount: bool = False) -> DataFrame:
+    """The columns of docs again; recount: n_chars, where there is such a column, of the present text."""
+    made = []
+    for field in docs.schema.fields:
+        column = F.col(field.name) if field.name in ("doc_id", "text") else F.col(BOX).getField(field.name)
+        if recount and field.name == "n_chars":
+            column = F.length("text").cast(field.dataType)
+        made.append(column.alias(field.name))
+    return boxed.select(*made)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.5."""
-    _, model, lexicon = toxicity.score_all(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = model.score(toxicity.with_features(docs, lexicon), out="toxicity score")
-    return scored.where(F.col("`toxicity score`") < 0.5).select(*(f"`{x}`" for x in docs.columns))
+    boxed = _boxed(docs)
+    _, model, lexicon = toxicity.score_all(boxed, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = model.score(toxicity.with_features(boxed, lexicon), out="toxicity score")
+    return _opened(scored.where(F.col("`toxicity score`") < 0.5), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of smallest doc_id, once if its row is repeated. Null ids name no document and stay."""
-    found = simhash.near_duplicates(docs)
+    boxed = _boxed(docs)
+    found = simhash.near_duplicates(boxed)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("other id"), F.col("digest").alias("other digest")).distinct()
-    kept = docs.join(gone, (docs["doc_id"] == gone["other id"]) & (F.xxhash64(docs["text"]) == gone["other digest"]), "left_anti")
+    kept = boxed.join(gone, (boxed["doc_id"] == gone["other id"]) & (F.xxhash64(boxed["text"]) == gone["other digest"]), "left_anti")
     again = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("other id")))
     if again.isEmpty():  # the usual case: ids are unique, and no row is moved to find out
-        return kept
+        return _opened(kept, docs)
     one = kept.join(again, kept["doc_id"] == again["other id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, kept["doc_id"] == again["other id"], "left_anti").unionByName(one)
+    return _opened(kept.join(again, kept["doc_id"] == again["other id"], "left_anti").unionByName(one), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the sentences of spans that another document has already."""
-    return _recount(sentence_spans.remove_repeats(docs), docs.columns)
+    return _opened(sentence_spans.remove_repeats(_boxed(docs)), docs, recount=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a mark in place of each secret."""
-    return _recount(secrets.redact(docs, secrets.identifier_dictionary(docs)), docs.columns)
+    return _opened(secrets.redact(_boxed(docs), secrets.identifier_dictionary(docs)), docs, recount=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece's sequence and place."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [

@@ -198,8 +198,9 @@ def parse(html: str) -> Node:
         if tag in CLOSED_BY and (node := here.open.get(CLOSED_BY[tag])):
             here = closed(node)
         if tag in RAW:
-            close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = close.end() if close else end
+            close = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
+            at = html.find(">", close.end()) + 1 if close else 0
+            at = at or end  # no end tag, or one that does not end: neither do those after it
             continue
         node = Node(tag, here, attributes)
         here.children.append(node)

@@ -167,7 +167,7 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> dict[bytes, float]:
             yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
 
     teaching = F.broadcast(known.where("part < 5").select("labelled_id", "label"))  # at most TRAINING_ROWS rows
-    texts = documents.join(teaching, documents["doc_id"] == teaching["labelled_id"]).select(documents["text"], "label")
+    texts = documents.join(teaching, documents["doc_id"] == teaching["labelled_id"]).select(documents["text"], teaching["label"])
     total = {r["label"]: r["count"] for r in known.where("part < 5").groupBy("label").count().collect()}
     odds = F.log((F.col("toxic") + 0.5) / (total.get(1.0, 0) + 1)) - F.log((F.col("clean") + 0.5) / (total.get(0.0, 0) + 1))
     counted = texts.mapInArrow(count, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

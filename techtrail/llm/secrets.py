@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and novelty under a primed compressor.
 
 Patterns give the base spans. The method adds more: near a word such as "secret" or
-"credential", each long string of letters, digits and + / _ = - is a candidate. Its novelty is the number of bytes that it adds
+"credential", each string of letters, digits and + / _ = - of CANDIDATE characters or more is a candidate, or of ALIKE if it is of letters alone or digits alone, as names and numbers are. Near is as far as NEAR code points, and on as long as
+strings of BLOCK characters or more follow one another, as in a key of many lines. A private key between its BEGIN and END lines is one candidate. Its novelty is the number of bytes that it adds
 to what zstandard makes of the text around it (without the candidates in it, which may be copies), where the compressor is primed with a
 dictionary of code words and of the identifiers that stand in such surroundings anywhere in the corpus. Names and paths add few bytes;
 strings of at least ``novel`` added bytes a character are reported.
@@ -34,13 +35,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|AKIA", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization|AKIA", re.IGNORECASE | re.ASCII)
 STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
 STRING_END = re.compile(r"[A-Za-z0-9+/_=-]*\Z")
-#: Characters of a candidate at least.
-CANDIDATE = 16
+#: Characters of a candidate at least: of one with letters and digits, of letters alone or digits alone, and of one that goes on with the string before it.
+CANDIDATE, ALIKE, BLOCK = 12, 24, 32
+# The lines around a private key, and what may stand between the strings of one value.
+PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+BETWEEN = re.compile(r"""[\s"'\\,+]{1,64}""")
 IDENTIFIER = re.compile(r"[A-Za-z_]{3,32}")
-#: Code points on either side of a sensitive word where candidates are sought, and around a candidate that are compressed with it.
+#: Code points on either side of a sensitive word where candidates are sought at least, and around a candidate that are compressed with it.
 NEAR = 96
 #: Bytes a character that a reported string adds at least, and the identifiers in the dictionary.
 NOVEL, IDENTIFIERS = 0.6, 2000
@@ -53,8 +58,19 @@ api_key apikey private_key public_key BEGIN END RSA PRIVATE KEY environment vari
 database host port connection url endpoint region bucket""".split()
 
 
+def _continued(text: str, end: int) -> int:
+    """Where the strings that follow one another from end on come to their end: long ones, with blanks, quotes and the like between them."""
+    at = STRING.match(text, end)
+    end = at.end() if at and end and STRING.match(text, end - 1) else end  # the string that the window cuts
+    if not (end and STRING.match(text, end - 1)):
+        return end
+    while (gap := BETWEEN.match(text, end)) and (more := STRING.match(text, gap.end())) and more.end() - more.start() >= BLOCK:
+        end = more.end()
+    return end
+
+
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches near sensitive words, merged where they overlap, and widened to whole strings of candidates' characters."""
+    """Stretches near sensitive words, merged where they overlap, and on to the end of the strings that follow one another at their end."""
     begin = end = -1
     for m in SENSITIVE.finditer(text):
         a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
@@ -62,14 +78,38 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
             if end >= 0:
                 yield begin, end
             begin = a
-        end = b
+        if b > end:
+            end = _continued(text, b)
     if end >= 0:
         yield begin, end
 
 
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """(begin, end) of private keys, from their BEGIN to their END line; one that has no END, or another BEGIN before it, ends with the strings that follow one another."""
+    found: list[tuple[int, int]] = []
+    begins, ends = [m.span() for m in PEM_BEGIN.finditer(text)], [m.span() for m in PEM_END.finditer(text)]
+    k = 0
+    for i, (a, b) in enumerate(begins):
+        while k < len(ends) and ends[k][0] < b:
+            k += 1
+        limit = begins[i + 1][0] if i + 1 < len(begins) else len(text)
+        if k < len(ends) and ends[k][0] < limit:
+            found.append((a, ends[k][1]))
+        elif (gap := BETWEEN.match(text, b)) and (more := STRING.match(text, gap.end())) and more.end() - more.start() >= BLOCK:
+            found.append((a, min(limit, _continued(text, more.end()))))
+    return found
+
+
+def is_candidate(found: str) -> bool:
+    if len(found) < CANDIDATE:
+        return False
+    return len(found) >= ALIKE or bool(re.search("[0-9]", found) and re.search("[A-Za-z]", found))
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Whole strings that begin or end near a sensitive word and have both letters and digits."""
-    done = 0
+    """Private keys, and whole strings outside them that begin or end near a sensitive word and are long enough."""
+    keys = private_keys(text) if "PRIVATE KEY" in text else []
+    k = done = 0
     for begin, end in windows(text):
         begin, size = max(begin, done), 64
         while begin > done and STRING.match(text, begin - 1):  # the string that the window cuts begins before it
@@ -79,9 +119,17 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             a, begin = m.start(), m.end()
             if begin == end:
                 begin = STRING.match(text, a).end()
+            while k < len(keys) and keys[k][0] <= a:
+                yield keys[k]
+                done = keys[k][1]
+                k += 1
+            if a < done:
+                begin = max(begin, done)
+                continue
             done = begin
-            if begin - a >= CANDIDATE and re.search("[0-9]", found := text[a:begin]) and re.search("[A-Za-z]", found):
+            if is_candidate(text[a:begin]):
                 yield a, begin
+    yield from keys[k:]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -1,6 +1,7 @@
 """Each stage against a plain version of what it decides."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from techtrail.llm import sentence_spans, simhash
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,3 +74,36 @@ def test_run_takes_every_stage_in_order(spark):
     for r in packed:
         sums[r["sequence_id"]] = sums.get(r["sequence_id"], 0) + r["length"]
     assert max(sums.values()) <= 2048
+
+
+def names_in_use():
+    """Every text in the subpackage's source that could be a column's name."""
+    import ast
+    from pathlib import Path
+
+    import techtrail.llm
+
+    files = [*Path(techtrail.llm.__file__).parent.glob("*.py"), Path(corpus_pipeline.__file__)]
+    found = {x.value for f in files for x in ast.walk(ast.parse(f.read_text())) if isinstance(x, ast.Constant) and isinstance(x.value, str)}
+    short = {x.strip("`") for x in found if 0 < len(x) <= 40 and "\n" not in x and "`" not in x.strip("`")}
+    lower = {}
+    for x in sorted(short - {"doc_id", "text", "n_chars"}):
+        lower.setdefault(x.lower(), x)
+    return sorted(v for k, v in lower.items() if k not in ("doc_id", "text", "n_chars", "lang", "source"))
+
+
+def test_other_columns_keep_their_values_in_every_stage(spark, tmp_path):
+    names = names_in_use()
+    assert {"label", "sentences", "repeated spans", "toxicity features", "other id", "component", "key", "secret_spans", corpus_pipeline.BOX} <= set(names)
+    rows = [(i, words(i, 40) + (" scum moron scum" if i % 3 == 0 else ""), "en", "s", i) for i in range(60)]
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, COLUMNS)
+    docs = docs.select("*", *(F.concat(F.lit(f"{x} "), F.col("doc_id").cast("string")).alias(x) for x in names))
+    for name, run in corpus_pipeline.STAGES:
+        made = run(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert {r["doc_id"] for r in made.select("doc_id").collect()} == set(range(60))
+            continue
+        assert made.columns == docs.columns
+        kept = made.collect()
+        assert kept and all(r[x] == f"{x} {r['doc_id']}" for r in kept for x in names)

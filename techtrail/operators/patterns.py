@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.sources.shared import written
 
 
 def prefixspan(sequences: DataFrame, min_support: float, max_length: int) -> DataFrame:
@@ -43,6 +44,31 @@ def pattern_sids(patterns: DataFrame, sequences: DataFrame, project: str) -> Dat
     return items.join(dealt, ["item", "salt"]).select(project, F.explode(own).alias("p")).select("p.pattern", "p.freq", project)
 
 
+def mine_lists(hist: DataFrame, min_support: float, max_length: int, project: str = "user_id") -> DataFrame:
+    """pattern (text), freq, project: the patterns of up to max_length items that enough projects have in their slices (project, part, label), with each project that has them.
+
+    Each pattern has a list of the places (project, part) where its last itemset can stand. A level joins these lists with the labels: a label of a later part than the pattern's first place makes a new itemset, a
+    label of the same part that comes after the last one, by name, goes into the last itemset. So mining gives the projects, and no history is matched against patterns. The lists of each level are written when this is called.
+    """
+    places = written(hist.select(project, "part", "label").distinct(), "places")
+    least = F.ceil(F.countDistinct(project) * F.lit(min_support) - 1e-9)
+    least = places.agg(least.alias("least")).first()["least"]
+    lists, found = places.select(F.col("label").alias("pattern"), F.col("label").alias("last"), project, "part"), None
+    for length in range(1, max_length + 1):
+        every = written(lists, "lists")
+        firsts = every.groupBy("pattern", "last", project).agg(F.min("part").alias("first"))
+        frequent = written(firsts.groupBy("pattern").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), "frequent")
+        kept = firsts.join(frequent, "pattern")
+        own = kept.select("pattern", "freq", project)
+        found = own if found is None else found.unionByName(own)
+        if length == 1:
+            places = written(places.join(frequent.select(F.col("pattern").alias("label")), "label", "left_semi"), "places")
+        later = kept.join(places, project).where("part > first").select(F.concat("pattern", F.lit("|"), "label").alias("pattern"), F.col("label").alias("last"), project, "part")
+        beside = every.join(frequent, "pattern", "left_semi").join(places, [project, "part"]).where(F.col("label") > F.col("last"))
+        lists = later.unionByName(beside.select(F.concat("pattern", F.lit(" "), "label").alias("pattern"), F.col("label").alias("last"), project, "part"))
+    return found
+
+
 def life(trans: DataFrame, project: str = "user_id") -> DataFrame:
     """For each project and label: n_in (INIT counts), n_out, first and last part present, n_parts, in_last."""
     present = F.when(F.col("op") != "OUT", F.col("part"))
@@ -185,6 +211,14 @@ def balance(counts: DataFrame) -> DataFrame:
     return wide.withColumn("still", still).withColumn("still_share", still / F.col("adoption")).withColumn("removed_share", F.col("removals") / F.col("adoption"))
 
 
+def drop_variables(found: DataFrame, columns: list[str]) -> DataFrame:
+    """found without the pattern's own rows: those in which a label is still X or Y, the variables of patterns."""
+    kept = F.lit(True)
+    for c in columns:
+        kept = kept & ~F.coalesce(F.col(c).isin("X", "Y"), F.lit(False))
+    return found.where(kept)
+
+
 def support_buckets(subst: DataFrame) -> DataFrame:
     """line_count, patterns, exactly_two, over_two, three_to_ten, max_x: for each count the number of patterns, and what holds for it."""
     n = F.col("line_count")

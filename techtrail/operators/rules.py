@@ -25,19 +25,47 @@ def itemsets(transactions: DataFrame, support: float) -> DataFrame:
     return found.select(F.sort_array("items").alias("items"), "freq")
 
 
-def rules(transactions: DataFrame, support: float, metric: str = "lift", least: float = 1.0) -> DataFrame:
-    """antecedent, consequent (both sorted), freq, supports, confidence and lift, from the frequent itemsets.
+def pair_itemsets(transactions: DataFrame, support: float) -> DataFrame:
+    """items (sorted), freq of itemsets of one and two items alone, counted; each basket gives the pairs of its frequent items.
 
-    Each way to part an itemset of two or more items gives a rule; supports come from the itemsets themselves, by two joins. The itemsets are mined
-    and written when this is called.
+    Frequent items, of which there are at most a basket's mean size by the support, are one row.
     """
-    n = transactions.agg(F.count("*").alias("n"))
-    sets = written(itemsets(transactions, support), "itemsets")
-    sides = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("items")) - 2)
-    split = sets.where(F.size("items") > 1).select("items", "freq", F.explode(sides).alias("side"))
-    split = split.select("freq", F.expr("filter(items, (x, i) -> shiftright(side, i) % 2 = 1)").alias("antecedent"), F.expr("filter(items, (x, i) -> shiftright(side, i) % 2 = 0)").alias("consequent"))
-    with_a = split.join(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa")), "antecedent")
-    made = with_a.join(sets.select(F.col("items").alias("consequent"), F.col("freq").alias("fc")), "consequent").crossJoin(F.broadcast(n))  # n is one row
+    baskets_of = transactions.select(F.array_distinct("items").alias("items"))
+    least = baskets_of.agg(F.ceil(F.count("*") * F.lit(support) - 1e-9).alias("least"))
+    single = baskets_of.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("freq")).crossJoin(F.broadcast(least)).where("freq >= least").select("item", "freq", "least")  # one row
+    single = written(single, "items")
+    known = single.agg(F.collect_list("item").alias("known"), F.max("least").alias("least"))
+    kept = baskets_of.crossJoin(F.broadcast(known)).select(F.sort_array(F.array_intersect("items", "known")).alias("items"))
+    pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.array(x, y))))
+    double = kept.where(F.size("items") > 1).select(F.explode(pairs).alias("items")).groupBy("items").agg(F.count("*").alias("freq"))
+    double = double.crossJoin(F.broadcast(known.select("least"))).where("freq >= least").select("items", "freq")
+    return single.select(F.array("item").alias("items"), "freq").unionByName(double)
+
+
+def _confident(candidates: DataFrame, sets: DataFrame, confidence: float) -> DataFrame:
+    """items, freq, antecedent, consequent, fa of the candidates (items, freq, consequent) that hold with the confidence."""
+    parted = candidates.withColumn("antecedent", F.array_except("items", "consequent"))
+    known = parted.join(sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa")), "antecedent")
+    return known.where(F.col("freq") >= F.lit(confidence) * F.col("fa")).select("items", "freq", "antecedent", "consequent", "fa")
+
+
+def rules_of(sets: DataFrame, n: DataFrame, metric: str = "lift", least: float = 1.0, consequents: int | None = None) -> DataFrame:
+    """antecedent, consequent (both sorted), freq, supports, confidence and lift of rules over itemsets (items, freq: each with all its subsets that rules may ask for), n: one row, the number of baskets.
+
+    Consequents grow level by level: two of an itemset that differ in their last item alone give one of the next level, if both have held. Where the metric is confidence, those that fail it are not grown, as no larger
+    consequent of the set can reach it; by another metric all hold. consequents: the largest size of one. sets must be a table; levels are written when this is called.
+    """
+    confidence = least if metric == "confidence" else 0.0
+    wide = sets.where(F.size("items") > 1)
+    held = written(_confident(wide.select("items", "freq", F.explode(F.transform("items", lambda x: F.array(x))).alias("consequent")), sets, confidence), "rules")
+    largest, size, every = wide.agg(F.max(F.size("items"))).first()[0] or 0, 1, held
+    while size < min(largest - 1, consequents or largest):
+        ends = held.where(F.size("items") > size + 1).select("items", "freq", F.slice("consequent", 1, size - 1).alias("begin"), F.element_at("consequent", -1).alias("last"))
+        other = ends.select("items", "begin", F.col("last").alias("next"))
+        grown = ends.join(other, ["items", "begin"]).where(F.col("last") < F.col("next")).select("items", "freq", F.concat("begin", F.array("last", "next")).alias("consequent"))
+        held, size = written(_confident(grown, sets, confidence), "rules"), size + 1
+        every = every.unionByName(held)
+    made = every.join(sets.select(F.col("items").alias("consequent"), F.col("freq").alias("fc")), "consequent").crossJoin(F.broadcast(n))  # n is one row
     measured = made.select(
         "antecedent",
         "consequent",
@@ -51,6 +79,15 @@ def rules(transactions: DataFrame, support: float, metric: str = "lift", least:
     return measured.where(F.col(metric) >= least)
 
 
+def rules(transactions: DataFrame, support: float, metric: str = "lift", least: float = 1.0, longest: int | None = None) -> DataFrame:
+    """Rules (as in rules_of) over the frequent itemsets of transactions; longest=2: over those of one and two items, which are counted without mining any others. Itemsets are found and written when this is called."""
+    n = transactions.agg(F.count("*").alias("n"))
+    sets = pair_itemsets(transactions, support) if longest == 2 else itemsets(transactions, support)
+    if longest not in (None, 2):
+        sets = sets.where(F.size("items") <= longest)
+    return rules_of(written(sets, "itemsets"), n, metric, least)
+
+
 def pair_rules(found: DataFrame) -> DataFrame:
     """Rules of one item on either side: a, c and their measures."""
     return found.where((F.size("antecedent") == 1) & (F.size("consequent") == 1)).select(F.col("antecedent")[0].alias("a"), F.col("consequent")[0].alias("c"), *[x for x in found.columns if x not in ("antecedent", "consequent")])

@@ -172,32 +172,31 @@ def decode_sids(spark, sf_dir):
     return sequences.decode_lines(rows, index, "user_id")
 
 
-@book.query(
-    "prefixspan",
-    f"""WITH {b.HISTORY_SQL}, one AS (SELECT label AS pattern, count(DISTINCT user_id) AS freq FROM hist GROUP BY label),
-    together AS (SELECT p.label || ' ' || q.label AS pattern, count(DISTINCT p.user_id) AS freq FROM hist p JOIN hist q ON p.user_id = q.user_id AND p.part = q.part AND p.label < q.label GROUP BY ALL),
-    later AS (SELECT p.label || '|' || q.label AS pattern, count(DISTINCT p.user_id) AS freq FROM (SELECT user_id, label, min(part) AS part FROM hist GROUP BY ALL) p JOIN hist q ON p.user_id = q.user_id AND p.part < q.part GROUP BY ALL)
-    SELECT pattern, freq FROM (SELECT * FROM one UNION ALL SELECT * FROM together UNION ALL SELECT * FROM later) WHERE freq >= ceil(0.01 * (SELECT count(DISTINCT user_id) FROM hist))""",
-)
+def _patterns_sql(longest):
+    """found (user_id, pattern): the patterns of so many items that a user has, by joins of the sets of each slice."""
+    names = [f"s{i}" for i in range(1, longest + 1)]
+    sets = " UNION ALL ".join(
+        f"SELECT s1.user_id, s1.part, {" || ' ' || ".join(f'{x}.label' for x in names[:k])} AS items, {k} AS n FROM hist s1 " + " ".join(f"JOIN hist {y} ON {y}.user_id = s1.user_id AND {y}.part = s1.part AND {x}.label < {y}.label" for x, y in zip(names[: k - 1], names[1:k])) for k in range(1, longest + 1)
+    )
+    made = [f"sets AS MATERIALIZED ({sets})", "c1 AS (SELECT user_id, items AS pattern, n, min(part) AS part FROM sets GROUP BY ALL)"]
+    for k in range(2, longest + 1):
+        made.append(f"c{k} AS (SELECT l.user_id, l.pattern || '|' || e.items AS pattern, l.n + e.n AS n, min(e.part) AS part FROM c{k - 1} l JOIN sets e ON l.user_id = e.user_id AND e.part > l.part AND l.n + e.n <= {longest} GROUP BY ALL)")
+    made.append("found AS (" + " UNION ALL ".join(f"SELECT user_id, pattern FROM c{k}" for k in range(1, longest + 1)) + ")")
+    return ", ".join(made)
+
+
+ONE_IN_A_HUNDRED = "ceil(0.01 * (SELECT count(DISTINCT user_id) FROM hist))"
+
+
+@book.query("prefixspan", f"WITH {b.HISTORY_SQL}, {_patterns_sql(4)} SELECT pattern, count(*) AS freq FROM found GROUP BY pattern HAVING count(*) >= {ONE_IN_A_HUNDRED}")
 def prefixspan(spark, sf_dir):
-    found = patterns.prefixspan(sequences.named_sequences(b.history(spark, sf_dir)), 0.01, 2)
+    found = patterns.prefixspan(sequences.named_sequences(b.history(spark, sf_dir)), 0.01, 4)
     return found.select(patterns.pattern_text(F.col("sequence")).alias("pattern"), "freq")
 
 
-@book.query(
-    "prefixspan_sids",
-    f"""WITH {b.HISTORY_SQL}, sets AS (SELECT user_id, part, label AS items, 1 AS n FROM hist
-        UNION ALL SELECT p.user_id, p.part, p.label || ' ' || q.label, 2 FROM hist p JOIN hist q USING (user_id, part) WHERE p.label < q.label
-        UNION ALL SELECT p.user_id, p.part, p.label || ' ' || q.label || ' ' || r.label, 3 FROM hist p JOIN hist q USING (user_id, part) JOIN hist r USING (user_id, part) WHERE p.label < q.label AND q.label < r.label),
-    one AS (SELECT user_id, items AS pattern, n, min(part) AS part FROM sets GROUP BY ALL),
-    two AS (SELECT l.user_id, l.pattern || '|' || e.items AS pattern, l.n + e.n AS n, min(e.part) AS part FROM one l JOIN sets e ON l.user_id = e.user_id AND e.part > l.part AND l.n + e.n <= 3 GROUP BY ALL),
-    three AS (SELECT l.user_id, l.pattern || '|' || e.items AS pattern, l.n + e.n AS n, min(e.part) AS part FROM two l JOIN sets e ON l.user_id = e.user_id AND e.part > l.part AND l.n + e.n <= 3 GROUP BY ALL),
-    found AS (SELECT user_id, pattern FROM one UNION ALL SELECT user_id, pattern FROM two UNION ALL SELECT user_id, pattern FROM three)
-    SELECT pattern, count(*) OVER (PARTITION BY pattern) AS freq, user_id FROM found QUALIFY freq >= ceil(0.5 * (SELECT count(DISTINCT user_id) FROM hist))""",
-)
+@book.query("prefixspan_sids", f"WITH {b.HISTORY_SQL}, {_patterns_sql(3)} SELECT pattern, count(*) OVER (PARTITION BY pattern) AS freq, user_id FROM found QUALIFY freq >= {ONE_IN_A_HUNDRED}")
 def prefixspan_sids(spark, sf_dir):
-    of = sequences.named_sequences(b.history(spark, sf_dir))
-    return patterns.pattern_sids(patterns.prefixspan(of, 0.5, 3), of, "user_id")
+    return patterns.mine_lists(b.history(spark, sf_dir), 0.01, 3)
 
 
 LIFE_SQL = f"""{b.TRANSITIONS_SQL}, life AS (SELECT user_id, label, count(*) FILTER (op IN ('INIT', 'IN')) AS n_in, count(*) FILTER (op = 'OUT') AS n_out, max(part) FILTER (op <> 'OUT') = max(n_parts) AS in_last FROM tr GROUP BY user_id, label)"""
@@ -301,12 +300,11 @@ def patterns_in_project(spark, sf_dir):
     return cases(spark, sf_dir).where("x = 'click' and user_id = 7").select("pattern", "x", "y")
 
 
-@book.query("drop_meta_rules", f"WITH {CASES_SQL} SELECT pattern, x, y, line_count FROM subst")
+@book.query("drop_meta_rules", "SELECT label, count(DISTINCT user_id) AS projects FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 'X' ELSE event_type END AS label FROM events) WHERE label NOT IN ('X', 'Y') GROUP BY label")
 def drop_meta_rules(spark, sf_dir):
-    """The variable pattern's own row, in which labels are still X and Y, goes."""
-    found = substitution(spark, sf_dir).select("pattern", "x", "y", "line_count")
-    meta = found.groupBy("pattern").agg(F.lit("X").alias("x"), F.lit("Y").alias("y"), F.max("line_count").alias("line_count"))
-    return found.unionByName(meta).where("not (x = 'X' and y = 'Y')")
+    """In these histories one event type is named like a variable, so rows about it are rows of the pattern itself."""
+    named = events(spark, sf_dir).select("user_id", F.when(F.col("event_type") == "error", "X").otherwise(F.col("event_type")).alias("label"))
+    return patterns.drop_variables(named.groupBy("label").agg(F.countDistinct("user_id").alias("projects")), ["label"])
 
 
 @book.query("parse_bindings", f"WITH {CASES_SQL} SELECT pattern, x, y, count(*) AS n_lines, min(user_id) AS first_line, max(user_id) AS last_line FROM cases GROUP BY pattern, x, y, user_id // {b.BLOCK}")

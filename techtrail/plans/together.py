@@ -24,7 +24,7 @@ def orders_baskets(spark, sf_dir):
 
 
 def pairs(spark, sf_dir, least=0.0):
-    return rules.pair_rules(rules.rules(orders_baskets(spark, sf_dir), SUPPORT, "lift", least))
+    return rules.pair_rules(rules.rules(orders_baskets(spark, sf_dir), SUPPORT, "lift", least, longest=2))
 
 
 #: All itemsets, as bits of the items in their order: each basket is compared with each set.
@@ -52,6 +52,17 @@ def association_rules(spark, sf_dir):
     return found.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "freq", *(F.round(x, 9).alias(x) for x in PAIR[3:]))
 
 
+@book.query(
+    "confident_rules",
+    f"""WITH {SETS_SQL} SELECT a.items AS antecedent, c.items AS consequent, w.freq, round(w.freq / a.freq, 9) AS confidence
+        FROM named w JOIN named a ON a.bits & w.bits = a.bits AND a.bits <> w.bits JOIN named c ON c.bits = w.bits - a.bits WHERE w.freq / a.freq >= 0.45""",
+)
+def confident_rules(spark, sf_dir):
+    """Rules by confidence, whose consequents grow only where they hold."""
+    found = rules.rules(orders_baskets(spark, sf_dir), SUPPORT, "confidence", 0.45)
+    return found.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), "freq", F.round("confidence", 9).alias("confidence"))
+
+
 @book.query("pair_rules", f"WITH {RULES_SQL} SELECT a, c, freq, round(antecedent_support, 9) AS antecedent_support, round(consequent_support, 9) AS consequent_support, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM pairs")
 def pair_rules(spark, sf_dir):
     return pairs(spark, sf_dir).select("a", "c", "freq", *(F.round(x, 9).alias(x) for x in PAIR[3:]))
@@ -64,7 +75,7 @@ def rules_single_consequent(spark, sf_dir):
 
 @book.query("rules_thresholds", f"WITH {RULES_SQL} SELECT a, c, freq FROM pairs WHERE support >= 0.03 AND confidence >= 0.2 AND lift >= 0.98")
 def rules_thresholds(spark, sf_dir):
-    found = rules.rules(orders_baskets(spark, sf_dir), 0.03, "lift", 0.98).where("confidence >= 0.2")
+    found = rules.rules(orders_baskets(spark, sf_dir), 0.03, "lift", 0.98, longest=2).where("confidence >= 0.2")
     return rules.pair_rules(found).select("a", "c", "freq")
 
 

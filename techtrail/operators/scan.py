@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from techtrail.operators.bloom import that_may_meet
 from techtrail.operators.literals import holds_for_texts, required
 from techtrail.operators.ordering import carry_last, number_within
 
@@ -212,25 +213,6 @@ def class_pattern(path: Column) -> Column:
 APART = r"[\s.,(]"
 
 
-def bloom_filter(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """One row, words: a Bloom filter of so many bits (a power of two, 64 at least), two to a key, as an array of 64-bit numbers."""
-    hashed = F.xxhash64(key)
-    places = F.array(F.pmod(hashed, F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits)))
-    set_bits = keys.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))).alias("word"))
-    every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "at").join(set_bits, "at", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda x: x["word"]).alias("words"))
-
-
-def may_contain(words: Column, key: Column, bits: int) -> Column:
-    """Whether a key may be in the filter; those that are always may."""
-    bit = lambda h: F.call_function("shiftright", F.get(words, F.shiftright(F.pmod(h, F.lit(bits)), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return bit(F.xxhash64(key)) & bit(F.xxhash64(key, F.lit(1)))
-
-
-#: Bits of a Bloom filter for each key, and at most: 4 MB in memory. Beyond that more words pass, which the join drops.
-BITS, MOST_BITS = 16, 1 << 25
-
-
 def scan_scoped(lines: DataFrame, stems: DataFrame, project: str = "project") -> DataFrame:
     """project, path, line_no, stem: lines of a project that have one of its own files' stems (project, stem), as class_pattern finds it; once each.
 
@@ -239,14 +221,8 @@ def scan_scoped(lines: DataFrame, stems: DataFrame, project: str = "project") ->
     """
     stems = stems.select(project, "stem").where(F.col("stem") != "").distinct()
     plain, odd = stems.where(~F.col("stem").rlike(APART)), stems.where(F.col("stem").rlike(APART))
-    n = plain.count()
-    bits = 64
-    while bits < min(n * BITS, MOST_BITS):
-        bits *= 2
-    key = F.struct(F.col(project), F.col("stem"))
     words = lines.select(project, "path", "line_no", F.explode(F.array_distinct(F.split("line", APART + "+"))).alias("stem"))
-    known = F.broadcast(bloom_filter(plain, key, bits))  # one row of bits / 8 bytes
-    near = words.crossJoin(known).where(may_contain(F.col("words"), key, bits)).drop("words")
+    near = that_may_meet(words, plain, [project, "stem"])
     found = near.join(plain, [project, "stem"], "left_semi").select(project, "path", "line_no", "stem")
     if odd.isEmpty():
         return found

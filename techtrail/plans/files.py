@@ -26,7 +26,7 @@ def src_delimited(spark, sf_dir):
 
 
 def _rename(spark, path, name):
-    """Gives the files under a path, which are few, names made of their partitions' values."""
+    """Gives the files under a path, one for each pattern file of a scan, names made of their partitions' values."""
     jvm, folder = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = system.listFiles(folder, True)
@@ -89,7 +89,7 @@ def src_json_advisories(spark, sf_dir):
     )
     lists = rows.groupBy("block").agg(F.to_json(F.collect_list(F.struct("id", "published", "aliases", "database_specific"))).alias("value"))
     lists.withColumn("value", F.replace("value", F.lit("},{"), F.lit("},\n{"))).repartition("block").write.partitionBy("block").option("maxRecordsPerFile", 1).text(path)
-    found = r.read_advisories(spark, _rename(spark, path, lambda x: f"{int(x['block']) % 7}/{x['block']}.json"))
+    found = r.read_advisories(spark, path, "part-*")
     return found.select("id", F.col("published").cast("timestamp_ntz").alias("published"), F.col("aliases")[0].alias("alias"), "severity")
 
 

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from techtrail.operators import literals, scan
+from techtrail.operators import bloom, literals, scan
 
 
 @pytest.mark.parametrize(
@@ -84,8 +84,8 @@ def test_scoped_words(spark):
 
 def test_bloom_filter_lets_all_keys_pass_and_few_others(spark):
     keys, bits = spark.range(0, 4000).withColumn("k", F.col("id") * 7), 1 << 16
-    words = scan.bloom_filter(keys, F.col("k"), bits)
-    passed = spark.range(0, 40000).crossJoin(words).where(scan.may_contain(F.col("words"), F.col("id"), bits)).select("id")
+    words = bloom.bloom_filter(keys, F.col("k"), bits)
+    passed = spark.range(0, 40000).crossJoin(words).where(bloom.may_contain(F.col("words"), F.col("id"), bits)).select("id")
     ids = {r["id"] for r in passed.collect()}
     assert {7 * i for i in range(4000)} - ids == {x for x in range(28000, 0, 7)}
     assert len(ids) < 4000 + 2000

@@ -30,8 +30,8 @@ from techtrail.llm.common import small_batches, stash, text_or_empty
 
 #: Labelled rows that a model is fitted on at most, those of least hash. Of ten parts, five teach the lexicon, four the trees, one calibrates.
 TRAINING_ROWS = 40_000
-#: Terms of the learned lexicon at most, texts of label 1 that have each at least, and the least log odds.
-TERMS, TERM_TEXTS, TERM_ODDS = 4000, 3, 2.5
+#: Of a term of the learned lexicon: the texts of label 1 that have it at least, and its least log odds. TRAINING_ROWS bounds the lexicon.
+TERM_TEXTS, TERM_ODDS = 3, 2.5
 #: Bytes of a word's beginnings that can be terms.
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, STEP = 20, 4, 0.3
@@ -155,7 +155,7 @@ def labelled(labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
 
 
 def learn_lexicon(documents: DataFrame, known: DataFrame) -> dict[bytes, float]:
-    """Log odds of terms that are far more frequent in texts of label 1 (at most TERMS terms)."""
+    """Log odds of all terms that are far more frequent in texts of label 1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -171,8 +171,8 @@ def learn_lexicon(documents: DataFrame, known: DataFrame) -> dict[bytes, float]:
     total = {r["label"]: r["count"] for r in known.where("part < 5").groupBy("label").count().collect()}
     odds = F.log((F.col("toxic") + 0.5) / (total.get(1.0, 0) + 1)) - F.log((F.col("clean") + 0.5) / (total.get(0.0, 0) + 1))
     counted = texts.mapInArrow(count, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    best = counted.where(F.col("toxic") >= TERM_TEXTS).select("term", "toxic", odds.alias("odds")).where(F.col("odds") >= TERM_ODDS)
-    return {bytes(r["term"]): r["odds"] for r in best.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()}
+    best = counted.where(F.col("toxic") >= TERM_TEXTS).select("term", odds.alias("odds")).where(F.col("odds") >= TERM_ODDS)
+    return {bytes(r["term"]): r["odds"] for r in best.collect()}  # terms of at most TRAINING_ROWS texts
 
 
 class ToxicityModel:

@@ -8,8 +8,8 @@ A code length is 8 bits a byte, the escapes of all contexts that precede a byte,
 So a run's row names only the languages that have it, and all languages of the labels are learned, however many. Corrections are whole numbers of 1/65536 bit, so
 sums are exact.
 
-Bounds: a language's sample has at most ``TEXTS`` texts, and at most ``BYTES`` bytes beyond the first text of each bucket; its tree has at most ``RUNS`` runs, the
-most frequent. A run takes 14 bytes for each language that has it, and some 40 more in all; this table is what is broadcast.
+Bounds: the labelled rows that are learned from are at most ``TOTAL``, whatever the number of languages, and at most ``TEXTS`` of one language; languages share them alike, and if there are more languages than that, those with most texts are learned.
+All runs of these texts are kept. A run takes 14 bytes for each language that has it, and some 40 more in all; this table is what the driver gathers and broadcasts.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; ties go to the language that sorts first; without samples all are ``und``;
 repeated rows have equal results; an empty table gives an empty result; long texts are scored whole, in portions.
@@ -30,10 +30,8 @@ from techtrail.llm.common import small_batches, stash, text_or_empty
 
 #: Bytes before a byte at most (3: runs are numbers of 32 bits).
 ORDER = 3
-#: Sample texts for each language at most, those of least hash in each of so many buckets of ids, and their bytes beyond the first of each bucket.
-TEXTS, BUCKETS, BYTES = 448, 64, 1 << 21
-#: Runs of up to ORDER + 1 bytes that a language's tree has at most.
-RUNS = 100_000
+#: Sample texts for each language at most, those of least hash in each of so many buckets of ids, and of all languages.
+TEXTS, BUCKETS, TOTAL = 448, 64, 16_384
 UNIT = 65536
 #: Bytes that are scored at once.
 PORTION = 1 << 17
@@ -44,17 +42,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample_texts(documents: DataFrame, texts: int = TEXTS, size: int = BYTES) -> DataFrame:
-    """lang, text: sample texts of each language. Longer texts than a bucket's share of the bytes are taken only where a bucket has no others."""
+def sample_texts(documents: DataFrame, texts: int = TEXTS, total: int = TOTAL) -> DataFrame:
+    """lang, text: sample texts of each language, chosen by hash and id alone, so that no text is moved to choose it, and within buckets, so that no language is one task's work."""
     known = documents.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    # chosen by length, hash and id alone, so that no text is moved to choose it, and within buckets, so that no language is one task's work
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BUCKETS))
-    each = known.select("lang", "doc_id", bucket.alias("bucket"), F.octet_length("text").alias("bytes"))
-    order = Window.partitionBy("lang", "bucket").orderBy(F.col("bytes") > size // BUCKETS, F.xxhash64("doc_id"), "doc_id")
-    few = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts // BUCKETS)
-    sum_of = F.sum("bytes").over(Window.partitionBy("lang", "bucket").orderBy("place"))
-    chosen = few.withColumn("sum", sum_of).where((F.col("place") == 1) | (F.col("sum") <= size // BUCKETS))
-    chosen = stash(chosen.select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")).distinct())  # a small table, whose size Spark sees before it joins
+    learned = stash(known.groupBy(F.col("lang").alias("learned lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "learned lang").limit(total).select("learned lang"))
+    quota = max(1, min(texts, total // max(learned.count(), 1)))
+    buckets = min(BUCKETS, quota)
+    each = known.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)).alias("bucket"))
+    order = Window.partitionBy("lang", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota // buckets)
+    chosen = few.join(learned, few["lang"] == learned["learned lang"], "left_semi")
+    chosen = stash(chosen.select(F.col("doc_id").alias("chosen id"), F.col("lang").alias("chosen lang")).distinct())  # at most total rows; a table, whose size Spark sees before it joins
     return known.join(chosen, (known["doc_id"] == chosen["chosen id"]) & (known["lang"] == chosen["chosen lang"])).select(known["lang"], known["text"])
 
 
@@ -70,7 +68,7 @@ def runs_of(data: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
-def count_runs(samples: DataFrame, order: int = ORDER, most: int = RUNS) -> dict[str, Tree]:
+def count_runs(samples: DataFrame, order: int = ORDER) -> dict[str, Tree]:
     """For each language and size 1 to order + 1: the runs of bytes, as sorted numbers, and how often each occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,19 +83,17 @@ def count_runs(samples: DataFrame, order: int = ORDER, most: int = RUNS) -> dict
                     yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "run", "n"])
 
     counted = samples.mapInArrow(count, "lang string, size int, run long, n long").groupBy("lang", "size", "run").agg(F.sum("n").alias("n"))
-    # a run's beginning and its end are as frequent or more, and shorter, so with a run all its parts are kept
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "size", "run")
-    rows = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place").toArrow()  # most rows for each language
-    lang, size, run, n = (rows.column(x).combine_chunks() for x in ("lang", "size", "run", "n"))
-    names, lang, size = sorted(set(lang.unique().to_pylist())), lang.to_numpy(zero_copy_only=False), size.to_numpy()
-    run, n = run.to_numpy().astype(np.uint32), n.to_numpy()
+    rows = counted.toArrow()  # the runs of at most TOTAL texts
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    lang, size, run, n = coded.indices.to_numpy(), rows.column("size").to_numpy(), rows.column("run").to_numpy().astype(np.uint32), rows.column("n").to_numpy()
+    order_of = np.lexsort((run, size, lang))
+    lang, size, run, n = lang[order_of], size[order_of], run[order_of], n[order_of]
     trees: dict[str, Tree] = {}
-    for name in names:
-        trees[name] = []
-        for k in range(1, order + 2):
-            at = np.flatnonzero((lang == name) & (size == k))
-            at = at[np.argsort(run[at])]
-            trees[name].append((run[at], n[at]))
+    for k in sorted(range(len(names)), key=names.__getitem__):
+        low, high = np.searchsorted(lang, [k, k + 1])
+        ends = low + np.searchsorted(size[low:high], np.arange(1, order + 3))
+        trees[names[k]] = [(run[a:b], n[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return trees
 
 

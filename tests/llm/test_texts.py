@@ -201,19 +201,29 @@ def test_forty_languages(spark):
     assert all(r["lang_pred"] == r["lang"] for r in found)
 
 
-def test_samples_and_trees_are_bounded(spark):
-    rows = [(i, f"t{i} " * (5000 if i % 10 == 0 else 20), "a" if i % 3 else "b") for i in range(2000)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
-    size = 64 * 200
-    taken = language_ppm.sample_texts(frame, 448, size).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
-    assert len(taken) == 2 and all(64 <= r["n"] <= 448 and r["bytes"] <= 2 * size for r in taken)
-    trees = language_ppm.count_runs(language_ppm.sample_texts(frame), most=300)
-    assert all(sum(len(runs) for runs, _ in tree) == 300 for tree in trees.values())
-    texts = [x[1].encode() for x in rows[:50]]
-    assert (language_ppm.Tables(trees).costs(texts) > 0).all()
-    only_long = frame.where("doc_id % 10 = 0")
-    assert language_ppm.sample_texts(only_long, 448, size).count() > 0
-
+def test_the_sample_is_bounded_over_all_languages(spark):
+    rows = [(i, f"text {i} " * (1 + i % 5) * (400 if i % 97 == 0 else 1), f"l{i % 3}" if i % 4 else "rare" if i % 40 else None) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = lambda **more: {r["lang"]: r["count"] for r in language_ppm.sample_texts(frame, **more).groupBy("lang").count().collect()}
+    assert set(count()) == {"l0", "l1", "l2", "rare"} and all(380 < n <= 448 for n in count().values())
+    few = count(total=40)
+    assert set(few) == {"l0", "l1", "l2", "rare"} and all(0 < n <= 10 for n in few.values())
+    assert sum(count(total=2).values()) == 2 and "rare" not in count(total=2)  # those with most texts
+    longest = language_ppm.sample_texts(frame).agg(F.max(F.length("text"))).first()[0]
+    assert longest > 3000  # no text is left out for its length
+
+
+def test_two_thousand_languages(spark):
+    """A dirty column of languages: all are learned from what a bounded sample gives them, and take little memory."""
+    import pickle
+
+    rows = [(i, f"w{i % 2000 * 7919 % 9973} {chr(0x4E00 + i % 2000) * 6} x", f"lang{i % 2000:04d}") for i in range(24_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_ppm.sample_texts(frame).count() <= language_ppm.TOTAL
+    tables = language_ppm.learn(frame)
+    assert len(tables.value.languages) == 2000 and len(pickle.dumps(tables.value)) < 32 << 20
+    found = language_ppm.identify(frame.where("doc_id < 300"), tables).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in found) > 290
 
 def test_languages_of_odd_rows(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 8)]

@@ -69,6 +69,11 @@ LOW_WORDS = set(
 #: Those that count for a paragraph or a piece of one too.
 LOW_INLINE_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "cookie", "copyright", "notice", "promo", "related", "sponsored", "teaser"}
 READER_WORDS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+# What links and buttons under a reader's text say.
+ANSWERS = set("reply|respond|answer|report|flag|like|upvote|quote|react|répondre|signaler|citer|j'aime|responder|denunciar|citar|me gusta|antworten|melden|zitieren|gefällt mir".split("|"))
+DATE = re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d\d\b|\b\d+ ?(?:s|m|h|d|w|min|mins|sec|second|minute|hour|day|week|month|year)s? ago\b|\b(?:il y a|hace|vor) \d+|\b(?:19|20)\d\d\b|\b(?:yesterday|today|just now)\b", re.IGNORECASE)
+#: Siblings of one shape, each with a date and something to answer it by, that are readers' texts; and the characters of such a mark at most.
+THREAD, MARK = 3, 40
 GOOD_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "blog", "hentry"}
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -85,12 +90,13 @@ LEVELS = 10
 
 
 class Node:
-    __slots__ = tuple("tag parent children names role unseen open holds inside in_link home share weight strings own own_linked size linked mass points".split())
+    __slots__ = tuple("tag parent children names role unseen open holds inside in_link home share weight strings own own_linked size linked mass points marks reader".split())
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children, self.names, self.role, self.unseen = tag, parent, [], frozenset(), "", tag in UNSEEN
         self.open: dict[str, Node] = parent.open if parent else {}  # what a later start may close, by kind
         self.holds = 0  # 1 an article, 2 a main element
+        self.marks, self.reader = 0, False  # 1 something to answer by, 2 a date; one of several readers' texts
         if tag in OPENS or tag in BOUNDS:
             self.open = {k: x for k, x in self.open.items() if k not in BOUNDS.get(tag, ())}
             for kind in OPENS.get(tag, ()):
@@ -210,11 +216,41 @@ def parse(html: str) -> Node:
     return root
 
 
+def _marked(node: Node) -> int:
+    """The marks that an element has itself, before what is not seen is taken out of it."""
+    own = "".join(x for x in node.children if isinstance(x, str) and len(x) <= 2 * MARK).strip()
+    marks = 2 if node.tag == "time" or 0 < len(own) <= MARK and DATE.search(own) else 0
+    if node.tag in ("a", "button"):
+        inner = [y for x in node.children[:4] if not isinstance(x, str) for y in x.children[:4] if isinstance(y, str)]
+        said = " ".join([own, *inner][:5])[: 2 * MARK].strip(" \n\t()[]·|•↩0123456789").lower()
+        marks |= said in ANSWERS
+    return marks
+
+
+def find_threads(order: list[Node]) -> None:
+    """Marks readers' texts, whatever their names are: siblings of one shape most of which have a date and something to answer them by."""
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.marks |= node.marks
+    for node in order:
+        shapes: dict[tuple, list[Node]] = {}
+        for x in node.children:
+            if not isinstance(x, str) and x.tag in BLOCK and not x.holds:
+                shapes.setdefault((x.tag, x.names), []).append(x)
+        for alike in shapes.values():
+            marked = [x for x in alike if x.marks == 3]
+            if len(marked) >= THREAD and 2 * len(marked) >= len(alike):
+                for x in alike:
+                    x.reader = True
+
+
 def share_of(node: Node) -> float:
     """What points in an element are worth."""
     tag, names = node.tag, node.names
     if tag in ("html", "body"):
         return 1.0
+    if node.reader:
+        return READER
     if names & READER_WORDS and (tag not in INLINE | HEADINGS | {"main"}) and node.holds < 2 and not (tag == "article" and names & {"content", "body"}):
         return READER
     if node.role in LOW_ROLES or tag in LOW_TAGS and not (tag == "header" and node.parent.inside):
@@ -236,6 +272,10 @@ def weighed(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
+        node.marks |= _marked(node)
+        for x in node.children:
+            if not isinstance(x, str) and x.tag == "button":
+                node.marks |= _marked(x)
         node.children = [x for x in node.children if isinstance(x, str) or not x.unseen]
         node.strings, node.own, node.own_linked, node.size, node.linked, node.mass, node.points = [], 0, 0, 0, 0, 0.0, 0.0
         stack += [x for x in reversed(node.children) if not isinstance(x, str)]
@@ -244,6 +284,7 @@ def weighed(root: Node) -> list[Node]:
             node.holds = max(node.holds, 2 if node.tag == "main" else 1)
         if node.parent is not None:
             node.parent.holds = max(node.parent.holds, node.holds)
+    find_threads(order)
     for node in order:
         up = node.parent
         node.inside = node.tag in ("article", "main") or bool(node.names & GOOD_WORDS) or up is not None and up.inside

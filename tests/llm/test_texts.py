@@ -341,6 +341,32 @@ def test_time_grows_with_length_alone(piece):
     assert took[1] < 8 * took[0] + 0.5
 
 
+ARTICLE = "".join(f"<p>The committee met again, and after some hours, part {i} of the plan was agreed on by all members.</p>" for i in range(2))
+SAID = "I have read all of this twice, and I must say that I do not agree with the author, who has, as so often, left out half of the story, and more than that."
+THREADS = [
+    lambda i: f"<div class='thread'><b>user{i}</b> <span>3 days ago</span><p>{SAID} {i}</p><a href='#'>Reply</a></div>",
+    lambda i: f"<li class='x{i % 1}'><time>12 May</time><div>{SAID} {SAID} {i}</div><button>Like</button></li>",
+    lambda i: f"<section><div>2024-05-{i + 10}</div><p>{SAID}</p><p>{SAID}</p><a href='#r'><span>Répondre</span></a></section>",
+    lambda i: f"<div id='msg-{i}'><i>vor {i} Stunden</i><br>{SAID}<br>{SAID}<p><a>Antworten</a> <a>Melden</a></p></div>",
+    lambda i: f"<tr><td>10:{i + 10}</td><td><p>{SAID} {i}</p></td><td><a href='#'>Quote (2)</a></td></tr>",
+]
+
+
+@pytest.mark.parametrize("one", THREADS)
+def test_readers_texts_are_known_by_their_shape(one):
+    """Pages whose article is shorter than what readers say below it, in elements without telling names."""
+    texts = "".join(map(one, range(8)))
+    below = f"<table>{texts}</table>" if texts.startswith("<tr") else f"<ul>{texts}</ul>" if texts.startswith("<li") else f"<div id='discussion'>{texts}</div>"
+    found = html_main_text.main_text(f"<html><body><nav><a>Home</a></nav><div class='post'><h1>The plan</h1>{ARTICLE}</div>{below}</body></html>")
+    assert "part 0 of the plan" in found and "part 1 of the plan" in found and "I have read all of this" not in found
+
+
+def test_dated_sections_without_answers_are_article():
+    parts = "".join(f"<section><h2>Chapter {i}</h2><span>2024-05-{i + 10}</span><p>{SAID} Number {i}.</p></section>" for i in range(6))
+    found = html_main_text.main_text(f"<body><div>{parts}</div></body>")
+    assert all(f"Number {i}." in found for i in range(6))
+
+
 def test_end_tags_that_do_not_end():
     import time
 

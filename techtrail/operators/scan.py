@@ -223,7 +223,7 @@ def scan_scoped(lines: DataFrame, stems: DataFrame, project: str = "project") ->
     plain, odd = stems.where(~F.col("stem").rlike(APART)), stems.where(F.col("stem").rlike(APART))
     words = lines.select(project, "path", "line_no", F.explode(F.array_distinct(F.split("line", APART + "+"))).alias("stem"))
     near = that_may_meet(words, plain, [project, "stem"])
-    found = near.join(plain, [project, "stem"], "left_semi").select(project, "path", "line_no", "stem")
+    found = near.join(plain, [project, "stem"]).select(project, "path", "line_no", "stem")  # no semi join, which the optimizer would do before the filter
     if odd.isEmpty():
         return found
     first = odd.select(project, F.split("stem", APART)[0].alias("word"), F.col("stem"), class_pattern(F.concat("stem", F.lit(".x"))).alias("pattern"))

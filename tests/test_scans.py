@@ -82,6 +82,19 @@ def test_scoped_words(spark):
     assert {r["stem"] for r in found.collect()} == {"Foo", "My File", "a$b", " x", "Café"}
 
 
+def test_words_are_filtered_before_they_are_moved(spark, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.createDataFrame([("p", "f", 1, "new Foo")], "project string, path string, line_no int, line string")
+        scan.scan_scoped(lines, spark.createDataFrame([("p", "Foo")], "project string, stem string")).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = capsys.readouterr().out
+    assert -1 < plan.index("SortMergeJoin [project") < plan.index("Exchange hashpartitioning(project") < plan.index("BroadcastNestedLoopJoin")  # from the result down to the scan
+    assert "line#" not in plan[: plan.index("BroadcastNestedLoopJoin")].split("SortMergeJoin")[1]
+
+
 def test_bloom_filter_lets_all_keys_pass_and_few_others(spark):
     keys, bits = spark.range(0, 4000).withColumn("k", F.col("id") * 7), 1 << 16
     words = bloom.bloom_filter(keys, F.col("k"), bits)

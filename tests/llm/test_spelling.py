@@ -64,7 +64,7 @@ def test_ties_go_to_the_first_word(spark):
 
 
 def test_very_long_words_and_crowds(spark, monkeypatch):
-    monkeypatch.setattr(spelling.grouped, "__defaults__", (2, 16, 4, 1 << 12))  # groups of more than four words are dealt again
+    monkeypatch.setattr(spelling.grouped, "__defaults__", (2, 16, 4, 1 << 18))  # groups of more than four words are dealt again
     rng = random.Random(4)
     stem = "".join(rng.choice("abc") for _ in range(60))
     words = {stem[:30] + "".join(rng.choice("ab") for _ in range(5)) + stem[30:] for _ in range(25)}

@@ -209,5 +209,7 @@ def appearance_rank(df: DataFrame, columns: list[str], order: list[str]) -> Data
 
 
 def first_row(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each group in an explicit order."""
-    return df.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("nth = 1").drop("nth")
+    """The first row of each group in an explicit order, nulls first: an aggregation, so no group is sorted or in one task whole."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    first = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("first row"))
+    return first.select(*(F.col(c) if c in key else F.col("first row")[c].alias(c) for c in df.columns))

@@ -93,3 +93,18 @@ def holds_for_texts(pattern: str) -> bool:
     """Whether an expression that matches a line matches, with ^ and $ at lines, a text with that line too: it does if nothing in it asks what stands further around and no repeat refuses to give back."""
     tree = parsed(pattern)
     return tree is not None and not _looks_around(tree)
+
+
+def _anchored(items) -> bool:
+    for kind, value in items:
+        if kind is op.AT and value in (op.AT_BEGINNING, op.AT_END):
+            return True
+        inner = [value[3]] if kind is op.SUBPATTERN else [value[2]] if kind in (op.MAX_REPEAT, op.MIN_REPEAT) else value[1] if kind is op.BRANCH else []
+        if any(map(_anchored, inner)):
+            return True
+    return False
+
+
+def asks_for_ends(pattern: str) -> bool:
+    """Whether an expression that holds for texts asks where a line begins or ends."""
+    return _anchored(parsed(pattern))

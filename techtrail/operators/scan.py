@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from techtrail.operators.bloom import that_may_meet
-from techtrail.operators.literals import holds_for_texts, required
+from techtrail.operators.literals import asks_for_ends, holds_for_texts, required
 from techtrail.operators.ordering import carry_last, number_within
 
 #: Letters that mean something after a backslash in Java's expressions; before others the backslash is dropped.
@@ -38,7 +38,7 @@ def scan(lines: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean:
 
 
 #: Ends of lines to Java's expressions that lines are not cut at.
-OTHER_ENDS = "[\\r\\u0085\\u2028\\u2029]"
+OTHER_ENDS = "\r\u0085\u2028\u2029"
 
 
 def may_match(text: Column, label: str, alternatives: Iterable[str], clean: bool = False) -> Column:
@@ -51,21 +51,32 @@ def may_match(text: Column, label: str, alternatives: Iterable[str], clean: bool
         if literals:
             for x in literals:
                 made = made | F.contains(low, F.lit(x))
-        elif holds_for_texts(regex):
+        elif holds_for_texts(regex) and asks_for_ends(regex):
             # a last line that is empty begins for the expression only before another end of a line, and other ends of lines than \n mean other things in a text
-            made = made | text.rlike(OTHER_ENDS) | F.concat(text, F.lit("\n")).rlike(("(?mi)" if fold else "(?m)") + f"(?:{regex})")
+            for end in OTHER_ENDS:
+                made = made | F.contains(text, F.lit(end))
+            made = made | F.concat(text, F.lit("\n")).rlike(("(?mi)" if fold else "(?m)") + f"(?:{regex})")
+        elif holds_for_texts(regex):
+            made = made | text.rlike(("(?i)" if fold else "") + f"(?:{regex})")
         else:
             return F.lit(True)
     return made
 
 
 def _candidates(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean: bool, asked: str | None) -> DataFrame:
-    """Files (text) some label of which may match, with "may match", a flag for each label."""
+    """Files (text) with "may match", a flag for each label.
+
+    There is no filter on the flags here, as it would be done before them and test every text twice: texts without any give no lines (_lines).
+    """
     flags = [may_match(F.col("text"), label, alternatives, clean) for label, _, alternatives in heuristics]
     if asked:
         flags = [F.array_contains(asked, label) & flag for (label, _, _), flag in zip(heuristics, flags, strict=True)]
-    known = files.where(F.col("text").isNotNull()).withColumn("may match", F.array(*flags))
-    return known.where(F.array_contains("may match", True))
+    return files.where(F.col("text").isNotNull()).withColumn("may match", F.array(*flags))
+
+
+def _lines() -> Column:
+    """The lines of a candidate's text; none of a text that no label may match."""
+    return F.when(F.array_contains("may match", True), F.split("text", "\n"))
 
 
 def scan_texts(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], clean: bool = False, asked: str | None = None) -> DataFrame:
@@ -74,7 +85,7 @@ def scan_texts(files: DataFrame, heuristics: list[tuple[str, str, list[str]]], c
     Only texts that have what a label's expressions ask for are cut into lines, and only those labels are tried on them.
     """
     others = [c for c in files.columns if c not in ("text", asked)]
-    lines = _candidates(files, heuristics, clean, asked).select(*others, "may match", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = _candidates(files, heuristics, clean, asked).select(*others, "may match", F.posexplode(_lines()).alias("at", "line"))
     tests = enumerate(_tests(heuristics, clean))
     found = F.array(*(F.when(F.get("may match", F.lit(i)) & F.col("line").rlike(regex), F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"))) for i, (label, kind, regex) in tests))
     hits = lines.withColumn("hit", F.explode(F.array_compact(found)))
@@ -86,7 +97,7 @@ def scan_context(files: DataFrame, heuristics: list[tuple[str, str, list[str]]],
 
     A file's lines are one array, from which each hit takes its neighbours, so only these are moved.
     """
-    cut = _candidates(files, heuristics, clean, None).select("path", "may match", F.split("text", "\n").alias("lines"))
+    cut = _candidates(files, heuristics, clean, None).select("path", "may match", _lines().alias("lines"))
     tested = F.array_compact(F.array(*(F.when(F.get("may match", F.lit(i)), F.struct(F.lit(label).alias("label"), F.lit(regex).alias("pattern"))) for i, (label, _, regex) in enumerate(_tests(heuristics, clean)))))
     hits = F.filter(F.transform("lines", lambda x, i: F.when(F.regexp_like(x, F.col("t.pattern")), i + 1)), lambda i: i.isNotNull())
     found = cut.select("path", "lines", F.explode(tested).alias("t")).select("path", "lines", "t.label", hits.alias("hits")).where(F.size("hits") > 0)

@@ -147,6 +147,16 @@ def substitutions(trans: DataFrame, project: str = "user_id", adjacent: bool = F
     return counted.crossJoin(F.broadcast(total)).select("pattern", "x", "y", "line_count", (F.col("line_count") / F.col("n_projects")).alias("support"))  # total is one row
 
 
+def substitution_rows(trans: DataFrame, project: str = "user_id", adjacent: bool = False) -> DataFrame:
+    """pattern, x, y, unbound, line_count: substitutions as counted with variables, so each pattern has a row of its own too.
+
+    In that row X and Y stand for any labels: x and y are null, unbound is X, and each project counts once. In others unbound is null, whatever their labels are called. Rows of trans without a label are none's.
+    """
+    found = substitution_cases(trans.where(F.col("label").isNotNull()), project, adjacent)
+    counted = found.groupingSets([("pattern", "x", "y"), ("pattern",)], "pattern", "x", "y").agg(F.grouping_id().alias("level"), F.countDistinct(project).alias("line_count"))
+    return counted.select("pattern", "x", "y", F.when(F.col("level") > 0, "X").alias("unbound"), "line_count")
+
+
 def ever(trans: DataFrame, project: str = "user_id") -> DataFrame:
     """label, ever: projects that ever had it."""
     return trans.select(project, "label").distinct().groupBy("label").agg(F.count("*").alias("ever"))

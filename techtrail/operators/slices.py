@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from techtrail.operators.ordering import number_within
 
 
-def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list) -> DataFrame:
     """Adds place (1, 2, ... in order within the key) and total. A key with very many rows is several tasks' work."""
     return number_within(df, [key], order)
 
@@ -33,7 +33,7 @@ def mark_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return numbered(df, key, order).withColumn("is_last", F.col("place") == F.col("total")).drop("place", "total")
 
 
-def presence(df: DataFrame, key: str, order: list[str], label: str, n: int) -> DataFrame:
+def presence(df: DataFrame, key: str, order: list, label: str, n: int) -> DataFrame:
     """key, part, label: labels that occur in each full slice of n rows."""
     rows = numbered(df, key, order).withColumn("part", F.expr(f"(place - 1) div {int(n)} + 1"))
     return rows.where(f"part <= total div {int(n)}").select(key, "part", label).distinct()

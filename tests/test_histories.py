@@ -1,3 +1,6 @@
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from techtrail.operators import patterns, sequences, slices
@@ -93,3 +96,30 @@ def test_properties(spark):
     assert patterns.life(trans).where("n_in - n_out <> cast(in_last as int)").count() == 0
     assert patterns.at_least_to_exact(patterns.depth(trans, 20), ["inserted", "removed"]).where("inserted < 0 or removed < 0").count() == 0
     assert patterns.substitution_cases(trans).where("x = y").count() == 0
+
+
+def test_rows_of_replacement_patterns(spark):
+    """A pattern's own row counts each project once; it goes, and labels that are called X and Y stay."""
+    hist = history(spark, {1: "XA", 2: "YB", 3: "YB"}).unionByName(history(spark, {1: "X", 2: "Y", 3: "Y"}, 2))
+    found = patterns.substitution_rows(sequences.transitions(hist))
+    pairs = {("S1", "X", "Y", 2), ("S1", "X", "B", 1), ("S1", "A", "Y", 1), ("S1", "A", "B", 1)}
+    assert rows(found, "pattern", "x", "y", "unbound", "line_count") == {(p, x, y, None, n) for p, x, y, n in pairs} | {("S1", None, None, "X", 2)}
+    assert rows(patterns.drop_variables(found, ["unbound"]), "pattern", "x", "y", "line_count") == pairs
+
+
+def test_meta_rules_are_dropped_from_all_substitutions(spark, tmp_path):
+    """The query counts replacements, on odd events too: labels named like variables, none, empty ones, no user, no time, equal times."""
+    from techtrail.plans import registry
+
+    draw = random.Random(5)
+    drawn = [(i, draw.choice([None, *range(9)]), draw.choice([None, 1, *range(8)]), draw.choice(["X", "Y", "x", "", None, "X = a; Y", "é"])) for i in range(900)]
+    events = spark.createDataFrame(drawn, "event_id long, at long, user_id long, event_type string").select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sql = registry.oracle_sql()["drop_meta_rules"]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.execute(f"SELECT pattern, x, y, line_count FROM ({sql})").fetchall()
+    assert rows(registry.queries()["drop_meta_rules"](spark, str(tmp_path)), "pattern", "x", "y", "line_count") == set(want)
+    assert {("X", "Y"), ("", "X")} <= {(x, y) for _, x, y, _ in want}
+    small = "/root/testdata/sf0.001"
+    assert rows(registry.queries()["drop_meta_rules"](spark, small), "pattern", "x", "y", "line_count") == rows(registry.queries()["substitution"](spark, small), "pattern", "x", "y", "line_count")

@@ -99,7 +99,7 @@ def _dealt(distinct: DataFrame) -> DataFrame:
         keys.append(F.struct(key.alias("key"), _bits(value, BLOCKS, others).alias("rest")))
     dealt = distinct.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("fingerprint", "k.key", "k.rest")
     shared = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = dealt.join(shared, "key")
+    met = dealt.hint("merge").join(shared, "key")  # Spark sizes exploded rows by the table before, a twentieth, and would broadcast them
     parts = F.array(*(F.lit((t + 1) << 40).cast("long").bitwiseOR(_bits(F.col("rest"), SUBBLOCKS, chosen)) for t, chosen in enumerate(TRIPLES)))
     few = F.array(F.lit(0).cast("long"))
     return met.select("fingerprint", "key", F.explode(F.when(F.col("n") > CROWD, parts).otherwise(few)).alias("part"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from techtrail.llm import graph, simhash
 
 
@@ -96,3 +97,10 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     found = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark sizes them by the table before, which is a twentieth of them and may be small enough to be broadcast."""
+    distinct = spark.range(4000).select(F.xxhash64("id").alias("fingerprint"))
+    plan = simhash._dealt(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

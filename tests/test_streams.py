@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from techtrail.operators import sequences
+from techtrail.plans import files, histories
 from techtrail.streaming import jobs, runs
 
 LINES = "project string, path string, version string, line_no int, line string"
@@ -124,3 +125,13 @@ def test_slices_that_come_in_three_batches(spark, tmp_path):
         query = jobs.run_available(jobs.closed_slices(spark.readStream.schema(schema).parquet(source), "5 days"), sink, progress)
     found = jobs.transitions_of(spark, changes, jobs.last_number(query))
     assert found.count() == len(want) and {tuple(r) for r in found.collect()} == want
+
+
+def test_slices_of_a_long_history_come_late(spark, tmp_path):
+    """Labels that come a wave after the others belong to slices that are still open, however long the longest history is."""
+    rows = [(u, u * 1000 + k, k, "abcde"[(k * k // 7 + u) % 5]) for u, n in ((1, 125), (2, 60), (3, 260)) for k in range(n)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, at long, event_type string")
+    events.select("user_id", "event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = files.stream_transitions(spark, str(tmp_path)).select("project", "part", "label", "op").collect()
+    want = histories.transitions(spark, str(tmp_path)).select("user_id", "part", "label", "op").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == {tuple(r) for r in want}

@@ -112,13 +112,8 @@ def depth(trans: DataFrame, most: int = 4, project: str = "user_id") -> DataFram
     return rows.groupBy("label", "times").agg(F.count_if(F.col("kind") == "in").alias("inserted"), F.count_if(F.col("kind") == "out").alias("removed"))
 
 
-def substitution_cases(trans: DataFrame, project: str = "user_id", adjacent: bool = False) -> DataFrame:
-    """pattern, project, x, y: cases of y replacing x, one row each.
-
-    S1: in one slice x leaves and y enters, and y is present in a later slice (adjacent: in the next).
-    S2: x is present, in a later slice y enters, and in a later one still x leaves while y is present (adjacent: each in the slice after the other).
-    Rows meet by project and slice alone.
-    """
+def _leaving(trans: DataFrame, project: str) -> DataFrame:
+    """A row for each label x that leaves and each label y that is present in the same slice: project, part, x, y and what is known of both. Rows meet by project and slice alone."""
     own = Window.partitionBy(project, "label")
     ordered = own.orderBy("part")
     seen = trans.select(
@@ -134,10 +129,19 @@ def substitution_cases(trans: DataFrame, project: str = "user_id", adjacent: boo
     )
     gone = seen.where("op = 'OUT'").select(project, "part", F.col("label").alias("x"), F.col("first_part").alias("x_first"), (F.col("op_before") == "KEEP").alias("x_was_kept"))
     there = seen.where("op <> 'OUT'").withColumnRenamed("label", "y")
+    return gone.hint("merge").join(there, [project, "part"])  # read from files, both are sized by what they take there, a small part of what they take in memory
+
+
+def substitution_cases(trans: DataFrame, project: str = "user_id", adjacent: bool = False) -> DataFrame:
+    """pattern, project, x, y: cases of y replacing x, one row each.
+
+    S1: in one slice x leaves and y enters, and y is present in a later slice (adjacent: in the next).
+    S2: x is present, in a later slice y enters, and in a later one still x leaves while y is present (adjacent: each in the slice after the other).
+    """
     stays = F.col("kept_next") if adjacent else F.col("last_part") > F.col("part")
     came = (F.col("entered") == F.col("part") - 1) & F.col("x_was_kept") if adjacent else F.col("entered") > F.col("x_first")
     held = F.array_compact(F.array(F.when((F.col("op") == "IN") & stays, "S1"), F.when(came, "S2")))
-    return gone.join(there, [project, "part"]).select(F.explode(held).alias("pattern"), project, "x", "y").distinct()
+    return _leaving(trans, project).select(F.explode(held).alias("pattern"), project, "x", "y").distinct()
 
 
 def substitutions(trans: DataFrame, project: str = "user_id", adjacent: bool = False) -> DataFrame:
@@ -245,7 +249,7 @@ def parse_bindings(df: DataFrame) -> DataFrame:
 def select_shapes(patterns: DataFrame) -> DataFrame:
     """pattern, itemsets, shape, x, y, freq: mined patterns of four items that show label x giving way to y.
 
-    S1 is X | INY OUTX | Y, S2 is X | INY | OUTX Y; within an itemset order means nothing. Labels are compared whole.
+    S1 is X | INY OUTX | Y, S2 is X | INY | OUTX Y; within an itemset order means nothing, and what is found has this one, whatever the labels are called. Labels are compared whole.
     """
     part = lambda i: F.get("sequence", F.lit(i))
     x = part(0)[0]
@@ -254,7 +258,36 @@ def select_shapes(patterns: DataFrame) -> DataFrame:
     first = (sizes == F.array(*map(F.lit, (1, 2, 1)))) & (part(1) == F.sort_array(F.array(F.concat(F.lit("IN"), y1), F.concat(F.lit("OUT"), x))))
     second = (sizes == F.array(*map(F.lit, (1, 1, 2)))) & part(1)[0].startswith("IN") & (part(2) == F.sort_array(F.array(F.concat(F.lit("OUT"), x), y2)))
     shaped = patterns.where(F.size("sequence") == 3).select("sequence", "freq", F.when(first, "S1").when(second, "S2").alias("shape"), x.alias("x"), F.when(first, y1).otherwise(y2).alias("y"))
-    return shaped.where("shape is not null and x <> y").select(pattern_text(F.col("sequence")).alias("pattern"), F.col("sequence").alias("itemsets"), "shape", "x", "y", "freq")
+    ordered = F.when(F.col("shape") == "S1", F.col("sequence")).otherwise(F.array(part(0), part(1), F.array(F.concat(F.lit("OUT"), "x"), F.col("y"))))
+    return shaped.where("shape is not null and x <> y").select(pattern_text(ordered).alias("pattern"), ordered.alias("itemsets"), "shape", "x", "y", "freq")
+
+
+#: Of what select_shapes looks for, what a project shows where x leaves and y is present: S1 and S2 whole, INY OUTX of S1, INY | OUTX Y of S2.
+SHOWN = {"s1": "op = 'IN' and last_part > part", "s2": "entered > x_first", "bc1": "op = 'IN'", "bcd2": "entered is not null"}
+
+
+def shape_counts(trans: DataFrame, project: str = "user_id") -> DataFrame:
+    """x, y and, for each of SHOWN, the number of projects that show it: a row for each two labels. Each project's labels are compared where they meet; no other pattern is mined."""
+    own = _leaving(trans.where(F.col("label").isNotNull()), project).groupBy(project, "x", "y").agg(*(F.bool_or(F.expr(rule)).alias(name) for name, rule in SHOWN.items()))
+    return own.groupBy("x", "y").agg(*(F.count_if(name).alias(name) for name in SHOWN))
+
+
+def _sequences(counts: DataFrame, *made: tuple[str, list[list[Column]]]) -> DataFrame:
+    """sequence, freq: patterns by the name of their count and their itemsets; those of no project are left out."""
+    rows = F.array(*(F.struct(F.array(*(F.array(*items) for items in sets)).alias("sequence"), F.col(name).alias("freq")) for name, sets in made))
+    return counts.select(F.explode(rows).alias("p")).select("p.sequence", "p.freq").where("freq > 0")
+
+
+def _items() -> tuple[Column, Column, Column, Column]:
+    """x, y, INY and OUTX."""
+    return F.col("x"), F.col("y"), F.concat(F.lit("IN"), "y"), F.concat(F.lit("OUT"), "x")
+
+
+def mine_shapes(counts: DataFrame, least: int) -> DataFrame:
+    """sequence, freq: of the patterns that select_shapes looks for those that enough projects have, from shape_counts; as mining finds them, but these alone."""
+    x, y, enters, leaves = _items()
+    found = _sequences(counts, ("s1", [[x], [enters, leaves], [y]]), ("s2", [[x], [enters], [leaves, y]])).where(F.col("freq") >= least)
+    return found.select(F.transform("sequence", lambda s: F.sort_array(s)).alias("sequence"), "freq")
 
 
 def split_pattern(patterns: DataFrame) -> DataFrame:

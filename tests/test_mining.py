@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from techtrail.operators import patterns, rules, sequences
+from techtrail.plans import histories
 
 
 def brute_sets(baskets, support):
@@ -90,3 +92,10 @@ def test_rows_of_variables_go(spark):
     df = spark.createDataFrame([("X", "Y"), ("X", "b"), ("a", "b"), (None, "b"), ("x", "y")], "x string, y string")
     assert {tuple(r) for r in patterns.drop_variables(df, ["x", "y"]).collect()} == {("a", "b"), (None, "b"), ("x", "y")}
     assert patterns.drop_variables(df, ["x"]).where(F.col("y") == "b").count() == 2
+
+
+@pytest.mark.parametrize("name", ["select_shapes"])
+def test_shapes_need_no_other_patterns(spark, monkeypatch, name):
+    """Mining all patterns of four items takes thousands of times as many as have the shapes."""
+    monkeypatch.setattr(patterns, "prefixspan", None)
+    assert histories.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

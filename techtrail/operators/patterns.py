@@ -290,6 +290,13 @@ def mine_shapes(counts: DataFrame, least: int) -> DataFrame:
     return found.select(F.transform("sequence", lambda s: F.sort_array(s)).alias("sequence"), "freq")
 
 
+def mine_items(trans: DataFrame, project: str = "user_id") -> DataFrame:
+    """sequence, freq: patterns of one item, x, INX or OUTX, with the number of projects that have it."""
+    has = F.array_compact(F.array(F.when(F.col("op") != "OUT", F.col("label")), F.when(F.col("op").isin("IN", "OUT"), F.concat("op", "label"))))
+    counted = trans.select(project, F.explode(has).alias("item")).distinct().groupBy("item").agg(F.count("*").alias("freq"))
+    return counted.select(F.array(F.array("item")).alias("sequence"), "freq")
+
+
 def split_pattern(patterns: DataFrame) -> DataFrame:
     """Adds the parts a, ab, abc, b, bc, bcd, c, cd, d of patterns of four items, as text; a space joins items of one slice, | those of a later one."""
     items = F.flatten(F.transform("itemsets", lambda s, i: F.transform(s, lambda t: F.struct(t.alias("item"), i.alias("set")))))

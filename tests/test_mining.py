@@ -94,7 +94,7 @@ def test_rows_of_variables_go(spark):
     assert patterns.drop_variables(df, ["x"]).where(F.col("y") == "b").count() == 2
 
 
-@pytest.mark.parametrize("name", ["select_shapes", "split_pattern"])
+@pytest.mark.parametrize("name", ["select_shapes", "split_pattern", "join_nested_lookup"])
 def test_shapes_need_no_other_patterns(spark, monkeypatch, name):
     """Mining all patterns of four items takes thousands of times as many as have the shapes."""
     monkeypatch.setattr(patterns, "prefixspan", None)

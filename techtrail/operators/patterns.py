@@ -297,6 +297,24 @@ def mine_items(trans: DataFrame, project: str = "user_id") -> DataFrame:
     return counted.select(F.array(F.array("item")).alias("sequence"), "freq")
 
 
+def mine_parts(trans: DataFrame, counts: DataFrame, project: str = "user_id") -> DataFrame:
+    """sequence, freq: all parts of patterns of the two shapes for which measures wants a support, from transitions and their shape_counts; items are in the order of the shapes.
+
+    For S2, a, b and c need not meet in a slice: each slice in which y enters is compared with a row for each label x of the project, the first slice that has it and the last one in which it leaves.
+    """
+    x, y, enters, leaves = _items()
+    known = trans.where(F.col("label").isNotNull())
+    of = lambda ops: F.when(F.col("op").isin(*ops), F.col("part"))
+    spans = known.groupBy(project, F.col("label").alias("x")).agg(F.min(of(["INIT", "IN", "KEEP"])).alias("first_part"), F.max(of(["OUT"])).alias("last_out"))
+    entries = known.where("op = 'IN'").select(project, "part", F.col("label").alias("y"))
+    rules = {"ab": "part > first_part", "bc2": "part < last_out", "abc2": "part > first_part and part < last_out"}
+    own = entries.hint("merge").join(spans, project).where("x <> y").groupBy(project, "x", "y").agg(*(F.bool_or(F.expr(rule)).alias(name) for name, rule in rules.items()))
+    apart = own.groupBy("x", "y").agg(*(F.count_if(name).alias(name) for name in rules))
+    apart = _sequences(apart, ("ab", [[x], [enters]]), ("bc2", [[enters], [leaves]]), ("abc2", [[x], [enters], [leaves]]))
+    met = _sequences(counts, ("bc1", [[enters, leaves]]), ("bc1", [[x], [enters, leaves]]), ("s1", [[enters, leaves], [y]]), ("bcd2", [[enters], [leaves, y]]))
+    return mine_items(known, project).unionByName(apart).unionByName(met)
+
+
 def split_pattern(patterns: DataFrame) -> DataFrame:
     """Adds the parts a, ab, abc, b, bc, bcd, c, cd, d of patterns of four items, as text; a space joins items of one slice, | those of a later one."""
     items = F.flatten(F.transform("itemsets", lambda s, i: F.transform(s, lambda t: F.struct(t.alias("item"), i.alias("set")))))

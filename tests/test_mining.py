@@ -94,7 +94,28 @@ def test_rows_of_variables_go(spark):
     assert patterns.drop_variables(df, ["x"]).where(F.col("y") == "b").count() == 2
 
 
-@pytest.mark.parametrize("name", ["select_shapes", "split_pattern", "join_nested_lookup"])
+def test_shapes_and_parts_are_as_mining_finds_them(spark):
+    rng = random.Random(8)
+    rows = [(u, p, x) for u in range(60) for p in range(1, rng.randint(2, 9)) for x in "ABC" if rng.random() < 0.5]
+    hist = spark.createDataFrame([*rows, (60, 1, "A"), (60, 5, "B"), (61, 2, "C")], "user_id long, part long, label string")
+    trans = sequences.transitions(hist)
+    least = 4
+    mined = patterns.prefixspan(sequences.tagged_sequences(trans), (least - 0.5) / trans.select("user_id").distinct().count(), 4)
+    freq = {r["p"]: r["freq"] for r in mined.select(patterns.pattern_text(F.col("sequence")).alias("p"), "freq").collect()}
+    counts = patterns.shape_counts(trans)
+    shaped = lambda found: sorted(tuple(r) for r in patterns.select_shapes(found).drop("itemsets").collect())
+    want = shaped(mined)
+    assert shaped(patterns.mine_shapes(counts, least)) == want and {r[1] for r in want} == {"S1", "S2"}
+    sets = F.transform("sequence", lambda s: F.sort_array(s))
+    parts = [tuple(r) for r in patterns.mine_parts(trans, counts).select(patterns.pattern_text(F.col("sequence")), patterns.pattern_text(sets), "freq").collect()]
+    sorted_parts = {p: n for _, p, n in parts}
+    assert len(parts) == len(sorted_parts) and {p: n for p, n in sorted_parts.items() if n >= least} == {p: n for p, n in freq.items() if p in sorted_parts}
+    split = patterns.split_pattern(patterns.select_shapes(mined))
+    assert {x for r in split.select("a", "ab", "abc", "b", "bc", "bcd", "c", "d").collect() for x in r} <= {p for p, _, _ in parts}
+    assert {(r["c"], r["d"]) for r in split.collect()} == {(f"OUT{x}", y) for _, _, x, y, _ in want}  # though A to C come before OUT
+
+
+@pytest.mark.parametrize("name", ["select_shapes", "split_pattern", "join_nested_lookup", "pattern_measures"])
 def test_shapes_need_no_other_patterns(spark, monkeypatch, name):
     """Mining all patterns of four items takes thousands of times as many as have the shapes."""
     monkeypatch.setattr(patterns, "prefixspan", None)

@@ -115,7 +115,7 @@ def test_shapes_and_parts_are_as_mining_finds_them(spark):
     assert {(r["c"], r["d"]) for r in split.collect()} == {(f"OUT{x}", y) for _, _, x, y, _ in want}  # though A to C come before OUT
 
 
-@pytest.mark.parametrize("name", ["select_shapes", "split_pattern", "join_nested_lookup", "pattern_measures"])
+@pytest.mark.parametrize("name", ["select_shapes", "split_pattern", "join_nested_lookup", "pattern_measures", "rank_patterns"])
 def test_shapes_need_no_other_patterns(spark, monkeypatch, name):
     """Mining all patterns of four items takes thousands of times as many as have the shapes."""
     monkeypatch.setattr(patterns, "prefixspan", None)
